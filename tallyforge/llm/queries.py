@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
-from tallyforge.llm import quality_rules
+from tallyforge.llm import decontam, langid, mixing, quality_model, quality_rules, simhash
 from tallyforge.plans.registry import Registry
 
 REGISTRY = Registry()
+REGISTRY.query("op1_decontamination", decontam.ORACLE)(decontam.op1_decontamination)
+REGISTRY.query("op2_language_id")(langid.op2_language_id)
+REGISTRY.query("op6_simhash")(simhash.op6_simhash)
+REGISTRY.query("op7_quality_model")(quality_model.op7_quality_model)
+REGISTRY.query("op8_mixing")(mixing.op8_mixing)
 REGISTRY.query("op10_quality_rules", quality_rules.ORACLE)(quality_rules.op10_quality_rules)

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: What separates words: ASCII white space.
@@ -35,3 +39,25 @@ def row_key(doc_id: Column, text: Column) -> Column:
 def shuffle_width(df: DataFrame) -> int:
     """The number of shuffle partitions that the session sets."""
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def append_from_texts(df: DataFrame, compute: Callable[[list[str | None]], list[list]], fields: str, keep_text: bool = False) -> DataFrame:
+    """df with the columns that ``compute`` makes of a batch's texts, in Arrow batches; the column ``text`` goes unless kept.
+
+    ``compute`` returns one list for each of ``fields``. Other columns pass through as they are, nulls included.
+    """
+    new = T.StructType.fromDDL(fields)
+    passed = [f.name for f in df.schema if keep_text or f.name != "text"]
+    schema = T.StructType([f for f in df.schema if f.name in passed] + list(new))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = compute(batch.column("text").to_pylist())
+            arrays = [batch.column(name) for name in passed] + [pa.array(x, KINDS[f.dataType.simpleString()]) for x, f in zip(made, new)]
+            yield pa.RecordBatch.from_arrays(arrays, names=passed + new.names)
+
+    return df.mapInArrow(work, schema)
+
+
+#: Arrow types of the fields that append_from_texts can make.
+KINDS = {"string": pa.string(), "double": pa.float64(), "bigint": pa.int64(), "int": pa.int32(), "boolean": pa.bool_()}
