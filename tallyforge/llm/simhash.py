@@ -137,6 +137,7 @@ def near_duplicates(docs: DataFrame, max_bits: int = MAX_BITS, bucket: int = BUC
     lowest = linked.groupBy("root").agg(F.min("least").alias("component_id"))
     linked = linked.join(lowest, "root").select("fp", "component_id")
     labels = nodes.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
+    labels = labels.checkpoint()  # both sides of the last join are then dealt for it alone, so a hot fingerprint can be split
     return fps.join(labels, "fp").select("doc_id", "fp", "component_id")
 
 
