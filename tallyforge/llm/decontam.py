@@ -109,6 +109,16 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
     return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"), "items", (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shingle: int = SHINGLE) -> DataFrame:
+    """The rows of docs in which no window occurs."""
+    words, hits = contaminated_windows(docs, benchmark, window, shingle)
+    lists = hits.groupBy("key").agg(F.collect_list(F.struct("start", "words")).alias("_dc_hits")).withColumnRenamed("key", "_dc_key")
+    joined = docs.withColumn("_dc_key", row_key(F.col("doc_id"), F.col("text"))).join(lists.hint("shuffle_hash"), "_dc_key", "left")
+    joined = joined.withColumn("_dc_words", F.when(F.col("_dc_hits").isNotNull(), alnum_words(F.col("text"))))
+    occurs = F.exists("_dc_hits", lambda x: F.slice(F.col("_dc_words"), x["start"] + 1, F.size(x["words"])) == x["words"])
+    return joined.where(~F.coalesce(occurs, F.lit(False))).select(*docs.columns)
+
+
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents against the whole benchmark."""
     out = decontaminate(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark").select("item_id", "text"))

@@ -23,10 +23,11 @@ import numpy as np
 import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tallyforge.llm.components import connected_components
-from tallyforge.llm.textops import append_from_texts
+from tallyforge.llm.textops import append_from_texts, row_key
 from tallyforge.plans.registry import table
 from tallyforge.session import ensure_checkpoint_dir
 
@@ -141,6 +142,19 @@ def near_duplicates(docs: DataFrame, max_bits: int = MAX_BITS, bucket: int = BUC
     return fps.join(labels, "fp").select("doc_id", "fp", "component_id")
 
 
+def keep_one(docs: DataFrame) -> DataFrame:
+    """The rows of docs without all but one document of each component: the one with the smallest id stays.
+
+    A null id stands for the hash of its text here; of several rows with the kept id one stays.
+    """
+    key = row_key(F.col("doc_id"), F.col("text"))
+    found = near_duplicates(docs.select(key.alias("doc_id"), "text"))
+    kept = found.where("doc_id = component_id").select(F.col("doc_id").alias("_sh_key")).distinct()
+    own = W.partitionBy("_sh_key").orderBy(F.xxhash64("text"))
+    rows = docs.withColumn("_sh_key", key).join(kept, "_sh_key", "left_semi").withColumn("_sh_rank", F.row_number().over(own))
+    return rows.where("_sh_rank = 1").select(*docs.columns)
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents, with the fingerprint in hex and the component's smallest id."""
     out = near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
