@@ -47,9 +47,9 @@ def shares(counts: DataFrame, weights: dict[str, int] | None = None, temperature
             raise ValueError("shares are positive integers")
         named = F.create_map(*[F.lit(x) for kv in weights.items() for x in kv]) if weights else F.create_map().cast("map<string,int>")
         return counts.select("src", "n", F.coalesce(F.try_element_at(named, F.col("src")), F.lit(1)).cast("bigint").alias("a"))
-    total = counts.agg(F.sum(F.pow("n", F.lit(temperature))).alias("total"))
-    size = F.greatest(F.lit(1.0), F.floor(F.lit(quanta) * F.pow("n", F.lit(temperature)) / F.col("total") + 0.5))
-    return counts.join(F.broadcast(total)).select("src", "n", size.cast("bigint").alias("a"))
+    aim = F.pow("n", F.lit(temperature))
+    size = F.greatest(F.lit(1.0), F.floor(F.lit(quanta) * aim / F.sum(aim).over(W.partitionBy(F.lit(1))) + 0.5))
+    return counts.select("src", "n", size.cast("bigint").alias("a"))
 
 
 def _pattern(parts: Column, slots: Column) -> Column:
@@ -75,18 +75,20 @@ def schedule(parts: DataFrame, block_docs: int = BLOCK_DOCS) -> tuple[DataFrame,
     its slot is slot0 + (round - first) * width + at.
     """
     blocks = parts.select("src", "a", F.ceil(F.col("n") / block_docs).alias("b"))
-    edges = blocks.select(F.explode(F.array(F.floor(F.col("b") / F.col("a")), F.ceil(F.col("b") / F.col("a")))).alias("r")).where("r > 0").distinct()
-    eras = edges.agg(F.array_sort(F.collect_set("r")).alias("ends")).select(F.concat(F.array(F.lit(0).cast("bigint")), "ends").alias("breaks"))
-    every = eras.select("breaks", F.posexplode(F.slice("breaks", 1, F.size("breaks") - 1)).alias("era", "first")).withColumn("end", F.get("breaks", F.col("era") + 1))
+    ends = F.array(F.floor(F.col("b") / F.col("a")), F.ceil(F.col("b") / F.col("a")))
+    every = F.flatten(F.collect_list(ends).over(W.partitionBy(F.lit(1))))  # two numbers a source
+    breaks = F.array_sort(F.array_distinct(F.concat(F.array(F.lit(0).cast("bigint")), every)))
+    blocks = blocks.withColumn("breaks", breaks)
+    eras = blocks.select("src", "a", "b", "breaks", F.posexplode(F.slice("breaks", 1, F.size("breaks") - 1)).alias("era", "first"))
     left = F.greatest(F.lit(0).cast("bigint"), F.least(F.col("a"), F.col("b") - F.col("first") * F.col("a")))
-    shared = every.join(F.broadcast(blocks)).select("era", "first", "end", "src", left.alias("a")).where("a > 0")  # eras x sources, both bounded by the number of sources
+    shared = eras.select("era", "first", F.get("breaks", F.col("era") + 1).alias("end"), "src", left.alias("a")).where("a > 0")  # sources times eras rows
     eras_all = shared.groupBy("era", "first", "end").agg(F.array_sort(F.collect_list(F.struct("src", "a"))).alias("parts"), F.sum("a").alias("width"))
     begin = F.coalesce(F.sum(F.col("width") * (F.col("end") - F.col("first"))).over(W.orderBy("era").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     eras_all = eras_all.withColumn("slot0", begin)
     slots = eras_all.repartition("era").select("era", "first", "width", "slot0", "parts", F.posexplode(_pattern(F.col("parts"), F.col("width"))).alias("at", "i"))
     slots = slots.select("era", "first", "width", "slot0", "at", F.get("parts", F.col("i"))["src"].alias("src"))
     slots = slots.withColumn("j", (F.row_number().over(W.partitionBy("era", "src").orderBy("at")) - 1).cast("bigint"))
-    return blocks.join(F.broadcast(eras.select("breaks"))).select("src", "a", "breaks"), slots
+    return blocks.select("src", "a", "breaks"), slots
 
 
 def mix_sources(docs: DataFrame, weights: dict[str, int] | None = None, block_docs: int = BLOCK_DOCS, temperature: float = 0.5, quanta: int = QUANTA) -> DataFrame:
