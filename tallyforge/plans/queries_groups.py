@@ -114,7 +114,7 @@ def first_reject_reason(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @REGISTRY.query("rollout_gate_chain", f"""{RW}, j AS (SELECT grp, idx, CASE WHEN quantity < 3 THEN 'bad_schema' WHEN partkey % 29 = 0 THEN 'bad_tokens' WHEN partkey % 31 = 0 THEN 'prompt_mismatch' WHEN suppkey % 37 = 0 THEN 'bad_signature' WHEN quantity > 49 THEN 'proof_fail' WHEN tax < 0.005 THEN 'bad_termination'
  WHEN reward_c > 0.95 THEN 'logprob_mismatch' WHEN CASE WHEN idx > 5 THEN NULL ELSE NOT quantity >= 5 END THEN 'distribution_suspicious' END AS reason, quantity, reward_c, tax FROM rw)
-SELECT grp, arg_min(reason, idx) FILTER (WHERE reason IS NOT NULL) AS rollout_reason, max(quantity) AS sketch_diff_max, round(max(CASE WHEN idx % 4 <> 0 THEN reward_c END), 6) AS lp_dev_max, min(CASE WHEN idx % 3 <> 0 THEN tax END) AS dist_q10_min FROM j GROUP BY grp""")
+SELECT grp, arg_min(reason, struct_pack(i := idx, r := reason)) FILTER (WHERE reason IS NOT NULL) AS rollout_reason, max(quantity) AS sketch_diff_max, round(max(CASE WHEN idx % 4 <> 0 THEN reward_c END), 6) AS lp_dev_max, min(CASE WHEN idx % 3 <> 0 THEN tax END) AS dist_q10_min FROM j GROUP BY grp""")
 def rollout_gate_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     """C8-C15 and the assembly of the worst measurements; null verdicts pass, infinite deviations are left out."""
     r = lens.reward_groups(spark, sf_dir)

@@ -17,13 +17,14 @@ ARCHIVE_SCHEMA = (
 )
 
 
-def indexed_parquet(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
+def indexed_parquet(spark: SparkSession, path: str | list[str], columns: list[str]) -> DataFrame:
     """The columns and idx, a global row number: files by name, rows as they lie in them.
 
     Row counts come per file (a metadata-sized table); only it is ordered in one place, never the rows.
     """
-    rows = spark.read.parquet(path).select(*columns, F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
-    counts = spark.read.parquet(path).groupBy(F.col("_metadata.file_path").alias("_file")).agg(F.count(F.lit(1)).alias("n"))
+    paths = [path] if isinstance(path, str) else path
+    rows = spark.read.parquet(*paths).select(*columns, F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+    counts = spark.read.parquet(*paths).groupBy(F.col("_metadata.file_path").alias("_file")).agg(F.count(F.lit(1)).alias("n"))
     starts = counts.select("_file", F.coalesce(F.sum("n").over(W.orderBy("_file").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_start"))
     return rows.join(starts, "_file").select((F.col("_start") + F.col("_row")).alias("idx"), *columns)
 
