@@ -1,6 +1,6 @@
 """Line dedup: an exact set-similarity join over the lines of all documents.
 
-A line is the set of its words (runs without white space, lower-cased). A line is removed if an earlier line, in the order
+A line is the set of its words (runs without ASCII white space, lower-cased). A line is removed if an earlier line, in the order
 of (doc_id, line number), has a Jaccard similarity of 4/5 or more with it; both are judged on the input. Lines without
 a word stay.
 
@@ -31,23 +31,25 @@ from pyspark.sql import functions as F
 
 from tallyforge.llm.textops import row_key
 from tallyforge.plans.registry import table
-from tallyforge.session import ensure_checkpoint_dir
+from tallyforge.session import ensure_checkpoint_dir, materialize
 
 SLOTS = 1 << 16
 #: The similarity as a fraction: 4/5.
 NUM, DEN = 4, 5
-WORD_BREAK = r"[ \t\r\x0B\f\x{85}\x{A0}\x{2028}\x{2029}]+"
+#: What separates words: ASCII white space.
+WORD_BREAK = r"[ \t\r\x0B\f]+"
+BLANKS = " \t\r\x0b\f"
 #: Documents with removed lines whose lists may be broadcast (a few dozen bytes each).
 BROADCAST_DOCS = 400_000
 
 
-def _word_hashes(text: Column, separator: str) -> Column:
-    return F.transform(F.array_remove(F.split(F.lower(text), separator), ""), lambda w: F.xxhash64(w))
+def _trimmed(line: Column) -> Column:
+    return F.trim(line, F.lit(BLANKS))
 
 
 def rarity_table(docs: DataFrame) -> Column:
     """A literal array: the rank of each slot by how many words of the corpus fall into it."""
-    words = docs.select(F.explode(F.split(F.lower("text"), r"[\n \t\r\x0B\f\x{85}\x{A0}\x{2028}\x{2029}]+")).alias("w"))
+    words = docs.select(F.explode(F.split(F.lower("text"), r"[\n \t\r\x0B\f]+")).alias("w"))
     rows = words.groupBy(F.xxhash64("w").bitwiseAND(F.lit(SLOTS - 1)).alias("slot")).count().collect()  # SLOTS rows at most
     count = [0] * SLOTS
     for r in rows:
@@ -59,15 +61,17 @@ def rarity_table(docs: DataFrame) -> Column:
 
 
 def _keys(line: Column, ranks: Column) -> Column:
-    """The distinct words of a line as sorted 63-bit keys, rarest first."""
+    """The distinct words of a trimmed line as sorted 63-bit keys, rarest first."""
+    hashes = F.transform(F.split(F.lower(line), WORD_BREAK), lambda w: F.xxhash64(w))
     key = lambda h: F.shiftleft(F.get(ranks, h.bitwiseAND(F.lit(SLOTS - 1)).cast("int")).cast("bigint"), 47).bitwiseOR(h.bitwiseAND(F.lit((1 << 47) - 1)))
-    return F.sort_array(F.array_distinct(F.transform(_word_hashes(line, WORD_BREAK), key)))
+    return F.sort_array(F.array_distinct(F.transform(hashes, key)))
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """(doc, no, line, h) of every line; h stands for the line's text."""
+    """(doc, no, line, h) of every line with a word; line is trimmed, h stands for it."""
     key = row_key(F.col("doc_id"), F.col("text"))
     lines = docs.select(key.alias("doc"), F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("no", "line"))
+    lines = lines.select("doc", "no", _trimmed(F.col("line")).alias("line")).where("line <> ''")
     return lines.select("doc", "no", "line", F.xxhash64("line").alias("h"))
 
 
@@ -91,15 +95,15 @@ def _filters(x: dict[str, Column], y: dict[str, Column]) -> Column:
 
 
 def prefix_rows(docs: DataFrame, ranks: Column) -> DataFrame:
-    """Prefix words that two classes share or more: tok, h, n, i, bits, at (first place), and the leader's h, n, i, bits."""
-    sets = _lines(docs).select("h", "doc", "no", _keys(F.col("line"), ranks).alias("keys")).where(F.size("keys") > 0)
+    """Prefix words that two classes share or more: tok, h, n, i, bits, doc (of the first place), and the leader's h, n, i, bits."""
+    sets = _lines(docs).select("h", "doc", _keys(F.col("line"), ranks).alias("keys"))
     n = F.size("keys")
     bits = F.aggregate("keys", F.lit(0).cast("bigint"), lambda a, t: a.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), t.bitwiseAND(F.lit(63)).cast("int"))))
     prefix = F.slice("keys", F.lit(1), (n - F.ceil(n * NUM / DEN) + 1).cast("int"))
-    classes = sets.select("h", n.alias("n"), bits.alias("bits"), prefix.alias("prefix"), _place().alias("at"))
-    classes = classes.groupBy("h", "n", "bits", "prefix").agg(F.min("at").alias("at"))
-    rows = classes.select("h", "n", "bits", "at", F.posexplode("prefix").alias("i", "tok"))
-    w = W.partitionBy("tok").orderBy("at")
+    classes = sets.select("h", n.alias("n"), bits.alias("bits"), prefix.alias("prefix"), "doc")
+    classes = classes.groupBy("h", "n", "bits", "prefix").agg(F.min("doc").alias("doc"))
+    rows = classes.select("h", "n", "bits", "doc", F.posexplode("prefix").alias("i", "tok"))
+    w = W.partitionBy("tok").orderBy("doc", "h")
     lead = {f"l{c}": F.first(c).over(w) for c in ("h", "n", "i", "bits")}
     rows = rows.withColumns(lead | {"next": F.lead("h").over(w)})
     return rows.where((F.col("h") != F.col("lh")) | F.col("next").isNotNull()).drop("next")
@@ -109,48 +113,50 @@ def later_matches(docs: DataFrame) -> DataFrame:
     """(h): lines whose first place in the corpus has an earlier similar line."""
     ensure_checkpoint_dir(docs.sparkSession)
     ranks = rarity_table(docs)
-    rows = prefix_rows(docs, ranks).checkpoint()
-    c = lambda p, t="": {k: F.col(f"{p}{k}{t}") for k in ("n", "i", "bits")}
-    first = rows.where((F.col("h") != F.col("lh")) & _filters(c(""), c("l"))).select(F.col("h").alias("x"), F.col("lh").alias("y")).distinct().checkpoint()
-    settled = _verified(docs, ranks, first).checkpoint()
-    x = rows.join(settled.select("h"), "h", "left_anti").select("tok", *[F.col(k).alias(f"x_{k}") for k in ("h", "n", "i", "bits", "at", "lh")])
-    y = rows.where(F.col("h") != F.col("lh")).select("tok", *[F.col(k).alias(f"y_{k}") for k in ("h", "n", "i", "bits", "at")])
-    second = x.join(y, (x["tok"] == y["tok"]) & (F.col("y_at") < F.col("x_at")) & _filters(c("x_"), c("y_")))
-    second = second.select(F.col("x_h").alias("x"), F.col("y_h").alias("y")).distinct().checkpoint()
-    return settled.unionAll(_verified(docs, ranks, second)).distinct()
-
-
-def _verified(docs: DataFrame, ranks: Column, pairs: DataFrame) -> DataFrame:
-    """The x of pairs (x, y) whose sets are similar enough."""
+    rows = materialize(prefix_rows(docs, ranks), "line-prefixes")
+    c = lambda p: {k: F.col(f"{p}{k}") for k in ("n", "i", "bits")}
+    first = rows.where((F.col("h") != F.col("lh")) & _filters(c(""), c("l"))).select(F.col("h").alias("x"), F.col("lh").alias("y")).distinct()
+    settled = materialize(_later(docs, ranks, materialize(first, "line-pairs")), "line-later")
+    x = rows.join(settled, "h", "left_anti").select("tok", *[F.col(k).alias(f"x_{k}") for k in ("h", "n", "i", "bits", "doc", "lh")])
+    y = rows.where(F.col("h") != F.col("lh")).select("tok", *[F.col(k).alias(f"y_{k}") for k in ("h", "n", "i", "bits", "doc")])
+    second = x.join(y, (x["tok"] == y["tok"]) & (F.col("y_doc") <= F.col("x_doc")) & (F.col("x_h") != F.col("y_h")) & _filters(c("x_"), c("y_")))
+    second = second.select(F.least("x_h", "y_h").alias("x"), F.greatest("x_h", "y_h").alias("y")).distinct()
+    return settled.unionAll(_later(docs, ranks, materialize(second, "line-pairs"))).distinct()
+
+
+def _later(docs: DataFrame, ranks: Column, pairs: DataFrame) -> DataFrame:
+    """(h): of each pair (x, y) of similar enough sets the one whose first place is later."""
     wanted = pairs.select(F.col("x").alias("h")).unionAll(pairs.select(F.col("y").alias("h"))).distinct()
     if wanted.count() <= 4 * BROADCAST_DOCS:
         wanted = F.broadcast(wanted)
-    sets = _lines(docs).join(wanted, "h", "left_semi").groupBy("h").agg(F.first("line").alias("line")).select("h", _keys(F.col("line"), ranks).alias("keys"))
-    joined = pairs.join(sets.select(F.col("h").alias("x"), F.col("keys").alias("kx")), "x").join(sets.select(F.col("h").alias("y"), F.col("keys").alias("ky")), "y")
+    found = _lines(docs).join(wanted, "h", "left_semi").groupBy("h").agg(F.min(_place()).alias("at"), F.first("line").alias("line"))
+    sets = materialize(found.select("h", "at", _keys(F.col("line"), ranks).alias("keys")), "line-sets")
+    joined = pairs.join(sets.select(F.col("h").alias("x"), F.col("keys").alias("kx"), F.col("at").alias("ax")), "x").join(sets.select(F.col("h").alias("y"), F.col("keys").alias("ky"), F.col("at").alias("ay")), "y")
     common = F.size(F.array_intersect("kx", "ky"))
-    return joined.where(common * DEN >= (F.size("kx") + F.size("ky") - common) * NUM).select(F.col("x").alias("h")).distinct()
+    similar = common * DEN >= (F.size("kx") + F.size("ky") - common) * NUM
+    return joined.where(similar).select(F.when(F.col("ax") > F.col("ay"), F.col("x")).otherwise(F.col("y")).alias("h")).distinct()
 
 
 def removed_lines(docs: DataFrame) -> DataFrame:
     """(doc, gone): the numbers of the lines that each document loses, counted from 0."""
-    matched = later_matches(docs).checkpoint()
-    solid = _lines(docs).where(F.col("line").rlike(r"[^\s\x{85}\x{A0}\x{2028}\x{2029}]")).select("doc", "no", "h", _place().alias("at"))
-    first = solid.groupBy("h").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("k"))
-    first = first.join(matched.select("h", F.lit(True).alias("hit")), "h", "left").where((F.col("k") > 1) | F.col("hit")).checkpoint()
-    gone = solid.join(first, "h").where(F.coalesce("hit", F.lit(False)) | (F.col("at") != F.col("first")))
+    matched = later_matches(docs)
+    placed = _lines(docs).select("doc", "no", "h", _place().alias("at"))
+    first = placed.groupBy("h").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("k"))
+    first = materialize(first.join(matched.select("h", F.lit(True).alias("hit")), "h", "left").where((F.col("k") > 1) | F.col("hit")), "line-classes")
+    gone = placed.join(first, "h").where(F.coalesce("hit", F.lit(False)) | (F.col("at") != F.col("first")))
     return gone.select("doc", "no").distinct().groupBy("doc").agg(F.sort_array(F.collect_list("no")).alias("gone"))
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
     """docs with the later lines taken out of text, and _ld_lines and _ld_gone (counts of lines)."""
-    gone = removed_lines(docs).checkpoint()
+    gone = materialize(removed_lines(docs), "lines-gone")
     if gone.count() <= BROADCAST_DOCS:
         gone = F.broadcast(gone)
     keyed = docs.withColumn("_ld_doc", row_key(F.col("doc_id"), F.col("text")))
     joined = keyed.join(gone.select(F.col("doc").alias("_ld_doc"), F.col("gone").alias("_ld_list")), "_ld_doc", "left")
     lines = F.split("text", "\n")
-    # lists are sorted and small beside the text; a document without any keeps its text as it is
-    marks = F.when(F.col("_ld_list").isNull(), F.col("text")).otherwise(F.array_join(F.array_except(F.transform(lines, lambda x, i: F.struct(i.alias("i"), x.alias("x"))), F.transform("_ld_list", lambda i: F.struct(i.alias("i"), F.get(lines, i).alias("x"))))["x"], "\n"))
+    kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("_ld_list", i)), "\n")
+    marks = F.when(F.col("_ld_list").isNull(), F.col("text")).otherwise(kept)
     out = joined.withColumns({"_ld_lines": F.size(F.split(F.coalesce("text", F.lit("")), "\n")).cast("bigint"), "_ld_gone": F.coalesce(F.size("_ld_list"), F.lit(0)).cast("bigint")})
     return out.withColumn("text", marks).select(*docs.columns, "_ld_lines", "_ld_gone")
 
@@ -163,15 +169,15 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORACLE = r"""
 WITH ln AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS no FROM documents),
-tk AS (SELECT doc_id, no, line, list_distinct(list_filter(regexp_split_to_array(lower(line), '[ \t\r\x0B\f\x{85}\x{A0}\x{2028}\x{2029}]+'), lambda x: x <> '')) AS ws FROM ln),
-cls AS (SELECT row_number() OVER (ORDER BY doc_id, no) AS c, * FROM (SELECT *, row_number() OVER (PARTITION BY line ORDER BY doc_id, no) AS k FROM tk WHERE len(ws) > 0) WHERE k = 1),
+tk AS (SELECT doc_id, no, line, list_distinct(list_filter(regexp_split_to_array(lower(line), '[ \t\r\x0B\f]+'), lambda x: x <> '')) AS ws FROM ln),
+cls AS (SELECT row_number() OVER (ORDER BY doc_id, no) AS c, * FROM (SELECT *, row_number() OVER (PARTITION BY trim(line, ' ' || chr(9) || chr(13) || chr(11) || chr(12)) ORDER BY doc_id, no) AS k FROM tk WHERE len(ws) > 0) WHERE k = 1),
 tok AS (SELECT c, len(ws) AS n, unnest(ws) AS w FROM cls),
 df AS (SELECT w, count(*) AS df FROM tok GROUP BY w),
 ord AS (SELECT c, n, w, row_number() OVER (PARTITION BY c ORDER BY df, w) AS i FROM tok JOIN df USING (w)),
 pre AS (SELECT * FROM ord WHERE i <= n - ceil(n * 0.8) + 1),
 pairs AS (SELECT DISTINCT a.c AS x, b.c AS y FROM pre a JOIN pre b ON a.w = b.w AND b.c < a.c AND 5 * least(a.n, b.n) >= 4 * greatest(a.n, b.n)),
 sim AS (SELECT DISTINCT x FROM (SELECT x, len(list_intersect(a.ws, b.ws)) AS o, len(a.ws) + len(b.ws) AS s FROM pairs JOIN cls a ON a.c = x JOIN cls b ON b.c = y) WHERE 5 * o >= 4 * (s - o)),
-gone AS (SELECT tk.doc_id, tk.no FROM tk JOIN cls ON tk.line = cls.line WHERE len(tk.ws) > 0 AND (cls.c IN (SELECT x FROM sim) OR tk.doc_id <> cls.doc_id OR tk.no <> cls.no))
+gone AS (SELECT tk.doc_id, tk.no FROM tk JOIN cls ON trim(tk.line, ' ' || chr(9) || chr(13) || chr(11) || chr(12)) = trim(cls.line, ' ' || chr(9) || chr(13) || chr(11) || chr(12)) WHERE len(tk.ws) > 0 AND (cls.c IN (SELECT x FROM sim) OR tk.doc_id <> cls.doc_id OR tk.no <> cls.no))
 SELECT doc_id, count(*)::BIGINT AS n_lines, count(gone.no)::BIGINT AS n_removed,
   sha256(coalesce(string_agg(line, chr(10) ORDER BY no) FILTER (WHERE gone.no IS NULL), '')) AS kept_sha256
 FROM ln LEFT JOIN gone USING (doc_id, no) GROUP BY doc_id
