@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from tallyforge.llm import chatformat, decontam, langid, linededup, mixing, quality_model, quality_rules, simhash, tokencount
+from tallyforge.llm import chatformat, decontam, langid, linededup, mixing, quality_model, quality_rules, simhash, suffixdedup, tokencount
 from tallyforge.plans.registry import Registry
 
 REGISTRY = Registry()
@@ -11,6 +11,7 @@ REGISTRY.query("op1_decontamination", decontam.ORACLE)(decontam.op1_decontaminat
 REGISTRY.query("op2_language_id")(langid.op2_language_id)
 REGISTRY.query("op3_chat_format", chatformat.ORACLE)(chatformat.op3_chat_format)
 REGISTRY.query("op4_line_dedup", linededup.ORACLE)(linededup.op4_line_dedup)
+REGISTRY.query("op5_suffix_dedup")(suffixdedup.op5_suffix_dedup)
 REGISTRY.query("op6_simhash")(simhash.op6_simhash)
 REGISTRY.query("op7_quality_model")(quality_model.op7_quality_model)
 REGISTRY.query("op8_mixing")(mixing.op8_mixing)
