@@ -50,3 +50,14 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = f"{ensure_checkpoint_dir(df.sparkSession).rstrip('/')}/tables/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
+
+
+def bucketed(df: DataFrame, name: str, key: str) -> DataFrame:
+    """df written as a table of the warehouse that is bucketed and sorted by a key, and read again.
+
+    Joins and aggregations by the key then read it without a shuffle, however often.
+    """
+    spark = df.sparkSession
+    table, n = f"{name}_{uuid.uuid4().hex}", int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.write.bucketBy(n, key).sortBy(key).format("parquet").saveAsTable(table)
+    return spark.table(table)
