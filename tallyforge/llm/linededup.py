@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from tallyforge.llm.textops import row_key
 from tallyforge.plans.registry import table
-from tallyforge.session import ensure_checkpoint_dir, materialize
+from tallyforge.session import bucketed, ensure_checkpoint_dir, materialize
 
 SLOTS = 1 << 16
 #: The similarity as a fraction: 4/5.
@@ -113,11 +113,12 @@ def later_matches(docs: DataFrame) -> DataFrame:
     """(h): lines whose first place in the corpus has an earlier similar line."""
     ensure_checkpoint_dir(docs.sparkSession)
     ranks = rarity_table(docs)
-    rows = materialize(prefix_rows(docs, ranks), "line-prefixes")
+    rows = bucketed(prefix_rows(docs, ranks), "line_prefixes", "tok")  # dealt once, for both rounds
     c = lambda p: {k: F.col(f"{p}{k}") for k in ("n", "i", "bits")}
     first = rows.where((F.col("h") != F.col("lh")) & _filters(c(""), c("l"))).select(F.col("h").alias("x"), F.col("lh").alias("y")).distinct()
     settled = materialize(_later(docs, ranks, materialize(first, "line-pairs")), "line-later")
-    x = rows.join(settled, "h", "left_anti").select("tok", *[F.col(k).alias(f"x_{k}") for k in ("h", "n", "i", "bits", "doc", "lh")])
+    known = F.broadcast(settled) if settled.count() <= 4 * BROADCAST_DOCS else settled
+    x = rows.join(known, "h", "left_anti").select("tok", *[F.col(k).alias(f"x_{k}") for k in ("h", "n", "i", "bits", "doc", "lh")])
     y = rows.where(F.col("h") != F.col("lh")).select("tok", *[F.col(k).alias(f"y_{k}") for k in ("h", "n", "i", "bits", "doc")])
     second = x.join(y, (x["tok"] == y["tok"]) & (F.col("y_doc") <= F.col("x_doc")) & (F.col("x_h") != F.col("y_h")) & _filters(c("x_"), c("y_")))
     second = second.select(F.least("x_h", "y_h").alias("x"), F.greatest("x_h", "y_h").alias("y")).distinct()

@@ -15,7 +15,8 @@ not fit a machine, so strings are first dealt to places where all equal ones mee
 5. The repeated windows of a record go back to the places it came from, and each document unites them.
 
 Grams are told apart by 64-bit hashes, the bytes around them are compared. Every step is a scan or a shuffle of records;
-text moves once, to meet its own removal list. Results are those of comparing all windows with all.
+text moves only where the lists of
+spans are too many to broadcast (BROADCAST_DOCS). Results are those of comparing all windows with all.
 
 Defined results: null text is empty and nothing of it is removed; texts shorter than LENGTH lose nothing; repeated rows lose
 everything that is LENGTH bytes or longer, as the other row holds it too; an empty table gives an empty table; extra
@@ -25,12 +26,13 @@ columns are ignored.
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from collections.abc import Iterator
 from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyforge.llm.lyndon import suffix_array
@@ -38,7 +40,9 @@ from tallyforge.plans.registry import table
 from tallyforge.session import ensure_checkpoint_dir, materialize
 
 LENGTH = 200
-GRAM = 150
+GRAM = 120
+#: Documents whose removed spans may be broadcast (a few dozen bytes each).
+BROADCAST_DOCS = 400_000
 #: Windows of a text that are worked on at once; positions in a piece fit 20 bits.
 PIECE = (1 << 20) - 1024
 #: Bits of the bitmap: the least power of two that gives 16 for each marked gram, between these bounds (32 MB at most).
@@ -131,33 +135,44 @@ def marked_grams(docs: DataFrame, picker: Picker) -> np.ndarray:
     return out
 
 
-def _records(docs: DataFrame, picker: Picker, bitmap: np.ndarray) -> DataFrame:
-    """(key, at, gram, ctx, left, right) of the records of marked grams; ctx is a hash of the bytes around the gram."""
+def _records(docs: DataFrame, picker: Picker, bitmap: np.ndarray, places: bool) -> DataFrame:
+    """The records of marked grams: (key, at, gram, left, right) of every place, or (gram, left, right, n) counted by batch."""
     shared = docs.sparkSession.sparkContext.broadcast(bitmap)
     shift = 64 - (len(bitmap) * 8).bit_length() + 1
-    names = ["key", "at", "gram", "left", "right"]
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def found(batch: pa.RecordBatch) -> Iterator[tuple[int, int, int, bytes, bytes]]:
         marks = shared.value
+        for key, text in zip(batch.column("key").to_pylist(), batch.column("text").to_pylist()):
+            raw = _raw(text)
+            data = raw.tobytes()
+            for offset, gram, place, first, last in picker.records(raw):
+                bit = (gram.view(np.uint64) >> _U(shift)).astype(np.int64)
+                hit = np.flatnonzero(marks[bit >> 3] & (128 >> (bit & 7)))
+                for g, p, a, b in zip(gram[hit].tolist(), (place[hit] + offset).tolist(), (first[hit] + offset).tolist(), (last[hit] + offset).tolist()):
+                    yield key, a, g, data[a:p], data[p + picker.gram : b + picker.length]
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, ats, grams, lefts, rights = [], [], [], [], []
-            for key, text in zip(batch.column("key").to_pylist(), batch.column("text").to_pylist()):
-                raw = _raw(text)
-                data = raw.tobytes()
-                for offset, gram, place, first, last in picker.records(raw):
-                    bit = (gram.view(np.uint64) >> _U(shift)).astype(np.int64)
-                    hit = np.flatnonzero(marks[bit >> 3] & (128 >> (bit & 7)))
-                    for g, p, a, b in zip(gram[hit].tolist(), (place[hit] + offset).tolist(), (first[hit] + offset).tolist(), (last[hit] + offset).tolist()):
-                        keys.append(key)
-                        ats.append(a)
-                        grams.append(g)
-                        lefts.append(data[a:p])
-                        rights.append(data[p + picker.gram : b + picker.length])
+            columns = list(zip(*found(batch))) or [()] * 5
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip((keys, ats, grams, lefts, rights), kinds)], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(columns, kinds)], names=["key", "at", "gram", "left", "right"])
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            counts = Counter(r[2:] for r in found(batch))
+            columns = [*(list(zip(*counts)) or [()] * 3), list(counts.values())]
+            kinds = (pa.int64(), pa.binary(), pa.binary(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(columns, kinds)], names=["gram", "left", "right", "n"])
 
-    rows = docs.select("key", "text").mapInArrow(work, "key bigint, at bigint, gram bigint, left binary, right binary")
-    return rows.withColumn("ctx", F.xxhash64("left", F.lit(0), "right"))
+    source = docs.select("key", "text")
+    if places:
+        return source.mapInArrow(each, "key bigint, at bigint, gram bigint, left binary, right binary")
+    return source.mapInArrow(counted, "gram bigint, left binary, right binary, n bigint")
+
+
+def _around() -> Column:
+    """A hash of the bytes on either side of a gram."""
+    return F.xxhash64("left", F.lit(0), "right")
 
 
 def _shared(a: bytes, b: bytes) -> int:
@@ -244,12 +259,25 @@ def _by_suffixes(parts: list[tuple[bytes, bytes]], alone: set[tuple[bytes, bytes
     return out
 
 
-def removal_runs(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """(key, starts): runs of repeated window starts of each keyed document, as first and last in turn."""
+def _united(starts: list[int], length: int) -> list[int]:
+    """The maximal spans of bytes (begin, end in turn) that runs of window starts (first, last in turn) cover."""
+    out: list[int] = []
+    for first, last in sorted(zip(starts[::2], starts[1::2])):
+        if out and first <= out[-1]:
+            out[-1] = max(out[-1], last + length)
+        else:
+            out += [first, last + length]
+    return out
+
+
+def removal_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+    """(key, spans): the spans of bytes that each keyed document loses, begin and end in turn."""
     picker = Picker(length, gram)
-    records = _records(docs, picker, marked_grams(docs, picker))
-    distinct = records.groupBy("gram", "ctx", "left", "right").agg(F.count(F.lit(1)).alias("n"))
-    met = distinct.repartition("gram").sortWithinPartitions("gram", "ctx")
+    bitmap = marked_grams(docs, picker)
+    # counted by batch before the one shuffle; dealt by gram alone, so the sums and the sort need no other
+    dealt = _records(docs, picker, bitmap, places=False).repartition("gram")
+    met = dealt.groupBy("gram", "left", "right").agg(F.sum("n").alias("n")).withColumn("ctx", _around())
+    met = met.sortWithinPartitions("gram", "ctx")
 
     def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for batch in batches:
@@ -276,33 +304,37 @@ def removal_runs(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> Dat
         yield flush()
 
     found = materialize(met.mapInArrow(resolve, "gram bigint, ctx bigint, runs array<int>"), "repeated")
-    places = records.select("key", "at", "gram", "ctx").join(found, ["gram", "ctx"])
-    return places.groupBy("key").agg(F.flatten(F.collect_list(F.transform("runs", lambda x: x + F.col("at")))).alias("starts"))
+    places = _records(docs, picker, bitmap, places=True).select("key", "at", "gram", _around().alias("ctx")).join(found, ["gram", "ctx"])
+    runs = places.groupBy("key").agg(F.flatten(F.collect_list(F.transform("runs", lambda x: x + F.col("at")))).alias("starts"))
+
+    def unite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            spans = [_united(starts, length) for starts in batch.column("starts").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(spans, pa.list_(pa.int64()))], names=["key", "spans"])
+
+    return runs.mapInArrow(unite, "key bigint, spans array<bigint>")
 
 
 def dedup_bytes(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """Per document: doc_id, kept (bytes), n_bytes, n_removed, n_spans."""
     ensure_checkpoint_dir(docs.sparkSession)
     keyed = _keyed(docs)
-    runs = removal_runs(keyed, length, gram).distinct()
-    joined = keyed.select("key", "doc_id", "text").join(runs.hint("shuffle_hash"), "key", "left").select("doc_id", "text", "starts")
+    spans = materialize(removal_spans(keyed, length, gram), "spans")
+    spans = F.broadcast(spans) if spans.count() <= BROADCAST_DOCS else spans.hint("shuffle_hash")
+    joined = keyed.join(spans, "key", "left").select("doc_id", "text", "spans")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            kept, total, gone, spans = [], [], [], []
-            for text, starts in zip(batch.column("text").to_pylist(), batch.column("starts").to_pylist()):
-                raw = _raw(text)
-                cover = np.zeros(len(raw) + 1, np.int64)
-                if starts:
-                    pairs = np.array(starts, np.int64).reshape(-1, 2)
-                    np.add.at(cover, pairs[:, 0], 1)
-                    np.add.at(cover, pairs[:, 1] + length, -1)
-                dead = np.cumsum(cover)[:-1] > 0
-                kept.append(raw[~dead].tobytes())
+            kept, total, gone, count = [], [], [], []
+            for text, lost in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist()):
+                raw = _raw(text).tobytes()
+                edges = [0, *(lost or []), len(raw)]
+                rest = b"".join(raw[a:b] for a, b in zip(edges[::2], edges[1::2]))
+                kept.append(rest)
                 total.append(len(raw))
-                gone.append(int(dead.sum()))
-                spans.append(int((dead & ~np.concatenate(([False], dead[:-1]))).sum()) if len(raw) else 0)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(kept, pa.binary()), *(pa.array(x, pa.int64()) for x in (total, gone, spans))], names=["doc_id", "kept", "n_bytes", "n_removed", "n_spans"])
+                gone.append(len(raw) - len(rest))
+                count.append(len(lost or []) // 2)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(kept, pa.binary()), *(pa.array(x, pa.int64()) for x in (total, gone, count))], names=["doc_id", "kept", "n_bytes", "n_removed", "n_spans"])
 
     return joined.mapInArrow(work, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, kept binary, n_bytes bigint, n_removed bigint, n_spans bigint")
 
