@@ -134,7 +134,17 @@ def capped_source(spark, path: str, schema: str, files: int = 1, format: str = "
 
 
 def drain(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """Run what is there to its end into a memory table, for tests and demonstrations."""
-    query = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
-    query.awaitTermination()
-    return stream.sparkSession.table(name)
+    """Run what is there to its end into a memory table, for tests and demonstrations.
+
+    Batches without data are off meanwhile: with a processing-time timeout they would follow each other for ever.
+    """
+    spark = stream.sparkSession
+    key = "spark.sql.streaming.noDataMicroBatches.enabled"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "false")
+    try:
+        query = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
+        query.awaitTermination()
+    finally:
+        spark.conf.set(key, before)
+    return spark.table(name)
