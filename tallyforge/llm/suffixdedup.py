@@ -14,7 +14,8 @@ not fit a machine, so strings are first dealt to places where all equal ones mee
    is repeated if its suffix shares all its symbols with a neighbour, or if its record occurs more than once.
 5. The repeated windows of a record go back to the places it came from, and each document unites them.
 
-Grams are told apart by 64-bit hashes, the bytes around them are compared. Every step is a scan or a shuffle of records;
+Grams are told apart by 64-bit hashes, the bytes around them are compared, and a record is known by its gram and a
+64-bit hash of those bytes when its windows go back to their places. Every step is a scan or a shuffle of records;
 text moves only where the lists of
 spans are too many to broadcast (BROADCAST_DOCS). Results are those of comparing all windows with all.
 
@@ -28,11 +29,12 @@ from __future__ import annotations
 import hashlib
 from collections import Counter
 from collections.abc import Iterator
-from itertools import groupby
+from itertools import groupby, islice
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+import xxhash
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyforge.llm.lyndon import suffix_array
@@ -41,6 +43,8 @@ from tallyforge.session import ensure_checkpoint_dir, materialize
 
 LENGTH = 200
 GRAM = 120
+#: Records that a worker holds at once.
+FLUSH = 40_000
 #: Documents whose removed spans may be broadcast (a few dozen bytes each).
 BROADCAST_DOCS = 400_000
 #: Windows of a text that are worked on at once; positions in a piece fit 20 bits.
@@ -136,43 +140,44 @@ def marked_grams(docs: DataFrame, picker: Picker) -> np.ndarray:
 
 
 def _records(docs: DataFrame, picker: Picker, bitmap: np.ndarray, places: bool) -> DataFrame:
-    """The records of marked grams: (key, at, gram, left, right) of every place, or (gram, left, right, n) counted by batch."""
+    """The records of marked grams: (key, at, gram, ctx) of every place, or (gram, left, right, n), counted in pieces of FLUSH."""
     shared = docs.sparkSession.sparkContext.broadcast(bitmap)
     shift = 64 - (len(bitmap) * 8).bit_length() + 1
 
-    def found(batch: pa.RecordBatch) -> Iterator[tuple[int, int, int, bytes, bytes]]:
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, int, bytes, bytes]]:
         marks = shared.value
-        for key, text in zip(batch.column("key").to_pylist(), batch.column("text").to_pylist()):
-            raw = _raw(text)
-            data = raw.tobytes()
-            for offset, gram, place, first, last in picker.records(raw):
-                bit = (gram.view(np.uint64) >> _U(shift)).astype(np.int64)
-                hit = np.flatnonzero(marks[bit >> 3] & (128 >> (bit & 7)))
-                for g, p, a, b in zip(gram[hit].tolist(), (place[hit] + offset).tolist(), (first[hit] + offset).tolist(), (last[hit] + offset).tolist()):
-                    yield key, a, g, data[a:p], data[p + picker.gram : b + picker.length]
+        for batch in batches:
+            for key, text in zip(batch.column("key"), batch.column("text")):
+                raw = _raw(text.as_py())
+                data, key = raw.tobytes(), key.as_py()
+                for offset, gram, place, first, last in picker.records(raw):
+                    bit = (gram.view(np.uint64) >> _U(shift)).astype(np.int64)
+                    hit = np.flatnonzero(marks[bit >> 3] & (128 >> (bit & 7)))
+                    for g, p, a, b in zip(gram[hit].tolist(), (place[hit] + offset).tolist(), (first[hit] + offset).tolist(), (last[hit] + offset).tolist()):
+                        yield key, a, g, data[a:p], data[p + picker.gram : b + picker.length]
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            columns = list(zip(*found(batch))) or [()] * 5
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(columns, kinds)], names=["key", "at", "gram", "left", "right"])
+        rows = ((key, a, g, around(left, right)) for key, a, g, left, right in found(batches))
+        while part := list(islice(rows, FLUSH)):
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*part)], names=["key", "at", "gram", "ctx"])
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            counts = Counter(r[2:] for r in found(batch))
-            columns = [*(list(zip(*counts)) or [()] * 3), list(counts.values())]
+        rows = (r[2:] for r in found(batches))
+        while counts := Counter(islice(rows, FLUSH)):
+            columns = [*zip(*counts), list(counts.values())]
             kinds = (pa.int64(), pa.binary(), pa.binary(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(columns, kinds)], names=["gram", "left", "right", "n"])
 
     source = docs.select("key", "text")
     if places:
-        return source.mapInArrow(each, "key bigint, at bigint, gram bigint, left binary, right binary")
+        return source.mapInArrow(each, "key bigint, at bigint, gram bigint, ctx bigint")
     return source.mapInArrow(counted, "gram bigint, left binary, right binary, n bigint")
 
 
-def _around() -> Column:
-    """A hash of the bytes on either side of a gram."""
-    return F.xxhash64("left", F.lit(0), "right")
+def around(left: bytes, right: bytes) -> int:
+    """A signed 64-bit hash of the bytes on either side of a gram."""
+    value = xxhash.xxh64_intdigest(left + b"|" + right, len(left))
+    return value - (1 << 64) if value >> 63 else value
 
 
 def _shared(a: bytes, b: bytes) -> int:
@@ -276,12 +281,11 @@ def removal_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> Da
     bitmap = marked_grams(docs, picker)
     # counted by batch before the one shuffle; dealt by gram alone, so the sums and the sort need no other
     dealt = _records(docs, picker, bitmap, places=False).repartition("gram")
-    met = dealt.groupBy("gram", "left", "right").agg(F.sum("n").alias("n")).withColumn("ctx", _around())
-    met = met.sortWithinPartitions("gram", "ctx")
+    met = dealt.groupBy("gram", "left", "right").agg(F.sum("n").alias("n")).sortWithinPartitions("gram")
 
     def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for batch in batches:
-            yield from zip(*(batch.column(c).to_pylist() for c in ("gram", "ctx", "left", "right", "n")))
+            yield from zip(*(batch.column(c).to_pylist() for c in ("gram", "left", "right", "n")))
 
     def resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: tuple[list, list, list] = ([], [], [])
@@ -294,17 +298,17 @@ def removal_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> Da
 
         for g, group in groupby(rows_of(batches), key=lambda r: r[0]):
             rows = list(group)
-            for row, runs in zip(rows, repeated_windows([r[2:] for r in rows], length, gram)):
+            for row, runs in zip(rows, repeated_windows([r[1:] for r in rows], length, gram)):
                 if runs:
                     out[0].append(g)
-                    out[1].append(row[1])
+                    out[1].append(around(row[1], row[2]))
                     out[2].append([x for run in runs for x in run])
             if len(out[0]) > 5000:
                 yield flush()
         yield flush()
 
     found = materialize(met.mapInArrow(resolve, "gram bigint, ctx bigint, runs array<int>"), "repeated")
-    places = _records(docs, picker, bitmap, places=True).select("key", "at", "gram", _around().alias("ctx")).join(found, ["gram", "ctx"])
+    places = _records(docs, picker, bitmap, places=True).join(found, ["gram", "ctx"])
     runs = places.groupBy("key").agg(F.flatten(F.collect_list(F.transform("runs", lambda x: x + F.col("at")))).alias("starts"))
 
     def unite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
