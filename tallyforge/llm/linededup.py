@@ -8,8 +8,8 @@ a word stay.
    table has a fixed size, so it is a literal of the plan and no word meets its count by a join.
 2. Equal lines are one class, found by their hash, with partial aggregation before the shuffle.
 3. Two sets of n words with similarity 4/5 share one of the n - ceil(4n/5) + 1 rarest words of each: these prefixes
-   are joined. Pairs are cut by length, by the position of the shared word, and by 64-bit presence maps (their
-   difference never exceeds the sets' difference).
+   are joined. Pairs are cut by length, by the position of the shared word, and by 64-bit parity maps (a
+   word flips one bit, so the maps differ in no more bits than the sets do in words).
 4. Round one compares every class with the earliest class under the same word only, which settles groups of near
    copies with one comparison for each. Round two compares what is still kept with all the others of its words.
 5. Candidates are verified on the words' 64-bit keys (a 16-bit rank and 47 bits of the hash).
@@ -98,7 +98,7 @@ def prefix_rows(docs: DataFrame, ranks: Column) -> DataFrame:
     """Prefix words that two classes share or more: tok, h, n, i, bits, doc (of the first place), and the leader's h, n, i, bits."""
     sets = _lines(docs).select("h", "doc", _keys(F.col("line"), ranks).alias("keys"))
     n = F.size("keys")
-    bits = F.aggregate("keys", F.lit(0).cast("bigint"), lambda a, t: a.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), t.bitwiseAND(F.lit(63)).cast("int"))))
+    bits = F.aggregate("keys", F.lit(0).cast("bigint"), lambda a, t: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), t.bitwiseAND(F.lit(63)).cast("int"))))
     prefix = F.slice("keys", F.lit(1), (n - F.ceil(n * NUM / DEN) + 1).cast("int"))
     classes = sets.select("h", n.alias("n"), bits.alias("bits"), prefix.alias("prefix"), "doc")
     classes = classes.groupBy("h", "n", "bits", "prefix").agg(F.min("doc").alias("doc"))
