@@ -18,8 +18,8 @@ from tallyforge.session import ensure_checkpoint_dir
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents of which no language can be told: null texts and texts without a letter."""
     model = langid.LanguageModel(langid.training_sample(docs))
-    found = langid.identify(docs, model, keep_text=True)
-    return found.where(F.col("lang_pred") != "und").select(*docs.columns)
+    found = langid.identify(docs, model, keep_text=True, prefix="_lid_")
+    return found.where(F.col("_lid_lang_pred") != "und").select(*docs.columns)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -125,15 +125,15 @@ def training_sample(docs: DataFrame, per_language: int = PER_LANGUAGE) -> list[t
     return [(r["text"], r["lang"]) for r in sorted(rows, key=lambda r: r["doc_id"])]
 
 
-def identify(docs: DataFrame, model: LanguageModel, keep_text: bool = False) -> DataFrame:
-    """docs (any columns, with text) and lang_pred and score."""
+def identify(docs: DataFrame, model: LanguageModel, keep_text: bool = False, prefix: str = "") -> DataFrame:
+    """docs (any columns, with text) and lang_pred and score, behind a prefix where docs may have such columns."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def compute(texts: list[str | None]) -> list[list]:
         got = [shared.value.predict(t) for t in texts]
         return [[g[0] for g in got], [g[1] for g in got]]
 
-    return append_from_texts(docs, compute, "lang_pred string, score double", keep_text)
+    return append_from_texts(docs, compute, f"{prefix}lang_pred string, {prefix}score double", keep_text)
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

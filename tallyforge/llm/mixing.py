@@ -112,13 +112,13 @@ def mix_sources(docs: DataFrame, weights: dict[str, int] | None = None, block_do
     numbered = keyed.join(offsets, ["mix_src", "mix_bucket"])
     rank = F.col("mix_before") + F.row_number().over(W.partitionBy("mix_src", "mix_bucket").orderBy("mix_key", tie)) - 1
     numbered = numbered.withColumn("mix_rank", rank)
-    placed = numbered.join(parts.select(F.col("src").alias("mix_src"), F.col("a").alias("mix_share"), "breaks"), "mix_src")
+    placed = numbered.join(parts.select(F.col("src").alias("mix_src"), F.col("a").alias("mix_share"), F.col("breaks").alias("mix_breaks")), "mix_src")
     block = F.floor(F.col("mix_rank") / block_docs)
     placed = placed.withColumns({"mix_round": F.floor(block / F.col("mix_share")), "mix_j": block % F.col("mix_share"), "mix_pos": (F.col("mix_rank") % block_docs).cast("int")})
-    placed = placed.withColumn("mix_era", F.size(F.filter("breaks", lambda x: x <= F.col("mix_round"))) - 1)
-    slot = slots.select(F.col("src").alias("mix_src"), F.col("era").alias("mix_era"), F.col("j").alias("mix_j"), "slot0", "first", "width", "at")
-    placed = placed.join(slot, ["mix_src", "mix_era", "mix_j"])
-    place = F.col("slot0") + (F.col("mix_round") - F.col("first")) * F.col("width") + F.col("at")
+    placed = placed.withColumn("mix_era", F.size(F.filter("mix_breaks", lambda x: x <= F.col("mix_round"))) - 1)
+    names = {"src": "mix_src", "era": "mix_era", "j": "mix_j", "slot0": "mix_slot0", "first": "mix_first", "width": "mix_width", "at": "mix_at"}
+    placed = placed.join(slots.select(*[F.col(a).alias(b) for a, b in names.items()]), ["mix_src", "mix_era", "mix_j"])
+    place = F.col("mix_slot0") + (F.col("mix_round") - F.col("mix_first")) * F.col("mix_width") + F.col("mix_at")
     return placed.select(*[F.col(c) for c in docs.columns], place.cast("bigint").alias("mix_slot"), "mix_pos", F.col("mix_round").cast("bigint").alias("mix_round"), "mix_share")
 
 
