@@ -10,6 +10,7 @@ a word stay.
 3. Two sets of n words with similarity 4/5 share one of the n - ceil(4n/5) + 1 rarest words of each: these prefixes
    are joined. Pairs are cut by length, by the position of the shared word, and by 64-bit parity maps (a
    word flips one bit, so the maps differ in no more bits than the sets do in words).
+   A pair also has to share enough prefix words for its sizes.
 4. Round one compares every class with the earliest class under the same word only, which settles groups of near
    copies with one comparison for each. Round two compares what is still kept with all the others of its words.
 5. Candidates are verified on the words' 64-bit keys (a 16-bit rank and 47 bits of the hash).
@@ -115,14 +116,25 @@ def later_matches(docs: DataFrame) -> DataFrame:
     ranks = rarity_table(docs)
     rows = bucketed(prefix_rows(docs, ranks), "line_prefixes", "tok")  # dealt once, for both rounds
     c = lambda p: {k: F.col(f"{p}{k}") for k in ("n", "i", "bits")}
-    first = rows.where((F.col("h") != F.col("lh")) & _filters(c(""), c("l"))).select(F.col("h").alias("x"), F.col("lh").alias("y")).distinct()
-    settled = materialize(_later(docs, ranks, materialize(first, "line-pairs")), "line-later")
+    first = rows.where((F.col("h") != F.col("lh")) & _filters(c(""), c("l"))).select(F.col("h").alias("x"), F.col("lh").alias("y"), F.col("n").alias("nx"), F.col("ln").alias("ny"))
+    settled = materialize(_later(docs, ranks, materialize(_sharing(first), "line-pairs")), "line-later")
     known = F.broadcast(settled) if settled.count() <= 4 * BROADCAST_DOCS else settled
-    x = rows.join(known, "h", "left_anti").select("tok", *[F.col(k).alias(f"x_{k}") for k in ("h", "n", "i", "bits", "doc", "lh")])
-    y = rows.where(F.col("h") != F.col("lh")).select("tok", *[F.col(k).alias(f"y_{k}") for k in ("h", "n", "i", "bits", "doc")])
+    x = rows.join(known, "h", "left_anti").select("tok", *[F.col(k).alias(f"x_{k}") for k in ("h", "n", "i", "bits", "doc")])
+    y = rows.select("tok", *[F.col(k).alias(f"y_{k}") for k in ("h", "n", "i", "bits", "doc")])
     second = x.join(y, (x["tok"] == y["tok"]) & (F.col("y_doc") <= F.col("x_doc")) & (F.col("x_h") != F.col("y_h")) & _filters(c("x_"), c("y_")))
-    second = second.select(F.least("x_h", "y_h").alias("x"), F.greatest("x_h", "y_h").alias("y")).distinct()
-    return settled.unionAll(_later(docs, ranks, materialize(second, "line-pairs"))).distinct()
+    second = second.select(F.col("x_h").alias("x"), F.col("y_h").alias("y"), F.col("x_n").alias("nx"), F.col("y_n").alias("ny"))
+    return settled.unionAll(_later(docs, ranks, materialize(_sharing(second), "line-pairs"))).distinct()
+
+
+def _sharing(pairs: DataFrame) -> DataFrame:
+    """(x, y) of the pairs whose prefixes share enough words.
+
+    Whichever prefix ends first in the order of words, a shared word inside it is inside the other one too; so the
+    overlap is at most the shared prefix words and what follows that prefix.
+    """
+    rest = F.ceil(F.greatest("nx", "ny") * NUM / DEN) - 1
+    counted = pairs.groupBy("x", "y", "nx", "ny").agg(F.count(F.lit(1)).alias("shared"))
+    return counted.where(F.col("shared") + rest >= _need(F.col("nx"), F.col("ny"))).select("x", "y")
 
 
 def _later(docs: DataFrame, ranks: Column, pairs: DataFrame) -> DataFrame:
