@@ -1,13 +1,17 @@
 """Mixing sources to target weights by Pfair scheduling of blocks.
 
-Every source is cut into blocks of ``block_docs`` documents (in the order of the md5 of their ids) and owns an integer
-share ``a`` of a round of Q = sum(a) slots. Block j of a round has release time floor(j * Q / a) and deadline
-ceil((j + 1) * Q / a); earliest deadline first over these windows puts each block into its window, so at every slot a
-source is less than one block away from its target share. A round repeats for as long as all its sources have a full
-share left. A source with less than a share left spreads that over one last round and then drops out, so all rows
-are placed and the other sources keep their proportions among themselves. The pattern of a round depends only on who
-takes part, so at most 2 * sources + 1 patterns of Q slots are scheduled, by a fold inside one row each; their number
-and size do not depend on the corpus.
+Every source is cut into blocks of ``block_docs`` documents (in the order of the md5 of their ids) and aims at a share
+``a`` of every round, which need not be whole. After i rounds it has had a * i blocks, rounded down or up: the roundings
+up of a round go to the largest remainders, so that the sum stays within half a block of the sum of all a * i. What
+a source gets in one round is therefore a whole number A which differs between rounds, and no rounding adds up over
+the schedule. Inside a round of Q = sum(A) slots, block j has release time floor(j * Q / A) and deadline
+ceil((j + 1) * Q / A); earliest deadline first over these windows puts each block into its window, so at every slot a
+source is less than one block away from its line through the round, whose ends are less than one block away from a * i. A
+source with less than a share left spreads that over its last round and then drops out, so all rows are placed
+and the other sources keep their proportions among themselves. Whole shares are met exactly.
+
+Rounds are scheduled apart from each other, by a fold inside one row each. A round has as many slots as give the smallest
+source a block, so there are at most as many (source, round) rows as blocks; the schedule is one row a block.
 
 Documents find their block by a distributed rank: rows are counted per (source, bucket of the md5), the counts
 are summed up per source, and rows are numbered inside a bucket, so a source with a third of all rows is spread over
@@ -28,67 +32,85 @@ from tallyforge.plans.registry import table
 from tallyforge.session import ensure_checkpoint_dir
 
 BLOCK_DOCS = 8
+#: Slots of a round at least, where shares come from the sizes of the sources.
 QUANTA = 100
+#: Remainders are compared and summed up in whole parts of this size, so their order and sum are exact.
+PARTS = 1 << 40
+#: Rounds whose widths are summed up in one task.
+STRETCH = 4096
+#: Slots that a fold collects before it appends them to the round.
+SEGMENT = 128
 #: md5 prefixes by which a source's rows are dealt: three hex digits.
 PREFIX = 3
 BUCKETS = 16**PREFIX
-#: Rows of the schedule that may be broadcast (24 bytes each).
+#: Rows of the schedule that may be broadcast (40 bytes each).
 BROADCAST_SLOTS = 500_000
 
 
 def shares(counts: DataFrame, weights: dict[str, int] | None = None, temperature: float = 0.5, quanta: int = QUANTA) -> DataFrame:
-    """(src, n, a): the integer share of each source.
+    """(src, n, a): the blocks that each source aims at in a round, a double.
 
     With ``weights`` they are the shares, 1 for sources not named. Otherwise a source of n rows aims at n**temperature,
-    in ``quanta`` parts, one at least.
+    scaled to ``quanta`` slots a round and one block of each source, at least.
     """
     if weights is not None:
         if any(w < 1 for w in weights.values()):
             raise ValueError("shares are positive integers")
         named = F.create_map(*[F.lit(x) for kv in weights.items() for x in kv]) if weights else F.create_map().cast("map<string,int>")
-        return counts.select("src", "n", F.coalesce(F.try_element_at(named, F.col("src")), F.lit(1)).cast("bigint").alias("a"))
+        return counts.select("src", "n", F.coalesce(F.try_element_at(named, F.col("src")), F.lit(1)).cast("double").alias("a"))
     aim = F.pow("n", F.lit(temperature))
-    size = F.greatest(F.lit(1.0), F.floor(F.lit(quanta) * aim / F.sum(aim).over(W.partitionBy(F.lit(1))) + 0.5))
-    return counts.select("src", "n", size.cast("bigint").alias("a"))
+    every = F.array_sort(F.collect_list("aim").over(W.partitionBy(F.lit(1))))  # one number a source, in order, so the sum is the same in every run
+    total = F.aggregate("every", F.lit(0.0), lambda x, y: x + y)
+    scale = F.greatest(F.lit(quanta) / total, 1 / F.get("every", F.lit(0))) * (1 + 2.0**-20)  # above one block in spite of rounding
+    return counts.withColumn("aim", aim).withColumn("every", every).select("src", "n", (F.col("aim") * scale).alias("a"))
 
 
 def _pattern(parts: Column, slots: Column) -> Column:
-    """The sources' positions in ``parts`` (array of src, a) by slot: earliest deadline first among released blocks."""
-
-    def step(acc: Column, t: Column) -> Column:
-        def job(p: Column, i: Column) -> Column:
-            j, a = F.get(acc["done"], i), p["a"]
-            released = (j < a) & (F.floor(j * slots / a) <= t)
-            return F.when(released, F.struct(F.ceil((j + 1) * slots / a).alias("deadline"), i.alias("i")))
-
-        best = F.array_min(F.array_compact(F.transform(parts, job)))["i"]
-        return F.struct(F.transform(acc["done"], lambda x, i: F.when(i == best, x + 1).otherwise(x)).alias("done"), F.concat(acc["order"], F.array(best)).alias("order"))
-
-    zero = F.struct(F.transform(parts, lambda p: F.lit(0).cast("bigint")).alias("done"), F.array().cast("array<int>").alias("order"))
-    return F.aggregate(F.sequence(F.lit(0).cast("bigint"), slots - 1), zero, step, lambda acc: acc["order"])
+    """By slot (i, j): the source's position in ``parts`` (array of src, a) and its block; earliest deadline first among released blocks."""
 
+    def bump(acc: Column) -> Column:
+        return F.transform(acc["jobs"], lambda p: F.struct(p["i"].alias("i"), p["a"].alias("a"), (p["j"] + (p["i"] == acc["best"]["i"]).cast("bigint")).alias("j")))
 
-def schedule(parts: DataFrame, block_docs: int = BLOCK_DOCS) -> tuple[DataFrame, DataFrame]:
-    """From (src, n, a): (src, a, breaks) and (src, era, j, slot0, first, width, at).
-
-    An era is a run of rounds with the same shares. Block b of a source lies in round b div a as its j = b mod a;
-    its slot is slot0 + (round - first) * width + at.
-    """
-    blocks = parts.select("src", "a", F.ceil(F.col("n") / block_docs).alias("b"))
-    ends = F.array(F.floor(F.col("b") / F.col("a")), F.ceil(F.col("b") / F.col("a")))
-    every = F.flatten(F.collect_list(ends).over(W.partitionBy(F.lit(1))))  # two numbers a source
-    breaks = F.array_sort(F.array_distinct(F.concat(F.array(F.lit(0).cast("bigint")), every)))
-    blocks = blocks.withColumn("breaks", breaks)
-    eras = blocks.select("src", "a", "b", "breaks", F.posexplode(F.slice("breaks", 1, F.size("breaks") - 1)).alias("era", "first"))
-    left = F.greatest(F.lit(0).cast("bigint"), F.least(F.col("a"), F.col("b") - F.col("first") * F.col("a")))
-    shared = eras.select("era", "first", F.get("breaks", F.col("era") + 1).alias("end"), "src", left.alias("a")).where("a > 0")  # sources times eras rows
-    eras_all = shared.groupBy("era", "first", "end").agg(F.array_sort(F.collect_list(F.struct("src", "a"))).alias("parts"), F.sum("a").alias("width"))
-    begin = F.coalesce(F.sum(F.col("width") * (F.col("end") - F.col("first"))).over(W.orderBy("era").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    eras_all = eras_all.withColumn("slot0", begin)
-    slots = eras_all.repartition("era").select("era", "first", "width", "slot0", "parts", F.posexplode(_pattern(F.col("parts"), F.col("width"))).alias("at", "i"))
-    slots = slots.select("era", "first", "width", "slot0", "at", F.get("parts", F.col("i"))["src"].alias("src"))
-    slots = slots.withColumn("j", (F.row_number().over(W.partitionBy("era", "src").orderBy("at")) - 1).cast("bigint"))
-    return blocks.select("src", "a", "breaks"), slots
+    def step(acc: Column, t: Column) -> Column:
+        def job(p: Column) -> Column:
+            released = (p["j"] < p["a"]) & (F.floor(p["j"] * slots / p["a"]) <= t)
+            return F.when(released, F.struct(F.ceil((p["j"] + 1) * slots / p["a"]).alias("deadline"), p["i"].alias("i"), p["j"].alias("j")))
+
+        jobs = bump(acc)
+        best = F.array_min(F.transform(jobs, job))
+        return F.struct(jobs.alias("jobs"), best.alias("best"), F.concat(acc["order"], F.array(acc["best"])).alias("order"))
+
+    def segment(acc: Column, start: Column) -> Column:
+        none = F.struct(acc["jobs"].alias("jobs"), acc["best"].alias("best"), empty.alias("order"))
+        ts = F.sequence(start, F.least(start + SEGMENT, slots) - 1)
+        return F.aggregate(ts, none, step, lambda x: F.struct(x["jobs"].alias("jobs"), x["best"].alias("best"), F.concat(acc["order"], x["order"]).alias("order")))
+
+    empty = F.array().cast("array<struct<deadline:bigint,i:int,j:bigint>>")
+    before = F.struct(F.lit(0).cast("bigint").alias("deadline"), F.lit(-1).alias("i"), F.lit(0).cast("bigint").alias("j"))
+    jobs = F.transform(parts, lambda p, i: F.struct(i.alias("i"), p["a"].alias("a"), F.lit(0).cast("bigint").alias("j")))
+    starts = F.sequence(F.lit(0).cast("bigint"), slots - 1, F.lit(SEGMENT).cast("bigint"))
+    order = F.aggregate(starts, F.struct(jobs.alias("jobs"), before.alias("best"), empty.alias("order")), segment, lambda x: F.concat(x["order"], F.array(x["best"])))
+    return F.slice(order, F.lit(2), slots.cast("int"))
+
+
+def schedule(parts: DataFrame, block_docs: int = BLOCK_DOCS) -> DataFrame:
+    """From (src, n, a): (src, block, slot, round, share), one row a block; share is what the source gets in the round."""
+    blocks = parts.select("src", "a", F.ceil(F.col("n") / block_docs).cast("bigint").alias("b"))
+    marks = blocks.select("src", "a", "b", F.explode(F.sequence(F.lit(0).cast("bigint"), F.ceil(F.col("b") / F.col("a")).cast("bigint"))).alias("i"))
+    reach = F.when(F.col("i") < F.ceil(F.col("b") / F.col("a")), F.least(F.col("a") * F.col("i"), F.col("b").cast("double"))).otherwise(F.col("b").cast("double"))
+    marks = marks.withColumn("whole", F.floor(reach)).withColumn("rest", F.floor((reach - F.col("whole")) * PARTS))
+    extra = F.floor((F.sum("rest").over(W.partitionBy("i")) + PARTS // 2) / PARTS)
+    nth = F.row_number().over(W.partitionBy("i").orderBy(F.desc("rest"), "src"))
+    marks = marks.withColumn("done", F.col("whole") + (nth <= extra).cast("bigint"))
+    marks = marks.withColumn("before", F.lag("done").over(W.partitionBy("src").orderBy("i"))).withColumn("share", F.col("done") - F.col("before"))
+    taken = marks.where("share > 0").select((F.col("i") - 1).alias("round"), F.struct("src", F.col("share").alias("a"), "before").alias("part"))
+    rounds = taken.groupBy("round").agg(F.array_sort(F.collect_list("part")).alias("parts"), F.sum("part.a").alias("width")).withColumn("stretch", F.floor(F.col("round") / STRETCH)).checkpoint()
+    so_far = lambda w: F.coalesce(F.sum("width").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    stretches = rounds.groupBy("stretch").agg(F.sum("width").alias("width")).select("stretch", so_far(W.orderBy("stretch")).alias("start"))
+    rounds = rounds.withColumn("inside", so_far(W.partitionBy("stretch").orderBy("round"))).join(F.broadcast(stretches), "stretch")
+    slots = rounds.repartition("round").select("round", (F.col("start") + F.col("inside")).alias("slot0"), "parts", F.posexplode(_pattern(F.col("parts"), F.col("width"))).alias("at", "pick"))
+    part = F.get("parts", F.col("pick.i"))
+    return slots.select(part["src"].alias("src"), (part["before"] + F.col("pick.j")).alias("block"), (F.col("slot0") + F.col("at")).alias("slot"), "round", part["a"].alias("share"))
 
 
 def mix_sources(docs: DataFrame, weights: dict[str, int] | None = None, block_docs: int = BLOCK_DOCS, temperature: float = 0.5, quanta: int = QUANTA) -> DataFrame:
@@ -105,21 +127,17 @@ def mix_sources(docs: DataFrame, weights: dict[str, int] | None = None, block_do
     before = F.coalesce(F.sum("k").over(W.partitionBy("mix_src").orderBy("mix_bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     offsets = sizes.select("mix_src", "mix_bucket", before.alias("mix_before"))
     counts = sizes.groupBy("mix_src").agg(F.sum("k").alias("n")).withColumnRenamed("mix_src", "src")
-    parts, slots = (x.checkpoint() for x in schedule(shares(counts, weights, temperature, quanta).checkpoint(), block_docs))
+    slots = schedule(shares(counts, weights, temperature, quanta).checkpoint(), block_docs).checkpoint()
     if slots.count() <= BROADCAST_SLOTS:
-        slots, parts = F.broadcast(slots), F.broadcast(parts)
+        slots = F.broadcast(slots)
     tie = F.xxhash64(text)
     numbered = keyed.join(offsets, ["mix_src", "mix_bucket"])
     rank = F.col("mix_before") + F.row_number().over(W.partitionBy("mix_src", "mix_bucket").orderBy("mix_key", tie)) - 1
     numbered = numbered.withColumn("mix_rank", rank)
-    placed = numbered.join(parts.select(F.col("src").alias("mix_src"), F.col("a").alias("mix_share"), F.col("breaks").alias("mix_breaks")), "mix_src")
-    block = F.floor(F.col("mix_rank") / block_docs)
-    placed = placed.withColumns({"mix_round": F.floor(block / F.col("mix_share")), "mix_j": block % F.col("mix_share"), "mix_pos": (F.col("mix_rank") % block_docs).cast("int")})
-    placed = placed.withColumn("mix_era", F.size(F.filter("mix_breaks", lambda x: x <= F.col("mix_round"))) - 1)
-    names = {"src": "mix_src", "era": "mix_era", "j": "mix_j", "slot0": "mix_slot0", "first": "mix_first", "width": "mix_width", "at": "mix_at"}
-    placed = placed.join(slots.select(*[F.col(a).alias(b) for a, b in names.items()]), ["mix_src", "mix_era", "mix_j"])
-    place = F.col("mix_slot0") + (F.col("mix_round") - F.col("mix_first")) * F.col("mix_width") + F.col("mix_at")
-    return placed.select(*[F.col(c) for c in docs.columns], place.cast("bigint").alias("mix_slot"), "mix_pos", F.col("mix_round").cast("bigint").alias("mix_round"), "mix_share")
+    placed = numbered.withColumns({"mix_block": F.floor(F.col("mix_rank") / block_docs), "mix_pos": (F.col("mix_rank") % block_docs).cast("int")})
+    names = {"src": "mix_src", "block": "mix_block", "slot": "mix_slot", "round": "mix_round", "share": "mix_share"}
+    placed = placed.join(slots.select(*[F.col(a).alias(b) for a, b in names.items()]), ["mix_src", "mix_block"])
+    return placed.select(*[F.col(c) for c in docs.columns], "mix_slot", "mix_pos", "mix_round", "mix_share")
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -167,6 +167,28 @@ def test_mix_is_within_a_block(spark, odd, none):
         mixing.mix_sources(odd, weights={"a": 0})
 
 
+@pytest.mark.parametrize("sizes", [[9500] + [1000] * 19, [12000 // (k + 1) for k in range(120)], [40_000, 1, 9, 300]], ids=["hot", "zipf", "tiny"])
+def test_default_shares_follow_the_sizes(spark, sizes):
+    counts = spark.createDataFrame([(f"s{k:03}", n) for k, n in enumerate(sizes)], "src string, n bigint")
+    aims = {r["src"]: r["a"] for r in mixing.shares(counts).collect()}
+    assert all(a / aims["s000"] == pytest.approx((n / sizes[0]) ** 0.5) for a, n in zip((aims[f"s{k:03}"] for k in range(len(sizes))), sizes))
+    rows = sorted(mixing.schedule(mixing.shares(counts)).collect(), key=lambda r: r["slot"])
+    blocks = {f"s{k:03}": -(-n // mixing.BLOCK_DOCS) for k, n in enumerate(sizes)}
+    assert [r["slot"] for r in rows] == list(range(sum(blocks.values())))
+    seen = Counter()
+    rounds = {s: -(-b // aims[s]) for s, b in blocks.items()}
+    total = sum(aims.values())
+    for r in rows:
+        assert r["block"] == seen[r["src"]] and r["share"] > 0
+        seen[r["src"]] += 1
+        t = r["slot"] + 1
+        if r["round"] < min(rounds.values()) - 1:  # all take part with a full share: the weights themselves
+            assert all(abs(seen[s] - a * t / total) < 2 for s, a in aims.items())
+        if t == len(rows) or rows[t]["round"] != r["round"]:  # after every round the rounding is under a block
+            assert all(abs(seen[s] - min(b, aims[s] * (r["round"] + 1))) < 1 for s, b in blocks.items())
+    assert seen == blocks
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.lists(st.integers(0, 3), max_size=40))
 def test_suffix_array_is_sorted(symbols):
