@@ -39,9 +39,9 @@ def first_files(spark: SparkSession, path: str, k: int) -> list[str]:
     return sorted(spark.read.parquet(path).inputFiles())[:k]
 
 
-def eligible_indices(spark: SparkSession, path: str, column: str, allowed: list[str], max_files: int) -> DataFrame:
-    """Absolute indices of rows of the first files whose column is allowed."""
-    files = first_files(spark, path, max_files)
+def eligible_indices(spark: SparkSession, path: str, column: str, allowed: list[str], max_files: int | None = None) -> DataFrame:
+    """Absolute indices of rows of the first files (of all without a number) whose column is allowed."""
+    files = path if max_files is None else first_files(spark, path, max_files)
     rows = indexed_parquet(spark, files, [column])
     return rows.where(F.col(column).isin(allowed)).select("idx")
 

@@ -39,6 +39,20 @@ def test_index_over_files(spark, tmp_path):
     assert readers.lookup(readers.indexed_parquet(spark, files, ["src"]), wanted, 4).first()["src"] == "gsm"
 
 
+def test_eligible_indices_cover_all_files(spark, tmp_path):
+    from tallyforge.plans import catalog
+
+    path = str(tmp_path / "documents.parquet")
+    for part in (["de", "en", "fr"], ["fr", "es"], ["de"]):
+        spark.createDataFrame([(x,) for x in part], "lang string").coalesce(1).write.mode("append").parquet(path)
+    files = readers.first_files(spark, path, 3)
+    langs = [r["lang"] for f in files for r in spark.read.parquet(f).collect()]
+    want = [k for k, x in enumerate(langs) if x in ("de", "fr")]
+    assert sorted(r["idx"] for r in catalog.REGISTRY.queries["eligible_indices"](spark, str(tmp_path)).collect()) == want
+    first = spark.read.parquet(files[0]).count()
+    assert sorted(r["idx"] for r in readers.eligible_indices(spark, path, "lang", ["de", "fr"], 1).collect()) == [k for k in want if k < first]
+
+
 def test_pool_lists_json_csv(spark, tmp_path):
     pool = str(tmp_path / "pool")
     rows = spark.createDataFrame([(1, 3, "math"), (2, 4, "code")], "prompt_idx bigint, checkpoint_n int, env_name string")
