@@ -1,7 +1,7 @@
 """Line dedup: an exact set-similarity join over the lines of all documents.
 
 A line is the set of its words (runs without ASCII white space, lower-cased). A line is removed if an earlier line, in the order
-of (doc_id, line number), has a Jaccard similarity of 4/5 or more with it; both are judged on the input. Lines without
+of (doc_id, hash of the text, line number), has a Jaccard similarity of 4/5 or more with it; both are judged on the input. Lines without
 a word stay.
 
 1. Words are ordered by rarity: the corpus count of the word's slot in a table of 2^16 slots, then the word's hash. The
@@ -20,7 +20,8 @@ shuffles carry hashes, never texts; the list of removed lines returns to a docum
 number is within ``BROADCAST_DOCS``, else by a shuffle.
 
 Defined results: null text is one line without words; a null doc_id is ordered by the hash of its text; repeated documents
-are later copies of the first one, and if they share its id too, all rows with that id keep what the first keeps;
+are later copies of the first one, and if they share its id too, all these rows keep what the first keeps; different
+texts under one id are different documents;
 an empty table gives an empty table; extra columns pass through unless they are named ``_ld_*``.
 """
 
@@ -69,16 +70,27 @@ def _keys(line: Column, ranks: Column) -> Column:
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """(doc, no, line, h) of every line with a word; line is trimmed, h stands for it."""
-    key = row_key(F.col("doc_id"), F.col("text"))
-    lines = docs.select(key.alias("doc"), F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("no", "line"))
-    lines = lines.select("doc", "no", _trimmed(F.col("line")).alias("line")).where("line <> ''")
-    return lines.select("doc", "no", "line", F.xxhash64("line").alias("h"))
+    """(doc, key, no, line, h) of every line with a word; line is trimmed, h stands for it."""
+    doc = row_key(F.col("doc_id"), F.col("text"))
+    lines = docs.select(doc.alias("doc"), row_place(docs).alias("key"), F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("no", "line"))
+    lines = lines.select("doc", "key", "no", _trimmed(F.col("line")).alias("line")).where("line <> ''")
+    return lines.select("doc", "key", "no", "line", F.xxhash64("line").alias("h"))
 
 
-def _place(doc: str = "doc", no: str = "no") -> Column:
-    """(doc, no) as one number that orders as they do."""
-    return F.col(doc).cast("decimal(38,0)") * F.lit(10**10).cast("decimal(11,0)") + F.col(no)
+def _sortable(number: Column, digits: int = 16) -> Column:
+    """A number as bytes that order as it does; of 8 digits only for numbers that are not negative."""
+    raised = number.bitwiseXOR(F.lit(-(1 << 63))) if digits == 16 else number.cast("bigint")
+    return F.unhex(F.lpad(F.hex(raised), digits, "0"))
+
+
+def row_place(docs: DataFrame) -> Column:
+    """(doc_id, hash of the text) as 16 bytes: texts that share an id are different rows."""
+    return F.concat(_sortable(row_key(docs["doc_id"], docs["text"])), _sortable(F.xxhash64(docs["text"])))
+
+
+def _place() -> Column:
+    """(key, no) as 20 bytes that order as they do."""
+    return F.concat(F.col("key"), _sortable(F.col("no"), 8))
 
 
 def _need(nx: Column, ny: Column) -> Column:
@@ -151,13 +163,14 @@ def _later(docs: DataFrame, ranks: Column, pairs: DataFrame) -> DataFrame:
 
 
 def removed_lines(docs: DataFrame) -> DataFrame:
-    """(doc, gone): the numbers of the lines that each document loses, counted from 0."""
+    """(key, gone): the numbers of the lines that each document loses, counted from 0."""
     matched = later_matches(docs)
-    placed = _lines(docs).select("doc", "no", "h", _place().alias("at"))
+    placed = _lines(docs).select("h", _place().alias("at"))
     first = placed.groupBy("h").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("k"))
     first = materialize(first.join(matched.select("h", F.lit(True).alias("hit")), "h", "left").where((F.col("k") > 1) | F.col("hit")), "line-classes")
     gone = placed.join(first, "h").where(F.coalesce("hit", F.lit(False)) | (F.col("at") != F.col("first")))
-    return gone.select("doc", "no").distinct().groupBy("doc").agg(F.sort_array(F.collect_list("no")).alias("gone"))
+    no = F.conv(F.hex(F.substring("at", 17, 4)), 16, 10).cast("int")
+    return gone.select(F.substring("at", 1, 16).alias("key"), no.alias("no")).distinct().groupBy("key").agg(F.sort_array(F.collect_list("no")).alias("gone"))
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
@@ -165,8 +178,8 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     gone = materialize(removed_lines(docs), "lines-gone")
     if gone.count() <= BROADCAST_DOCS:
         gone = F.broadcast(gone)
-    keyed = docs.withColumn("_ld_doc", row_key(F.col("doc_id"), F.col("text")))
-    joined = keyed.join(gone.select(F.col("doc").alias("_ld_doc"), F.col("gone").alias("_ld_list")), "_ld_doc", "left")
+    keyed = docs.withColumn("_ld_key", row_place(docs))
+    joined = keyed.join(gone.select(F.col("key").alias("_ld_key"), F.col("gone").alias("_ld_list")), "_ld_key", "left")
     lines = F.split("text", "\n")
     kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("_ld_list", i)), "\n")
     marks = F.when(F.col("_ld_list").isNull(), F.col("text")).otherwise(kept)

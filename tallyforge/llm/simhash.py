@@ -58,13 +58,13 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     return int(np.packbits(ones * 2 > n, bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp) of every row; fp as a signed 64-bit number."""
+def fingerprints(docs: DataFrame, *extra: str) -> DataFrame:
+    """(doc_id, extra columns, fp) of every row; fp as a signed 64-bit number."""
 
     def compute(texts: list[str | None]) -> list[list]:
         return [np.array([fingerprint(t) for t in texts], dtype=np.uint64).view(np.int64)]
 
-    return append_from_texts(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"), compute, "fp bigint")
+    return append_from_texts(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), *extra, "text"), compute, "fp bigint")
 
 
 def _triples(fp: Column, blocks: tuple[tuple[int, int], ...]) -> Column:
@@ -132,26 +132,33 @@ def near_duplicates(docs: DataFrame, max_bits: int = MAX_BITS, bucket: int = BUC
     """(doc_id, fp, component_id) of every row of docs (doc_id, text)."""
     ensure_checkpoint_dir(docs.sparkSession)
     fps = fingerprints(docs).checkpoint()
+    return fps.join(labelled(fps, max_bits, bucket), "fp").select("doc_id", "fp", "component_id")
+
+
+def labelled(fps: DataFrame, max_bits: int = MAX_BITS, bucket: int = BUCKET) -> DataFrame:
+    """(fp, root, component_id) of each distinct fingerprint of (doc_id, fp); root tells components apart even where ids clash."""
     nodes = fps.groupBy("fp").agg(F.min("doc_id").alias("least")).checkpoint()
     roots = connected_components(near_edges(nodes.select("fp"), max_bits, bucket)).checkpoint()
     linked = nodes.join(roots, nodes["fp"] == roots["node"])
     lowest = linked.groupBy("root").agg(F.min("least").alias("component_id"))
-    linked = linked.join(lowest, "root").select("fp", "component_id")
-    labels = nodes.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
-    labels = labels.checkpoint()  # both sides of the last join are then dealt for it alone, so a hot fingerprint can be split
-    return fps.join(labels, "fp").select("doc_id", "fp", "component_id")
+    linked = linked.join(lowest, "root").select("fp", "root", "component_id")
+    labels = nodes.join(linked, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), F.coalesce("component_id", "least").alias("component_id"))
+    return labels.checkpoint()  # both sides of a join by fp are then dealt for it alone, so a hot fingerprint can be split
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """The rows of docs without all but one document of each component: the one with the smallest id stays.
 
-    A null id stands for the hash of its text here; of several rows with the kept id one stays.
+    A null id stands for the hash of its text here. Rows are told apart by id and hash of the text, so different texts under
+    one id are different documents (the smaller hash goes first); of several equal rows one stays.
     """
-    key = row_key(F.col("doc_id"), F.col("text"))
-    found = near_duplicates(docs.select(key.alias("doc_id"), "text"))
-    kept = found.where("doc_id = component_id").select(F.col("doc_id").alias("_sh_key")).distinct()
-    own = W.partitionBy("_sh_key").orderBy(F.xxhash64("text"))
-    rows = docs.withColumn("_sh_key", key).join(kept, "_sh_key", "left_semi").withColumn("_sh_rank", F.row_number().over(own))
+    ensure_checkpoint_dir(docs.sparkSession)
+    keyed = docs.withColumns({"_sh_key": row_key(F.col("doc_id"), F.col("text")), "_sh_text": F.xxhash64("text")})
+    fps = fingerprints(keyed.select(F.col("_sh_key").alias("doc_id"), "_sh_text", "text"), "_sh_text").checkpoint()
+    least = fps.groupBy("fp").agg(F.min(F.struct("doc_id", "_sh_text")).alias("row"))
+    kept = least.join(labelled(fps), "fp").groupBy("root").agg(F.min("row").alias("row")).select(F.col("row.doc_id").alias("_sh_key"), "row._sh_text")
+    own = W.partitionBy("_sh_key", "_sh_text").orderBy("_sh_text")
+    rows = keyed.join(kept, ["_sh_key", "_sh_text"], "left_semi").withColumn("_sh_rank", F.row_number().over(own))
     return rows.where("_sh_rank = 1").select(*docs.columns)
 
 

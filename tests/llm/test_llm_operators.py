@@ -147,6 +147,20 @@ def test_line_dedup_odd_rows(spark, odd, none):
     assert linededup.dedup_lines(none).count() == 0
 
 
+def test_texts_under_one_id_are_different_documents(spark):
+    texts = [(1, "one shared line here"), (5, "one shared line here\nown words of a"), (5, "other clean line stays\nsecond text of b"), (7, "both have this line\ntail of c"), (7, "both have this line\nend of d")]
+    docs = spark.createDataFrame(texts, "doc_id bigint, text string")
+    got = [(r["doc_id"], r["text"]) for r in linededup.dedup_lines(docs).collect()]
+    assert sorted(t for i, t in got if i != 7) == ["one shared line here", "other clean line stays\nsecond text of b", "own words of a"]
+    assert sum("both have" in t for i, t in got if i == 7) == 1 and sum("tail of c" in t or "end of d" in t for i, t in got) == 2
+    rng = random.Random(9)
+    words = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    a, b, c = words(80), words(80), words(80)
+    rows = [(3, a), (3, b), (3, b), (3, a), (4, a), (9, c), (2, c)]
+    kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert sorted((r["doc_id"], r["text"]) for r in kept) == sorted([(3, a), (3, b), (2, c)])
+
+
 def test_mix_is_within_a_block(spark, odd, none):
     docs = spark.createDataFrame([(k, "abcd"[min(3, k % 7)]) for k in range(400)], "doc_id bigint, source string")
     rows = mixing.mix_sources(docs, weights={"a": 1, "b": 2, "c": 3, "d": 4}, block_docs=2).collect()
