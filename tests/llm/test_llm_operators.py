@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import random
+import re
 from collections import Counter
 
 import pytest
@@ -280,3 +281,60 @@ def test_pipeline(spark, data, odd):
         assert after.columns == kept.columns, name
         kept = after.checkpoint()
     assert corpus_pipeline.STAGES[-1][1](spark, kept.where("false"), data).count() == 0
+
+
+def brute_line_dedup(docs):
+    """The texts without lines that are 4/5 similar to an earlier line, by comparing each with all that share a word."""
+    seen, by_word, out = [], {}, []
+    for text in (d["text"] for d in docs):
+        kept, lines = [], text.split("\n")
+        for line in lines:
+            words = set(re.split(r"[ \t\r\x0b\f]+", line.lower())) - {""}
+            common = Counter(k for w in words for k in by_word.get(w, ()))
+            if not any(5 * n >= 4 * (len(words) + seen[k] - n) for k, n in common.items()):
+                kept.append(line)
+            for w in words:
+                by_word.setdefault(w, []).append(len(seen))
+            seen.append(len(words))
+        out.append("\n".join(kept))
+    return out
+
+
+def brute_words(text):
+    lowered = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text)
+    return re.findall(r"[^\x00-/:-@\[-`{-\x7f]+", lowered)
+
+
+def brute_pipeline(docs, items):
+    """The rows (dicts, by id) after each stage but mixing, without Spark."""
+    rows = [dict(d) for d in docs if any(c.isalpha() for c in d["text"] or "")]
+    yield rows
+    rows = [{**d, "text": t, "n_chars": len(t)} for d, t in zip(rows, brute_line_dedup(rows))]
+    yield rows
+    rows = [d for k, (d, c) in enumerate(zip(rows, brute_components([shingled(d["text"]) for d in rows]))) if k == c]
+    yield rows
+    windows = {tuple(w[i : i + 10]) for t in items for w in [brute_words(t or "")] if w for i in range(max(1, len(w) - 9))}
+    sizes = {len(w) for w in windows}
+    clean = lambda w: not any(tuple(w[i : i + n]) in windows for n in sizes for i in range(len(w) - n + 1))
+    yield [d for d in rows if clean(brute_words(d["text"]))]
+
+
+def test_pipeline_equals_brute_force(spark, data):
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    items = [r["text"] for r in spark.read.parquet(f"{data}/benchmark.parquet").collect()]
+    by_id = lambda df: [r.asDict() for r in df.orderBy("doc_id").collect()]
+    kept, counts = docs, [docs.count()]
+    for (name, stage), want in zip(corpus_pipeline.STAGES, brute_pipeline(by_id(docs), items)):
+        kept = stage(spark, kept, data).checkpoint()
+        got = by_id(kept)
+        assert [r["doc_id"] for r in got] == [r["doc_id"] for r in want], name
+        assert got == want, name
+        counts.append(len(got))
+    mixed = [r.asDict() for r in corpus_pipeline.STAGES[-1][1](spark, kept, data).collect()]
+    assert sorted(({k: r[k] for k in docs.columns} for r in mixed), key=lambda r: r["doc_id"]) == want
+    for source in {r["source"] for r in mixed}:
+        own = sorted((r for r in mixed if r["source"] == source), key=lambda r: (r["mix_slot"], r["mix_pos"]))
+        assert [r["doc_id"] for r in own] == sorted((r["doc_id"] for r in own), key=lambda i: hashlib.md5(str(i).encode()).hexdigest())
+    print("documents after each stage:", counts)
