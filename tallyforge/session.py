@@ -1,4 +1,4 @@
-"""Session factory and the one place where checkpoint folders are decided."""
+"""Session factory and the one place where checkpoint folders and scratch tables are decided."""
 
 from __future__ import annotations
 
@@ -28,7 +28,7 @@ def get_session(app: str = "tallyforge", cores: int | str = "*", shuffle_partiti
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; only where that is unset (tests, local runs) a folder of our own."""
+    """The folder of spark.checkpoint.dir; where that is unset a folder of our own, on a local master only."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     current = spark.sparkContext.getCheckpointDir()
     if current:
@@ -36,6 +36,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if configured:
         spark.sparkContext.setCheckpointDir(configured)
         return configured
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     own = os.path.join(tempfile.gettempdir(), "tallyforge-checkpoints")
     spark.sparkContext.setCheckpointDir(own)
     return own
@@ -45,19 +47,30 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """df written as a parquet table under the checkpoint folder and read again.
 
     It cuts the lineage as checkpoint() does, and takes less room: columns are encoded and compressed, and later reads are
-    pruned. The tables live as long as the folder, whose owner clears it.
+    pruned. ``discard`` drops a table after its last reader; one that a returned result still reads lives as long as the
+    folder, whose owner clears it.
     """
-    path = f"{ensure_checkpoint_dir(df.sparkSession).rstrip('/')}/tables/{name}-{uuid.uuid4().hex}"
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/tables/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    release(spark)
+    return out
+
 
+def discard(*tables: DataFrame) -> None:
+    """Drops tables that ``materialize`` wrote; nothing may read them afterwards."""
+    for table in tables:
+        jvm = table.sparkSession.sparkContext._jvm
+        path = jvm.org.apache.hadoop.fs.Path(table.scratch_path)
+        path.getFileSystem(table.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
-def bucketed(df: DataFrame, name: str, key: str) -> DataFrame:
-    """df written as a table of the warehouse that is bucketed and sorted by a key, and read again.
 
-    Joins and aggregations by the key then read it without a shuffle, however often.
+def release(spark: SparkSession) -> None:
+    """Lets Spark's cleaner drop shuffle files and broadcasts of finished steps.
+
+    The cleaner acts when the driver's collector has found their owners unused, which on a large heap can take longer than
+    the whole job; the disk they hold would then be the sum over all steps and not the most of one.
     """
-    spark = df.sparkSession
-    table, n = f"{name}_{uuid.uuid4().hex}", int(spark.conf.get("spark.sql.shuffle.partitions"))
-    df.write.bucketBy(n, key).sortBy(key).format("parquet").saveAsTable(table)
-    return spark.table(table)
+    spark.sparkContext._jvm.System.gc()
