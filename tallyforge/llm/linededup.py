@@ -4,20 +4,21 @@ A line is the set of its words (runs without ASCII white space, lower-cased). A
 of (doc_id, hash of the text, line number), has a Jaccard similarity of 4/5 or more with it; both are judged on the input. Lines without
 a word stay.
 
-1. Words are ordered by rarity: the corpus count of the word's slot in a table of 2^16 slots, then the word's hash. The
-   table has a fixed size, so it is a literal of the plan and no word meets its count by a join.
-2. Equal lines are one class, found by their hash, with partial aggregation before the shuffle.
-3. Two sets of n words with similarity 4/5 share one of the n - ceil(4n/5) + 1 rarest words of each: these prefixes
-   are joined. Pairs are cut by length, by the position of the shared word, and by 64-bit parity maps (a
-   word flips one bit, so the maps differ in no more bits than the sets do in words).
-   A pair also has to share enough prefix words for its sizes.
-4. Round one compares every class with the earliest class under the same word only, which settles groups of near
-   copies with one comparison for each. Round two compares what is still kept with all the others of its words.
-5. Candidates are verified on the words' 64-bit keys (a 16-bit rank and 47 bits of the hash).
-
-Everything is built from SQL functions. Work per word is in higher-order functions over the line's own row, and
-shuffles carry hashes, never texts; the list of removed lines returns to a document by a broadcast while its counted
-number is within ``BROADCAST_DOCS``, else by a shuffle.
+1. Words are ordered by rarity: the corpus count of the word's slot in a table of 2^18 slots (on a logarithmic scale),
+   then the word's hash. A word with more than one in 2^18 of the corpus stands out in its slot; only words rarer than
+   that share slots with others of their kind. The table has a fixed size and reaches the tasks as a scalar subquery.
+2. Equal lines are one class (128 bits of hash). Classes are numbered in the order of their first places, so a number is
+   identity and order at once.
+3. Two sets with similarity 4/5 share two of the n - need + 2 rarest words of each (sets of one word: one): these
+   prefixes are joined. Pairs are cut by length, by the prefix that their two sizes ask for, by the position of each
+   shared word, and by how many words their prefixes share in all.
+4. Round one compares each class with the earliest class under its rarest words only, which settles groups of near
+   copies with one comparison each. Round two compares what is still kept with all the others.
+5. Candidates are verified on the words themselves, read from the lines again.
+
+Everything is built from SQL functions. A hot word is an ordinary skewed key of a shuffled join, which the engine splits; only
+classes that round one has not settled probe it. Tables are dropped after their last reader. Small sides are broadcast
+within ``BROADCAST_BYTES`` of counted bytes, else the same join shuffles.
 
 Defined results: null text is one line without words; a null doc_id is ordered by the hash of its text; repeated documents
 are later copies of the first one, and if they share its id too, all these rows keep what the first keeps; different
@@ -28,53 +29,55 @@ an empty table gives an empty table; extra columns pass through unless they are
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tallyforge.llm.textops import row_key
 from tallyforge.plans.registry import table
-from tallyforge.session import bucketed, ensure_checkpoint_dir, materialize
+from tallyforge.session import discard, ensure_checkpoint_dir, materialize
 
-SLOTS = 1 << 16
+#: Slots of the rarity table, and how many of them make one row while it is put together.
+SLOTS, CHUNK = 1 << 18, 1 << 9
 #: The similarity as a fraction: 4/5.
 NUM, DEN = 4, 5
 #: What separates words: ASCII white space.
 WORD_BREAK = r"[ \t\r\x0B\f]+"
 BLANKS = " \t\r\x0b\f"
-#: Documents with removed lines whose lists may be broadcast (a few dozen bytes each).
-BROADCAST_DOCS = 400_000
-
-
-def _trimmed(line: Column) -> Column:
-    return F.trim(line, F.lit(BLANKS))
-
-
-def rarity_table(docs: DataFrame) -> Column:
-    """A literal array: the rank of each slot by how many words of the corpus fall into it."""
-    words = docs.select(F.explode(F.split(F.lower("text"), r"[\n \t\r\x0B\f]+")).alias("w"))
-    rows = words.groupBy(F.xxhash64("w").bitwiseAND(F.lit(SLOTS - 1)).alias("slot")).count().collect()  # SLOTS rows at most
-    count = [0] * SLOTS
-    for r in rows:
-        count[r["slot"]] = r["count"]
-    rank = [0] * SLOTS
-    for place, slot in enumerate(sorted(range(SLOTS), key=lambda s: (count[s], s))):
-        rank[slot] = place
-    return F.split(F.lit(",".join(map(str, rank))), ",").cast("array<int>")
-
-
-def _keys(line: Column, ranks: Column) -> Column:
-    """The distinct words of a trimmed line as sorted 63-bit keys, rarest first."""
-    hashes = F.transform(F.split(F.lower(line), WORD_BREAK), lambda w: F.xxhash64(w))
-    key = lambda h: F.shiftleft(F.get(ranks, h.bitwiseAND(F.lit(SLOTS - 1)).cast("int")).cast("bigint"), 47).bitwiseOR(h.bitwiseAND(F.lit((1 << 47) - 1)))
-    return F.sort_array(F.array_distinct(F.transform(hashes, key)))
-
-
-def _lines(docs: DataFrame) -> DataFrame:
-    """(doc, key, no, line, h) of every line with a word; line is trimmed, h stands for it."""
-    doc = row_key(F.col("doc_id"), F.col("text"))
-    lines = docs.select(doc.alias("doc"), row_place(docs).alias("key"), F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("no", "line"))
-    lines = lines.select("doc", "key", "no", _trimmed(F.col("line")).alias("line")).where("line <> ''")
-    return lines.select("doc", "key", "no", "line", F.xxhash64("line").alias("h"))
+#: How many words a pair has to share in the prefixes of round two, which are longer by one word less than that.
+SHARED = 2
+#: How many of its rarest words lead a class to the earliest class in round one.
+LEADING = 3
+#: Bytes of a side that may be broadcast.
+BROADCAST_BYTES = 32 << 20
+#: Bits of a packed size or position; larger ones are held as the largest, which passes every filter.
+FIELD = 12
+MOST = (1 << FIELD) - 1
+
+
+def _plain(text: Column) -> Column:
+    """The text in lower case, with one space for each run of blanks between words; only odd texts pay for more than the case."""
+    low = F.lower(text)
+    odd = F.contains(low, F.lit("  "))
+    for blank in BLANKS[1:]:
+        odd = odd | F.contains(low, F.lit(blank))
+    return F.when(odd, F.regexp_replace(low, WORD_BREAK, " ")).otherwise(low)
+
+
+def _words(line: Column) -> Column:
+    """The words of a plain and trimmed line, repeats included."""
+    return F.split(line, " ")
+
+
+def rarity_table(docs: DataFrame) -> DataFrame:
+    """One row, one array: for each slot three times the binary logarithm of how many words of the corpus fall into it."""
+    plain = docs.select(_plain(F.col("text")).alias("text"))
+    words = plain.select(F.explode(F.split(F.replace("text", F.lit("\n"), F.lit(" ")), " ")).alias("w"))
+    ones = words.select(F.xxhash64("w").bitwiseAND(F.lit(SLOTS - 1)).alias("slot"), F.lit(1).alias("n"))
+    ones = ones.unionAll(docs.sparkSession.range(SLOTS).select(F.col("id").alias("slot"), F.lit(1).alias("n")))  # so that no slot is missing
+    scale = F.least(F.floor(F.log2(F.sum("n")) * 3), F.lit(127)).cast("tinyint")
+    slots = ones.groupBy("slot").agg(scale.alias("q"))
+    in_order = lambda key: F.transform(F.sort_array(F.collect_list(F.struct(key, "q"))), lambda x: x["q"])
+    chunks = slots.groupBy(F.floor(F.col("slot") / CHUNK).alias("chunk")).agg(in_order("slot").alias("q"))
+    return materialize(chunks.agg(F.flatten(in_order("chunk")).alias("ranks")), "line-rarity")
 
 
 def _sortable(number: Column, digits: int = 16) -> Column:
@@ -88,95 +91,143 @@ def row_place(docs: DataFrame) -> Column:
     return F.concat(_sortable(row_key(docs["doc_id"], docs["text"])), _sortable(F.xxhash64(docs["text"])))
 
 
+def _lines(docs: DataFrame) -> DataFrame:
+    """(key, no, line, h1, h2) of every line with a word; line is plain and trimmed, h1 and h2 stand for it."""
+    lines = docs.select(row_place(docs).alias("key"), _plain(F.col("text")).alias("text")).select("key", F.posexplode(F.split("text", "\n")).alias("no", "line"))
+    lines = lines.select("key", "no", F.trim("line").alias("line")).where("line <> ''")
+    return lines.select("key", "no", "line", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"))
+
+
 def _place() -> Column:
     """(key, no) as 20 bytes that order as they do."""
     return F.concat(F.col("key"), _sortable(F.col("no"), 8))
 
 
-def _need(nx: Column, ny: Column) -> Column:
-    """The overlap that two sets of these sizes need."""
-    both = nx + ny
-    return F.ceil(both * NUM / (NUM + DEN))
-
-
-def _filters(x: dict[str, Column], y: dict[str, Column]) -> Column:
-    need = _need(x["n"], y["n"])
-    length = (F.least(x["n"], y["n"]) * DEN) >= (F.greatest(x["n"], y["n"]) * NUM)
-    position = 1 + F.least(x["n"] - x["i"] - 1, y["n"] - y["i"] - 1) + F.least(x["i"], y["i"]) >= need
-    maps = F.bit_count(x["bits"].bitwiseXOR(y["bits"])) <= x["n"] + y["n"] - 2 * need
-    return length & position & maps
+def line_classes(docs: DataFrame, ranks: DataFrame) -> DataFrame:
+    """(c, h1, h2, at, k, n, prefix) of each distinct line.
 
-
-def prefix_rows(docs: DataFrame, ranks: Column) -> DataFrame:
-    """Prefix words that two classes share or more: tok, h, n, i, bits, doc (of the first place), and the leader's h, n, i, bits."""
-    sets = _lines(docs).select("h", "doc", _keys(F.col("line"), ranks).alias("keys"))
-    n = F.size("keys")
-    bits = F.aggregate("keys", F.lit(0).cast("bigint"), lambda a, t: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), t.bitwiseAND(F.lit(63)).cast("int"))))
-    prefix = F.slice("keys", F.lit(1), (n - F.ceil(n * NUM / DEN) + 1).cast("int"))
-    classes = sets.select("h", n.alias("n"), bits.alias("bits"), prefix.alias("prefix"), "doc")
-    classes = classes.groupBy("h", "n", "bits", "prefix").agg(F.min("doc").alias("doc"))
-    rows = classes.select("h", "n", "bits", "doc", F.posexplode("prefix").alias("i", "tok"))
-    w = W.partitionBy("tok").orderBy("doc", "h")
-    lead = {f"l{c}": F.first(c).over(w) for c in ("h", "n", "i", "bits")}
-    rows = rows.withColumns(lead | {"next": F.lead("h").over(w)})
-    return rows.where((F.col("h") != F.col("lh")) | F.col("next").isNotNull()).drop("next")
-
-
-def later_matches(docs: DataFrame) -> DataFrame:
-    """(h): lines whose first place in the corpus has an earlier similar line."""
-    ensure_checkpoint_dir(docs.sparkSession)
-    ranks = rarity_table(docs)
-    rows = bucketed(prefix_rows(docs, ranks), "line_prefixes", "tok")  # dealt once, for both rounds
-    c = lambda p: {k: F.col(f"{p}{k}") for k in ("n", "i", "bits")}
-    first = rows.where((F.col("h") != F.col("lh")) & _filters(c(""), c("l"))).select(F.col("h").alias("x"), F.col("lh").alias("y"), F.col("n").alias("nx"), F.col("ln").alias("ny"))
-    settled = materialize(_later(docs, ranks, materialize(_sharing(first), "line-pairs")), "line-later")
-    known = F.broadcast(settled) if settled.count() <= 4 * BROADCAST_DOCS else settled
-    x = rows.join(known, "h", "left_anti").select("tok", *[F.col(k).alias(f"x_{k}") for k in ("h", "n", "i", "bits", "doc")])
-    y = rows.select("tok", *[F.col(k).alias(f"y_{k}") for k in ("h", "n", "i", "bits", "doc")])
-    second = x.join(y, (x["tok"] == y["tok"]) & (F.col("y_doc") <= F.col("x_doc")) & (F.col("x_h") != F.col("y_h")) & _filters(c("x_"), c("y_")))
-    second = second.select(F.col("x_h").alias("x"), F.col("y_h").alias("y"), F.col("x_n").alias("nx"), F.col("y_n").alias("ny"))
-    return settled.unionAll(_later(docs, ranks, materialize(_sharing(second), "line-pairs"))).distinct()
-
-
-def _sharing(pairs: DataFrame) -> DataFrame:
-    """(x, y) of the pairs whose prefixes share enough words.
-
-    Whichever prefix ends first in the order of words, a shared word inside it is inside the other one too; so the
-    overlap is at most the shared prefix words and what follows that prefix.
+    c numbers them by first place, k counts places, n counts words, and prefix holds the hashes of its rarest words,
+    rarest first, with the rarity in the top byte.
     """
-    rest = F.ceil(F.greatest("nx", "ny") * NUM / DEN) - 1
-    counted = pairs.groupBy("x", "y", "nx", "ny").agg(F.count(F.lit(1)).alias("shared"))
-    return counted.where(F.col("shared") + rest >= _need(F.col("nx"), F.col("ny"))).select("x", "y")
+    hashes = F.array_distinct(F.transform(_words(F.col("line")), lambda w: F.xxhash64(w)))
+    lines = _lines(docs).select("h1", "h2", _place().alias("at"), hashes.alias("hs"), ranks.scalar().alias("ranks"))
+    slot = lambda h: h.bitwiseAND(F.lit(SLOTS - 1)).cast("int")
+    key = lambda h: F.shiftleft(F.get("ranks", slot(h)).cast("bigint"), 56).bitwiseOR(h.bitwiseAND(F.lit((1 << 56) - 1)))
+    sets = lines.select("h1", "h2", "at", F.sort_array(F.transform("hs", key)).alias("keys"))
+    n = F.size("keys")
+    prefix = F.slice("keys", F.lit(1), (n - F.ceil(n * NUM / DEN) + SHARED).cast("int"))
+    sets = sets.select("h1", "h2", "at", n.alias("n"), prefix.alias("prefix"))
+    classes = sets.groupBy("h1", "h2").agg(F.min("at").alias("at"), F.count(F.lit(1)).alias("k"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
+    ordered = classes.repartitionByRange("at").sortWithinPartitions("at")
+    written = materialize(ordered.withColumn("m", F.monotonically_increasing_id()), "line-classes")
+    part, at = F.shiftright("m", 33), F.col("m").bitwiseAND(F.lit((1 << 33) - 1))
+    sizes = written.groupBy(part.alias("part")).agg(F.max(at).alias("last")).orderBy("part").collect()  # one row a partition
+    before, starts = 0, []
+    for row in sizes:
+        starts.append((row["part"], before))
+        before += row["last"] + 1
+    offsets = docs.sparkSession.createDataFrame(starts, "part bigint, start bigint")
+    out = written.withColumn("part", part).join(F.broadcast(offsets), "part").withColumn("c", F.col("start") + at).drop("part", "start", "m")
+    out.scratch_path = written.scratch_path
+    return out
+
+
+def _rows(classes: DataFrame, leading: int | None, *extra: str) -> DataFrame:
+    """(tok, v, extra): a row for each prefix word that occurs twice or more; v packs c, n and the word's position."""
+    words = F.col("prefix") if leading is None else F.slice("prefix", 1, leading)
+    rows = classes.select("c", "n", *extra, F.posexplode(words).alias("i", "tok"))
+    n, i = F.least("n", F.lit(MOST)).cast("bigint"), F.least("i", F.lit(MOST)).cast("bigint")
+    v = F.shiftleft("c", 2 * FIELD).bitwiseOR(F.shiftleft(n, FIELD)).bitwiseOR(i)
+    single = 4  # three times the binary logarithm of two, the count of a slot's own row and one word, and one
+    return rows.where(F.shiftright("tok", 56) >= single).select("tok", v.alias("v"), *extra)
+
+
+def _need(both: Column) -> Column:
+    """The overlap that two sets of this many words in all need."""
+    return F.ceil(both * NUM / (NUM + DEN))
 
 
-def _later(docs: DataFrame, ranks: Column, pairs: DataFrame) -> DataFrame:
-    """(h): of each pair (x, y) of similar enough sets the one whose first place is later."""
-    wanted = pairs.select(F.col("x").alias("h")).unionAll(pairs.select(F.col("y").alias("h"))).distinct()
-    if wanted.count() <= 4 * BROADCAST_DOCS:
-        wanted = F.broadcast(wanted)
-    found = _lines(docs).join(wanted, "h", "left_semi").groupBy("h").agg(F.min(_place()).alias("at"), F.first("line").alias("line"))
-    sets = materialize(found.select("h", "at", _keys(F.col("line"), ranks).alias("keys")), "line-sets")
-    joined = pairs.join(sets.select(F.col("h").alias("x"), F.col("keys").alias("kx"), F.col("at").alias("ax")), "x").join(sets.select(F.col("h").alias("y"), F.col("keys").alias("ky"), F.col("at").alias("ay")), "y")
-    common = F.size(F.array_intersect("kx", "ky"))
-    similar = common * DEN >= (F.size("kx") + F.size("ky") - common) * NUM
-    return joined.where(similar).select(F.when(F.col("ax") > F.col("ay"), F.col("x")).otherwise(F.col("y")).alias("h")).distinct()
+def _class_of(v: Column) -> Column:
+    return F.shiftright(v, 2 * FIELD)
+
+
+def _filters(x: Column, y: Column, shared: int = 1) -> Column:
+    """What the packed rows of a shared word let pass: length, prefix of the two sizes, and position."""
+    (nx, ix), (ny, iy) = ((F.shiftright(v, FIELD).bitwiseAND(F.lit(MOST)), v.bitwiseAND(F.lit(MOST))) for v in (x, y))
+    need = _need(nx + ny)
+    length = (F.least(nx, ny) * DEN) >= (F.greatest(nx, ny) * NUM)
+    prefix = (ix < nx - need + shared) & (iy < ny - need + shared)
+    position = 1 + F.least(nx - ix - 1, ny - iy - 1) + F.least(ix, iy) >= need
+    return (length & prefix & position) | (F.greatest(nx, ny) == MOST)
+
+
+def later_matches(docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """(c): classes whose first place has an earlier similar line."""
+    leads = _rows(classes, LEADING)
+    lead = leads.groupBy("tok").agg(F.min("v").alias("lead"))
+    first = leads.join(lead, "tok").where((_class_of(F.col("v")) != _class_of(F.col("lead"))) & _filters(F.col("v"), F.col("lead")))
+    first = first.select(_class_of(F.col("v")).alias("x"), _class_of(F.col("lead")).alias("y")).distinct()
+    settled = _verified(docs, classes, first)
+    y = _rows(classes, None).withColumnRenamed("v", "y")
+    x = _rows(classes.join(_bounded(settled, 8), "c", "left_anti"), None).withColumnRenamed("v", "x")
+    second = x.join(y, "tok").where((F.col("y") < F.shiftleft(_class_of(F.col("x")), 2 * FIELD)) & _filters(F.col("x"), F.col("y"), SHARED))
+    met = second.groupBy(F.shiftright("x", FIELD).alias("x"), F.shiftright("y", FIELD).alias("y")).agg(F.count(F.lit(1)).alias("shared"))
+    sizes = F.col("x").bitwiseAND(F.lit(MOST)) + F.col("y").bitwiseAND(F.lit(MOST))
+    met = met.where(F.col("shared") >= F.least(_need(sizes), F.lit(SHARED)))
+    more = _verified(docs, classes, met.select(F.shiftright("x", FIELD).alias("x"), F.shiftright("y", FIELD).alias("y")))
+    out = materialize(settled.unionAll(more), "line-later")
+    discard(settled, more)
+    return out
+
+
+def _bounded(df: DataFrame, width: int) -> DataFrame:
+    """df, to be broadcast if its rows of so many bytes fit the bound."""
+    return F.broadcast(df) if df.count() * width <= BROADCAST_BYTES else df
+
+
+def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(c): the x of each pair (x, y), x later than y, whose sets of words are similar enough."""
+    known = classes.select("c", "n", "prefix")
+    side = lambda p: known.select(F.col("c").alias(p), F.col("n").alias(f"n{p}"), F.col("prefix").alias(f"p{p}"))
+    both = pairs.join(side("x"), "x").join(side("y"), "y")
+    # whichever prefix ends first in the order of words, a shared word inside it is inside the other one too
+    rest = F.greatest(F.col("nx") - F.size("px"), F.col("ny") - F.size("py"))
+    likely = materialize(both.where(F.size(F.array_intersect("px", "py")) + rest >= _need(F.col("nx") + F.col("ny"))).select("x", "y"), "line-pairs")
+    wanted = likely.select(F.col("x").alias("c")).unionAll(likely.select(F.col("y").alias("c"))).distinct()
+    wanted = classes.join(wanted, "c", "left_semi").select("c", "h1", F.col("at").alias("first"))
+    wanted = materialize(wanted, "line-wanted")
+    lines = _lines(docs).select("h1", _place().alias("at"), "line")
+    sets = lines.join(_bounded(wanted, 48), "h1").where(F.col("at") == F.col("first")).select("c", "line")
+    sets = materialize(sets, "line-sets")
+    word_set = lambda p: sets.select(F.col("c").alias(p), F.array_distinct(_words(F.col("line"))).alias(f"w{p}"))
+    joined = likely.join(word_set("x"), "x").join(word_set("y"), "y")
+    common = F.size(F.array_intersect("wx", "wy"))
+    similar = common * DEN >= (F.size("wx") + F.size("wy") - common) * NUM
+    out = materialize(joined.where(similar).select(F.col("x").alias("c")).distinct(), "line-settled")
+    discard(likely, wanted, sets)
+    return out
 
 
 def removed_lines(docs: DataFrame) -> DataFrame:
     """(key, gone): the numbers of the lines that each document loses, counted from 0."""
-    matched = later_matches(docs)
-    placed = _lines(docs).select("h", _place().alias("at"))
-    first = placed.groupBy("h").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("k"))
-    first = materialize(first.join(matched.select("h", F.lit(True).alias("hit")), "h", "left").where((F.col("k") > 1) | F.col("hit")), "line-classes")
-    gone = placed.join(first, "h").where(F.coalesce("hit", F.lit(False)) | (F.col("at") != F.col("first")))
-    no = F.conv(F.hex(F.substring("at", 17, 4)), 16, 10).cast("int")
-    return gone.select(F.substring("at", 1, 16).alias("key"), no.alias("no")).distinct().groupBy("key").agg(F.sort_array(F.collect_list("no")).alias("gone"))
+    ensure_checkpoint_dir(docs.sparkSession)
+    ranks = rarity_table(docs)
+    classes = line_classes(docs, ranks)
+    later = later_matches(docs, classes)
+    hit = classes.join(_bounded(later, 8).withColumn("hit", F.lit(True)), "c", "left").where((F.col("k") > 1) | F.col("hit"))
+    touched = materialize(hit.select("h1", "h2", F.col("at").alias("first"), F.coalesce("hit", F.lit(False)).alias("hit")), "line-touched")
+    placed = _lines(docs).select("h1", F.col("h2").alias("own"), "key", "no", _place().alias("at"))
+    gone = placed.join(_bounded(touched, 64), "h1").where((F.col("own") == F.col("h2")) & (F.col("hit") | (F.col("at") != F.col("first"))))
+    out = materialize(gone.select("key", "no").distinct().groupBy("key").agg(F.sort_array(F.collect_list("no")).alias("gone")), "lines-gone")
+    discard(ranks, classes, later, touched)
+    return out
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
     """docs with the later lines taken out of text, and _ld_lines and _ld_gone (counts of lines)."""
-    gone = materialize(removed_lines(docs), "lines-gone")
-    if gone.count() <= BROADCAST_DOCS:
+    gone = removed_lines(docs)
+    width = gone.agg(F.coalesce(F.sum(F.size("gone") * 4 + 48), F.lit(0))).first()[0]
+    if width <= BROADCAST_BYTES:
         gone = F.broadcast(gone)
     keyed = docs.withColumn("_ld_key", row_place(docs))
     joined = keyed.join(gone.select(F.col("key").alias("_ld_key"), F.col("gone").alias("_ld_list")), "_ld_key", "left")
