@@ -11,9 +11,9 @@ a word stay.
    identity and order at once.
 3. Two sets with similarity 4/5 share two of the n - need + 2 rarest words of each (sets of one word: one): these
    prefixes are joined. Pairs are cut by length, by the prefix that their two sizes ask for, by the position of each
-   shared word, and by how many words their prefixes share in all.
-4. Round one compares each class with the earliest class under its rarest words only, which settles groups of near
-   copies with one comparison each. Round two compares what is still kept with all the others.
+   shared word, and by how many words their prefixes share in all, first on bit maps of the prefixes.
+4. Round one compares each class with the earliest class under each of its prefix words only, which settles groups of
+   near copies with a few comparisons each. Round two compares what is still kept with all the others.
 5. Candidates are verified on the words themselves, read from the lines again.
 
 Everything is built from SQL functions. A hot word is an ordinary skewed key of a shuffled join, which the engine splits; only
@@ -44,8 +44,6 @@ WORD_BREAK = r"[ \t\r\x0B\f]+"
 BLANKS = " \t\r\x0b\f"
 #: How many words a pair has to share in the prefixes of round two, which are longer by one word less than that.
 SHARED = 2
-#: How many of its rarest words lead a class to the earliest class in round one.
-LEADING = 3
 #: Bytes of a side that may be broadcast.
 BROADCAST_BYTES = 32 << 20
 #: Bits of a packed size or position; larger ones are held as the largest, which passes every filter.
@@ -104,10 +102,10 @@ def _place() -> Column:
 
 
 def line_classes(docs: DataFrame, ranks: DataFrame) -> DataFrame:
-    """(c, h1, h2, at, k, n, prefix) of each distinct line.
+    """(c, h1, h2, at, k, n, prefix, bits) of each distinct line.
 
-    c numbers them by first place, k counts places, n counts words, and prefix holds the hashes of its rarest words,
-    rarest first, with the rarity in the top byte.
+    c numbers them by first place, k counts places, n counts words, prefix holds the hashes of its rarest words, rarest
+    first, with the rarity in the top byte, and bits has a bit set for each of them.
     """
     hashes = F.array_distinct(F.transform(_words(F.col("line")), lambda w: F.xxhash64(w)))
     lines = _lines(docs).select("h1", "h2", _place().alias("at"), hashes.alias("hs"), ranks.scalar().alias("ranks"))
@@ -115,11 +113,12 @@ def line_classes(docs: DataFrame, ranks: DataFrame) -> DataFrame:
     key = lambda h: F.shiftleft(F.get("ranks", slot(h)).cast("bigint"), 56).bitwiseOR(h.bitwiseAND(F.lit((1 << 56) - 1)))
     sets = lines.select("h1", "h2", "at", F.sort_array(F.transform("hs", key)).alias("keys"))
     n = F.size("keys")
-    prefix = F.slice("keys", F.lit(1), (n - F.ceil(n * NUM / DEN) + SHARED).cast("int"))
-    sets = sets.select("h1", "h2", "at", n.alias("n"), prefix.alias("prefix"))
+    sets = sets.select("h1", "h2", "at", n.alias("n"), F.slice("keys", F.lit(1), _prefix_size(n).cast("int")).alias("prefix"))
     classes = sets.groupBy("h1", "h2").agg(F.min("at").alias("at"), F.count(F.lit(1)).alias("k"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
     ordered = classes.repartitionByRange("at").sortWithinPartitions("at")
-    written = materialize(ordered.withColumn("m", F.monotonically_increasing_id()), "line-classes")
+    one = lambda t: F.call_function("shiftleft", F.lit(1).cast("bigint"), F.shiftright(t, 20).bitwiseAND(F.lit(63)).cast("int"))
+    bits = F.aggregate("prefix", F.lit(0).cast("bigint"), lambda a, t: a.bitwiseOR(one(t)))
+    written = materialize(ordered.withColumns({"m": F.monotonically_increasing_id(), "bits": bits}), "line-classes")
     part, at = F.shiftright("m", 33), F.col("m").bitwiseAND(F.lit((1 << 33) - 1))
     sizes = written.groupBy(part.alias("part")).agg(F.max(at).alias("last")).orderBy("part").collect()  # one row a partition
     before, starts = 0, []
@@ -132,14 +131,17 @@ def line_classes(docs: DataFrame, ranks: DataFrame) -> DataFrame:
     return out
 
 
-def _rows(classes: DataFrame, leading: int | None, *extra: str) -> DataFrame:
-    """(tok, v, extra): a row for each prefix word that occurs twice or more; v packs c, n and the word's position."""
-    words = F.col("prefix") if leading is None else F.slice("prefix", 1, leading)
-    rows = classes.select("c", "n", *extra, F.posexplode(words).alias("i", "tok"))
+def _rows(classes: DataFrame, name: str) -> DataFrame:
+    """(tok, name, its map): a row for each prefix word that occurs twice or more; the value packs c, n and the word's position."""
+    rows = classes.select("c", "n", "bits", F.posexplode("prefix").alias("i", "tok"))
     n, i = F.least("n", F.lit(MOST)).cast("bigint"), F.least("i", F.lit(MOST)).cast("bigint")
     v = F.shiftleft("c", 2 * FIELD).bitwiseOR(F.shiftleft(n, FIELD)).bitwiseOR(i)
-    single = 4  # three times the binary logarithm of two, the count of a slot's own row and one word, and one
-    return rows.where(F.shiftright("tok", 56) >= single).select("tok", v.alias("v"), *extra)
+    single = 4  # three times the binary logarithm of a slot's own row, one word and another one
+    return rows.where(F.shiftright("tok", 56) >= single).select("tok", v.alias(name), F.col("bits").alias(f"{name}_bits"))
+
+
+def _prefix_size(n: Column) -> Column:
+    return n - F.ceil(n * NUM / DEN) + SHARED
 
 
 def _need(both: Column) -> Column:
@@ -151,9 +153,13 @@ def _class_of(v: Column) -> Column:
     return F.shiftright(v, 2 * FIELD)
 
 
+def _size(v: Column) -> Column:
+    return F.shiftright(v, FIELD).bitwiseAND(F.lit(MOST))
+
+
 def _filters(x: Column, y: Column, shared: int = 1) -> Column:
     """What the packed rows of a shared word let pass: length, prefix of the two sizes, and position."""
-    (nx, ix), (ny, iy) = ((F.shiftright(v, FIELD).bitwiseAND(F.lit(MOST)), v.bitwiseAND(F.lit(MOST))) for v in (x, y))
+    (nx, ix), (ny, iy) = ((_size(v), v.bitwiseAND(F.lit(MOST))) for v in (x, y))
     need = _need(nx + ny)
     length = (F.least(nx, ny) * DEN) >= (F.greatest(nx, ny) * NUM)
     prefix = (ix < nx - need + shared) & (iy < ny - need + shared)
@@ -161,16 +167,32 @@ def _filters(x: Column, y: Column, shared: int = 1) -> Column:
     return (length & prefix & position) | (F.greatest(nx, ny) == MOST)
 
 
+def _shared_words(nx: Column, px: Column, ny: Column, py: Column) -> Column:
+    """How many words the prefixes (of px and py words) of similar sets share at least.
+
+    Whichever prefix ends first in the order of words, a shared word inside it is inside the other one too; so what is
+    not shared there has to follow that prefix.
+    """
+    return _need(nx + ny) - F.greatest(nx - px, ny - py)
+
+
+def _maps(x: Column, y: Column) -> Column:
+    """Whether the bit maps of two prefixes have enough in common: a shared word is a common bit unless it meets another one's."""
+    (nx, bx), (ny, by) = ((_size(F.col(v)), F.col(f"{v}_bits")) for v in (x, y))
+    px, py = _prefix_size(nx), _prefix_size(ny)
+    met = px - F.bit_count(bx)
+    return (F.bit_count(bx.bitwiseAND(by)) + met >= _shared_words(nx, px, ny, py)) | (F.greatest(nx, ny) == MOST)
+
+
 def later_matches(docs: DataFrame, classes: DataFrame) -> DataFrame:
     """(c): classes whose first place has an earlier similar line."""
-    leads = _rows(classes, LEADING)
-    lead = leads.groupBy("tok").agg(F.min("v").alias("lead"))
-    first = leads.join(lead, "tok").where((_class_of(F.col("v")) != _class_of(F.col("lead"))) & _filters(F.col("v"), F.col("lead")))
-    first = first.select(_class_of(F.col("v")).alias("x"), _class_of(F.col("lead")).alias("y")).distinct()
-    settled = _verified(docs, classes, first)
-    y = _rows(classes, None).withColumnRenamed("v", "y")
-    x = _rows(classes.join(_bounded(settled, 8), "c", "left_anti"), None).withColumnRenamed("v", "x")
-    second = x.join(y, "tok").where((F.col("y") < F.shiftleft(_class_of(F.col("x")), 2 * FIELD)) & _filters(F.col("x"), F.col("y"), SHARED))
+    x, y = _rows(classes, "x"), _rows(classes, "y")
+    leads = x.select("tok", "x").join(y.groupBy("tok").agg(F.min("y").alias("y")), "tok")
+    first = leads.where((_class_of(F.col("x")) != _class_of(F.col("y"))) & _filters(F.col("x"), F.col("y")))
+    settled = _verified(docs, classes, first.select(_class_of(F.col("x")).alias("x"), _class_of(F.col("y")).alias("y")).distinct())
+    x = _rows(classes.join(_bounded(settled, 8), "c", "left_anti"), "x")
+    earlier = F.col("y") < F.shiftleft(_class_of(F.col("x")), 2 * FIELD)
+    second = x.join(y, "tok").where(earlier & _filters(F.col("x"), F.col("y"), SHARED) & _maps("x", "y"))
     met = second.groupBy(F.shiftright("x", FIELD).alias("x"), F.shiftright("y", FIELD).alias("y")).agg(F.count(F.lit(1)).alias("shared"))
     sizes = F.col("x").bitwiseAND(F.lit(MOST)) + F.col("y").bitwiseAND(F.lit(MOST))
     met = met.where(F.col("shared") >= F.least(_need(sizes), F.lit(SHARED)))
@@ -190,9 +212,8 @@ def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFram
     known = classes.select("c", "n", "prefix")
     side = lambda p: known.select(F.col("c").alias(p), F.col("n").alias(f"n{p}"), F.col("prefix").alias(f"p{p}"))
     both = pairs.join(side("x"), "x").join(side("y"), "y")
-    # whichever prefix ends first in the order of words, a shared word inside it is inside the other one too
-    rest = F.greatest(F.col("nx") - F.size("px"), F.col("ny") - F.size("py"))
-    likely = materialize(both.where(F.size(F.array_intersect("px", "py")) + rest >= _need(F.col("nx") + F.col("ny"))).select("x", "y"), "line-pairs")
+    enough = F.size(F.array_intersect("px", "py")) >= _shared_words(F.col("nx"), F.size("px"), F.col("ny"), F.size("py"))
+    likely = materialize(both.where(enough).select("x", "y"), "line-pairs")
     wanted = likely.select(F.col("x").alias("c")).unionAll(likely.select(F.col("y").alias("c"))).distinct()
     wanted = classes.join(wanted, "c", "left_semi").select("c", "h1", F.col("at").alias("first"))
     wanted = materialize(wanted, "line-wanted")
