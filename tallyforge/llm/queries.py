@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import corpus_pipeline
-from tallyforge.llm import chatformat, decontam, langid, linededup, mixing, quality_model, quality_rules, simhash, suffixdedup, tokencount
+from tallyforge.llm import chatformat, decontam, langid, linededup, mixing, pipeline, quality_model, quality_rules, simhash, suffixdedup, tokencount
 from tallyforge.plans.registry import Registry
 
 REGISTRY = Registry()
@@ -17,4 +16,4 @@ REGISTRY.query("op7_quality_model")(quality_model.op7_quality_model)
 REGISTRY.query("op8_mixing")(mixing.op8_mixing)
 REGISTRY.query("op9_token_counts")(tokencount.op9_token_counts)
 REGISTRY.query("op10_quality_rules", quality_rules.ORACLE)(quality_rules.op10_quality_rules)
-REGISTRY.query("pipeline", corpus_pipeline.ORACLE_SQL)(corpus_pipeline.run)
+REGISTRY.query("pipeline", pipeline.ORACLE_SQL)(pipeline.run)
