@@ -9,9 +9,9 @@ a word stay.
    that share slots with others of their kind. The table has a fixed size and reaches the tasks as a scalar subquery.
 2. Equal lines are one class (128 bits of hash). Classes are numbered in the order of their first places, so a number is
    identity and order at once.
-3. Two sets with similarity 4/5 share two of the n - need + 2 rarest words of each (sets of one word: one): these
-   prefixes are joined. Pairs are cut by length, by the prefix that their two sizes ask for, by the position of each
-   shared word, and by how many words their prefixes share in all, first on bit maps of the prefixes.
+3. Two sets with similarity 4/5 share one of the n - need + 1 rarest words of each: these prefixes are joined. Pairs are
+   cut by length, by the prefix that their two sizes ask for, by the position of the shared word, and by how many words
+   their prefixes (and a few words beyond) share in all, first on bit maps of them.
 4. Round one compares each class with the earliest class under each of its prefix words only, which settles groups of
    near copies with a few comparisons each. Round two compares what is still kept with all the others.
 5. Candidates are verified on the words themselves, read from the lines again.
@@ -42,8 +42,10 @@ NUM, DEN = 4, 5
 #: What separates words: ASCII white space.
 WORD_BREAK = r"[ \t\r\x0B\f]+"
 BLANKS = " \t\r\x0b\f"
-#: How many words a pair has to share in the prefixes of round two, which are longer by one word less than that.
-SHARED = 2
+#: Words beyond the necessary prefix that are kept with it: they propose no pairs, they only help to cut them.
+BEYOND = 4
+#: The 64-bit words of the map of a prefix; what they cannot tell apart is left to the prefixes themselves.
+MAPS = ("map0", "map1")
 #: Bytes of a side that may be broadcast.
 BROADCAST_BYTES = 32 << 20
 #: Bits of a packed size or position; larger ones are held as the largest, which passes every filter.
@@ -102,10 +104,10 @@ def _place() -> Column:
 
 
 def line_classes(docs: DataFrame, ranks: DataFrame) -> DataFrame:
-    """(c, h1, h2, at, k, n, prefix, bits) of each distinct line.
+    """(c, h1, h2, at, k, n, prefix, MAPS) of each distinct line.
 
     c numbers them by first place, k counts places, n counts words, prefix holds the hashes of its rarest words, rarest
-    first, with the rarity in the top byte, and bits has a bit set for each of them.
+    first, with the rarity in the top byte, and MAPS are the words of a map with a bit set for each of them.
     """
     hashes = F.array_distinct(F.transform(_words(F.col("line")), lambda w: F.xxhash64(w)))
     lines = _lines(docs).select("h1", "h2", _place().alias("at"), hashes.alias("hs"), ranks.scalar().alias("ranks"))
@@ -116,9 +118,11 @@ def line_classes(docs: DataFrame, ranks: DataFrame) -> DataFrame:
     sets = sets.select("h1", "h2", "at", n.alias("n"), F.slice("keys", F.lit(1), _prefix_size(n).cast("int")).alias("prefix"))
     classes = sets.groupBy("h1", "h2").agg(F.min("at").alias("at"), F.count(F.lit(1)).alias("k"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
     ordered = classes.repartitionByRange("at").sortWithinPartitions("at")
-    one = lambda t: F.call_function("shiftleft", F.lit(1).cast("bigint"), F.shiftright(t, 20).bitwiseAND(F.lit(63)).cast("int"))
-    bits = F.aggregate("prefix", F.lit(0).cast("bigint"), lambda a, t: a.bitwiseOR(one(t)))
-    written = materialize(ordered.withColumns({"m": F.monotonically_increasing_id(), "bits": bits}), "line-classes")
+    place = lambda t, bits: F.shiftright(t, 20).bitwiseAND(F.lit(bits)).cast("int")
+    bit = lambda t: F.call_function("shiftleft", F.lit(1).cast("bigint"), place(t, 63))
+    own = lambda k: F.filter("prefix", lambda t: place(t, 64 * len(MAPS) - 64) == 64 * k)
+    maps = {name: F.aggregate(own(k), F.lit(0).cast("bigint"), lambda a, t: a.bitwiseOR(bit(t))) for k, name in enumerate(MAPS)}
+    written = materialize(ordered.withColumns({"m": F.monotonically_increasing_id(), **maps}), "line-classes")
     part, at = F.shiftright("m", 33), F.col("m").bitwiseAND(F.lit((1 << 33) - 1))
     sizes = written.groupBy(part.alias("part")).agg(F.max(at).alias("last")).orderBy("part").collect()  # one row a partition
     before, starts = 0, []
@@ -132,16 +136,18 @@ def line_classes(docs: DataFrame, ranks: DataFrame) -> DataFrame:
 
 
 def _rows(classes: DataFrame, name: str) -> DataFrame:
-    """(tok, name, its map): a row for each prefix word that occurs twice or more; the value packs c, n and the word's position."""
-    rows = classes.select("c", "n", "bits", F.posexplode("prefix").alias("i", "tok"))
+    """(tok, name, its maps): a row for each prefix word that occurs twice or more; the value packs c, n and the word's position."""
+    necessary = F.slice("prefix", F.lit(1), (F.col("n") - F.ceil(F.col("n") * NUM / DEN) + 1).cast("int"))
+    rows = classes.select("c", "n", *MAPS, F.posexplode(necessary).alias("i", "tok"))
     n, i = F.least("n", F.lit(MOST)).cast("bigint"), F.least("i", F.lit(MOST)).cast("bigint")
     v = F.shiftleft("c", 2 * FIELD).bitwiseOR(F.shiftleft(n, FIELD)).bitwiseOR(i)
     single = 4  # three times the binary logarithm of a slot's own row, one word and another one
-    return rows.where(F.shiftright("tok", 56) >= single).select("tok", v.alias(name), F.col("bits").alias(f"{name}_bits"))
+    token = F.col("tok").bitwiseAND(F.lit((1 << 40) - 1))  # enough to find pairs, and shorter on the way
+    return rows.where(F.shiftright("tok", 56) >= single).select(token.alias("tok"), v.alias(name), *[F.col(b).alias(f"{name}_{b}") for b in MAPS])
 
 
 def _prefix_size(n: Column) -> Column:
-    return n - F.ceil(n * NUM / DEN) + SHARED
+    return F.least(n, n - F.ceil(n * NUM / DEN) + 1 + BEYOND)
 
 
 def _need(both: Column) -> Column:
@@ -157,12 +163,12 @@ def _size(v: Column) -> Column:
     return F.shiftright(v, FIELD).bitwiseAND(F.lit(MOST))
 
 
-def _filters(x: Column, y: Column, shared: int = 1) -> Column:
+def _filters(x: Column, y: Column) -> Column:
     """What the packed rows of a shared word let pass: length, prefix of the two sizes, and position."""
     (nx, ix), (ny, iy) = ((_size(v), v.bitwiseAND(F.lit(MOST))) for v in (x, y))
     need = _need(nx + ny)
     length = (F.least(nx, ny) * DEN) >= (F.greatest(nx, ny) * NUM)
-    prefix = (ix < nx - need + shared) & (iy < ny - need + shared)
+    prefix = (ix <= nx - need) & (iy <= ny - need)
     position = 1 + F.least(nx - ix - 1, ny - iy - 1) + F.least(ix, iy) >= need
     return (length & prefix & position) | (F.greatest(nx, ny) == MOST)
 
@@ -176,12 +182,13 @@ def _shared_words(nx: Column, px: Column, ny: Column, py: Column) -> Column:
     return _need(nx + ny) - F.greatest(nx - px, ny - py)
 
 
-def _maps(x: Column, y: Column) -> Column:
+def _maps(x: str, y: str) -> Column:
     """Whether the bit maps of two prefixes have enough in common: a shared word is a common bit unless it meets another one's."""
-    (nx, bx), (ny, by) = ((_size(F.col(v)), F.col(f"{v}_bits")) for v in (x, y))
+    nx, ny = _size(F.col(x)), _size(F.col(y))
     px, py = _prefix_size(nx), _prefix_size(ny)
-    met = px - F.bit_count(bx)
-    return (F.bit_count(bx.bitwiseAND(by)) + met >= _shared_words(nx, px, ny, py)) | (F.greatest(nx, ny) == MOST)
+    common = sum(F.bit_count(F.col(f"{x}_{b}").bitwiseAND(F.col(f"{y}_{b}"))) for b in MAPS)
+    met = px - sum(F.bit_count(f"{x}_{b}") for b in MAPS)
+    return (common + met >= _shared_words(nx, px, ny, py)) | (F.greatest(nx, ny) == MOST)
 
 
 def later_matches(docs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -192,11 +199,8 @@ def later_matches(docs: DataFrame, classes: DataFrame) -> DataFrame:
     settled = _verified(docs, classes, first.select(_class_of(F.col("x")).alias("x"), _class_of(F.col("y")).alias("y")).distinct())
     x = _rows(classes.join(_bounded(settled, 8), "c", "left_anti"), "x")
     earlier = F.col("y") < F.shiftleft(_class_of(F.col("x")), 2 * FIELD)
-    second = x.join(y, "tok").where(earlier & _filters(F.col("x"), F.col("y"), SHARED) & _maps("x", "y"))
-    met = second.groupBy(F.shiftright("x", FIELD).alias("x"), F.shiftright("y", FIELD).alias("y")).agg(F.count(F.lit(1)).alias("shared"))
-    sizes = F.col("x").bitwiseAND(F.lit(MOST)) + F.col("y").bitwiseAND(F.lit(MOST))
-    met = met.where(F.col("shared") >= F.least(_need(sizes), F.lit(SHARED)))
-    more = _verified(docs, classes, met.select(F.shiftright("x", FIELD).alias("x"), F.shiftright("y", FIELD).alias("y")))
+    second = x.join(y, "tok").where(earlier & _filters(F.col("x"), F.col("y")) & _maps("x", "y"))
+    more = _verified(docs, classes, second.select(_class_of(F.col("x")).alias("x"), _class_of(F.col("y")).alias("y")).distinct())
     out = materialize(settled.unionAll(more), "line-later")
     discard(settled, more)
     return out
@@ -209,13 +213,14 @@ def _bounded(df: DataFrame, width: int) -> DataFrame:
 
 def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
     """(c): the x of each pair (x, y), x later than y, whose sets of words are similar enough."""
-    known = classes.select("c", "n", "prefix")
+    met = materialize(pairs, "line-met")
+    ids = lambda df: df.select(F.col("x").alias("c")).unionAll(df.select(F.col("y").alias("c"))).distinct()
+    known = classes.select("c", "n", "prefix").join(_bounded(ids(met), 8), "c", "left_semi")
     side = lambda p: known.select(F.col("c").alias(p), F.col("n").alias(f"n{p}"), F.col("prefix").alias(f"p{p}"))
-    both = pairs.join(side("x"), "x").join(side("y"), "y")
+    both = met.join(side("x"), "x").join(side("y"), "y")
     enough = F.size(F.array_intersect("px", "py")) >= _shared_words(F.col("nx"), F.size("px"), F.col("ny"), F.size("py"))
     likely = materialize(both.where(enough).select("x", "y"), "line-pairs")
-    wanted = likely.select(F.col("x").alias("c")).unionAll(likely.select(F.col("y").alias("c"))).distinct()
-    wanted = classes.join(wanted, "c", "left_semi").select("c", "h1", F.col("at").alias("first"))
+    wanted = classes.join(_bounded(ids(likely), 8), "c", "left_semi").select("c", "h1", F.col("at").alias("first"))
     wanted = materialize(wanted, "line-wanted")
     lines = _lines(docs).select("h1", _place().alias("at"), "line")
     sets = lines.join(_bounded(wanted, 48), "h1").where(F.col("at") == F.col("first")).select("c", "line")
@@ -225,7 +230,7 @@ def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFram
     common = F.size(F.array_intersect("wx", "wy"))
     similar = common * DEN >= (F.size("wx") + F.size("wy") - common) * NUM
     out = materialize(joined.where(similar).select(F.col("x").alias("c")).distinct(), "line-settled")
-    discard(likely, wanted, sets)
+    discard(met, likely, wanted, sets)
     return out
 
 
