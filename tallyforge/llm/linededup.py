@@ -11,7 +11,7 @@ a word stay.
    identity and order at once.
 3. Two sets with similarity 4/5 share one of the n - need + 1 rarest words of each: these prefixes are joined. Pairs are
    cut by length, by the prefix that their two sizes ask for, by the position of the shared word, and by how many words
-   their prefixes (and a few words beyond) share in all, first on bit maps of them.
+   their prefixes (and a few words beyond) share in all: on bit maps inside the join, then on the prefixes.
 4. Round one compares each class with the earliest class under each of its prefix words only, which settles groups of
    near copies with a few comparisons each. Round two compares what is still kept with all the others.
 5. Candidates are verified on the words themselves, read from the lines again.
@@ -43,9 +43,9 @@ NUM, DEN = 4, 5
 WORD_BREAK = r"[ \t\r\x0B\f]+"
 BLANKS = " \t\r\x0b\f"
 #: Words beyond the necessary prefix that are kept with it: they propose no pairs, they only help to cut them.
-BEYOND = 4
+BEYOND = 8
 #: The 64-bit words of the map of a prefix; what they cannot tell apart is left to the prefixes themselves.
-MAPS = ("map0", "map1")
+MAPS = ("map0", "map1", "map2")
 #: Bytes of a side that may be broadcast.
 BROADCAST_BYTES = 32 << 20
 #: Bits of a packed size or position; larger ones are held as the largest, which passes every filter.
@@ -106,8 +106,9 @@ def _place() -> Column:
 def line_classes(docs: DataFrame, ranks: DataFrame) -> DataFrame:
     """(c, h1, h2, at, k, n, prefix, MAPS) of each distinct line.
 
-    c numbers them by first place, k counts places, n counts words, prefix holds the hashes of its rarest words, rarest
-    first, with the rarity in the top byte, and MAPS are the words of a map with a bit set for each of them.
+    c numbers them by first place, k counts places, n counts words, prefix holds the hashes of its necessary rarest
+    words, rarest first, with the rarity in the top byte, and MAPS are the words of a map with a bit for each of them and
+    of BEYOND more.
     """
     hashes = F.array_distinct(F.transform(_words(F.col("line")), lambda w: F.xxhash64(w)))
     lines = _lines(docs).select("h1", "h2", _place().alias("at"), hashes.alias("hs"), ranks.scalar().alias("ranks"))
@@ -115,14 +116,16 @@ def line_classes(docs: DataFrame, ranks: DataFrame) -> DataFrame:
     key = lambda h: F.shiftleft(F.get("ranks", slot(h)).cast("bigint"), 56).bitwiseOR(h.bitwiseAND(F.lit((1 << 56) - 1)))
     sets = lines.select("h1", "h2", "at", F.sort_array(F.transform("hs", key)).alias("keys"))
     n = F.size("keys")
-    sets = sets.select("h1", "h2", "at", n.alias("n"), F.slice("keys", F.lit(1), _prefix_size(n).cast("int")).alias("prefix"))
-    classes = sets.groupBy("h1", "h2").agg(F.min("at").alias("at"), F.count(F.lit(1)).alias("k"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
-    ordered = classes.repartitionByRange("at").sortWithinPartitions("at")
-    place = lambda t, bits: F.shiftright(t, 20).bitwiseAND(F.lit(bits)).cast("int")
-    bit = lambda t: F.call_function("shiftleft", F.lit(1).cast("bigint"), place(t, 63))
-    own = lambda k: F.filter("prefix", lambda t: place(t, 64 * len(MAPS) - 64) == 64 * k)
+    sets = sets.select("h1", "h2", "at", n.alias("n"), F.slice("keys", F.lit(1), _prefix_size(n).cast("int")).alias("rare"))
+    necessary = F.slice("rare", F.lit(1), (F.col("n") - F.ceil(F.col("n") * NUM / DEN) + 1).cast("int"))
+    place = lambda t: F.shiftright(t, 20).bitwiseAND(F.lit((1 << 20) - 1)) % (64 * len(MAPS))
+    bit = lambda t: F.call_function("shiftleft", F.lit(1).cast("bigint"), (place(t) % 64).cast("int"))
+    own = lambda k: F.filter("rare", lambda t: (place(t) >= 64 * k) & (place(t) < 64 * k + 64))
     maps = {name: F.aggregate(own(k), F.lit(0).cast("bigint"), lambda a, t: a.bitwiseOR(bit(t))) for k, name in enumerate(MAPS)}
-    written = materialize(ordered.withColumns({"m": F.monotonically_increasing_id(), **maps}), "line-classes")
+    sets = sets.select("h1", "h2", "at", "n", necessary.alias("prefix"), *[m.alias(name) for name, m in maps.items()])
+    classes = sets.groupBy("h1", "h2").agg(F.min("at").alias("at"), F.count(F.lit(1)).alias("k"), *[F.first(c).alias(c) for c in ("n", "prefix", *MAPS)])
+    ordered = classes.repartitionByRange("at").sortWithinPartitions("at")
+    written = materialize(ordered.withColumn("m", F.monotonically_increasing_id()), "line-classes")
     part, at = F.shiftright("m", 33), F.col("m").bitwiseAND(F.lit((1 << 33) - 1))
     sizes = written.groupBy(part.alias("part")).agg(F.max(at).alias("last")).orderBy("part").collect()  # one row a partition
     before, starts = 0, []
@@ -135,15 +138,14 @@ def line_classes(docs: DataFrame, ranks: DataFrame) -> DataFrame:
     return out
 
 
-def _rows(classes: DataFrame, name: str) -> DataFrame:
-    """(tok, name, its maps): a row for each prefix word that occurs twice or more; the value packs c, n and the word's position."""
-    necessary = F.slice("prefix", F.lit(1), (F.col("n") - F.ceil(F.col("n") * NUM / DEN) + 1).cast("int"))
-    rows = classes.select("c", "n", *MAPS, F.posexplode(necessary).alias("i", "tok"))
+def _rows(classes: DataFrame, name: str, *extra: str) -> DataFrame:
+    """(tok, name, its extra columns): a row for each prefix word that occurs twice or more; the value packs c, n and the word's position."""
+    rows = classes.select("c", "n", *extra, F.posexplode("prefix").alias("i", "tok"))
     n, i = F.least("n", F.lit(MOST)).cast("bigint"), F.least("i", F.lit(MOST)).cast("bigint")
     v = F.shiftleft("c", 2 * FIELD).bitwiseOR(F.shiftleft(n, FIELD)).bitwiseOR(i)
     single = 4  # three times the binary logarithm of a slot's own row, one word and another one
     token = F.col("tok").bitwiseAND(F.lit((1 << 40) - 1))  # enough to find pairs, and shorter on the way
-    return rows.where(F.shiftright("tok", 56) >= single).select(token.alias("tok"), v.alias(name), *[F.col(b).alias(f"{name}_{b}") for b in MAPS])
+    return rows.where(F.shiftright("tok", 56) >= single).select(token.alias("tok"), v.alias(name), *[F.col(b).alias(f"{name}_{b}") for b in extra])
 
 
 def _prefix_size(n: Column) -> Column:
@@ -197,7 +199,7 @@ def later_matches(docs: DataFrame, classes: DataFrame) -> DataFrame:
     leads = x.select("tok", "x").join(y.groupBy("tok").agg(F.min("y").alias("y")), "tok")
     first = leads.where((_class_of(F.col("x")) != _class_of(F.col("y"))) & _filters(F.col("x"), F.col("y")))
     settled = _verified(docs, classes, first.select(_class_of(F.col("x")).alias("x"), _class_of(F.col("y")).alias("y")).distinct())
-    x = _rows(classes.join(_bounded(settled, 8), "c", "left_anti"), "x")
+    x, y = _rows(classes.join(_bounded(settled, 8), "c", "left_anti"), "x", *MAPS), _rows(classes, "y", *MAPS)
     earlier = F.col("y") < F.shiftleft(_class_of(F.col("x")), 2 * FIELD)
     second = x.join(y, "tok").where(earlier & _filters(F.col("x"), F.col("y")) & _maps("x", "y"))
     more = _verified(docs, classes, second.select(_class_of(F.col("x")).alias("x"), _class_of(F.col("y")).alias("y")).distinct())
