@@ -5,8 +5,10 @@ from __future__ import annotations
 import hashlib
 import json
 import random
+import re
 from typing import Any
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -117,16 +119,35 @@ def problem_id(text: Column) -> Column:
     return F.substring(F.sha2(text_bytes(text), 256), 1, 16)
 
 
+def prf(label: bytes, *parts: bytes, out_bytes: int) -> bytes:
+    """SHAKE-256 over the label and the parts, each behind its length in four bytes."""
+    if not 0 <= out_bytes <= 1 << 16:
+        raise ValueError("between 0 and 65536 bytes")
+    message = b"".join(len(x).to_bytes(4, "big") + x for x in (label, *parts))
+    return hashlib.shake_256(message).digest(out_bytes)
+
+
+def hex_bytes(text: str | None) -> bytes:
+    """The bytes of clean_hex, on the driver or in a worker."""
+    digits = re.sub("0[xX]", "", (text or "").strip())
+    return bytes.fromhex(digits.zfill(len(digits) + len(digits) % 2))
+
+
 def coefficient_vector(randomness_hex: str, size: int, limit: int = 127, label: bytes = b"sketch") -> list[int]:
     """Bounded coefficients of a window, expanded on the driver with SHAKE-256; a literal of ``size`` numbers for the plan."""
-    hexed = randomness_hex.strip().replace("0x", "").replace("0X", "")
-    seed = bytes.fromhex(hexed if len(hexed) % 2 == 0 else "0" + hexed)
-    lengths = b"".join(len(x).to_bytes(4, "big") + x for x in (label, seed))
-    raw = hashlib.shake_256(lengths).digest(2 * size)
+    raw = prf(label, hex_bytes(randomness_hex), out_bytes=2 * size)
     words = [int.from_bytes(raw[k : k + 2], "big", signed=True) for k in range(0, 2 * size, 2)]
     return [abs(w) % (2 * limit + 1) - limit for w in words]
 
 
+def projection_vector(randomness_hex: str, size: int, label: bytes = b"sketch") -> list[int]:
+    """Signed 32-bit coefficients of a window, big-endian words of the same expansion."""
+    if not hex_bytes(randomness_hex):
+        raise ValueError("randomness is empty")
+    raw = prf(label, hex_bytes(randomness_hex), out_bytes=4 * size)
+    return [int.from_bytes(raw[k : k + 4], "big", signed=True) for k in range(0, 4 * size, 4)]
+
+
 def canonical_json(value: Any) -> bytes:
     """JSON with sorted keys, no blanks and no NaN."""
     return json.dumps(value, sort_keys=True, separators=(",", ":"), allow_nan=False).encode()
@@ -147,17 +168,75 @@ def merkle_root_udf(leaves):  # noqa: ANN001, ANN201
     return leaves.map(lambda xs: merkle_root([json.loads(x) for x in xs]))
 
 
+def legacy_root(leaves: list[Any]) -> str | None:
+    """The root without domains, of whole bytes or canonical JSON leaves; an odd node is paired with itself."""
+    return merkle_root(leaves, b"", b"")
+
+
+def selection_digest(streams: list[list[int]], env: str, domain: bytes = b"selection-stream-v1\x00") -> str:
+    """The digest of what a group generated (environment, index, tokens), which no harmless field can change."""
+    if not streams:
+        raise ValueError("a group has streams")
+    return hashlib.sha256(domain + canonical_json([{"env_name": env, "index": k, "tokens": [int(t) for t in x]} for k, x in enumerate(streams)])).hexdigest()
+
+
+@pandas_udf(T.StringType())
+def selection_digest_udf(streams, env):  # noqa: ANN001, ANN201
+    """Vector of selection_digest; null for an empty group."""
+    return pd.Series([selection_digest([list(x) for x in s], e) if s is not None and len(s) else None for s, e in zip(streams, env)], dtype="object")
+
+
+def root_matches(claimed: Column, root: Column) -> Column:
+    """Whether a claimed root is the recomputed one, whatever its case; a missing one is not."""
+    return F.coalesce(F.lower(claimed) == root, F.lit(False))
+
+
+def length_prefixed(domain: str, *parts: Column) -> Column:
+    """sha256 of a domain and parts, each behind its length in four bytes."""
+    return F.sha2(F.concat(F.lit(domain.encode()), *[with_length(p, 4) for p in parts]), 256)
+
+
+def commit_binding(tokens: Column, randomness: Column, model: Column, layer: Column, commitments_json: Column, domain: str = "commit-v1") -> Column:
+    """The digest that a commit's signature covers; the layer is a signed number of four bytes."""
+    layer_bytes = F.unhex(F.lpad(F.hex(layer.cast("bigint").bitwiseAND(F.lit(0xFFFFFFFF))), 8, "0"))
+    return length_prefixed(domain, F.unhex(token_hash(tokens)), F.unhex(clean_hex(randomness)), text_bytes(F.coalesce(model, F.lit(""))), layer_bytes, F.unhex(F.sha2(text_bytes(commitments_json), 256)))
+
+
+def precommit_binding(hotkey: Column, window: Column, prompt: Column, root: Column, checkpoint: Column, env: Column, size: Column, payload_sha: Column, round_: Column, randomness: Column, version: Column, nonce: Column, domain: str = "upload-precommit-v2") -> Column:
+    """The digest that is signed before a body is sent: the envelope's fields, environment, byte count and digest of the body."""
+    return length_prefixed(
+        domain, text_bytes(hotkey), be_bytes(window, 8), be_bytes(prompt, 8), F.unhex(clean_hex(root)), text_bytes(F.coalesce(checkpoint, F.lit(""))), text_bytes(env),
+        be_bytes(size, 8), F.unhex(clean_hex(payload_sha)), be_bytes(round_, 8), F.unhex(clean_hex(randomness)), be_bytes(version, 8), text_bytes(nonce),
+    )
+
+
+def environment_seed(wallet: Column, window_hash: Column, index: Column) -> Column:
+    """The 32-bit seed of an environment: the first eight digits of a digest over wallet, window and problem index."""
+    message = F.concat(F.lit("seed|"), wallet, F.lit(":"), window_hash, F.lit(":"), F.coalesce(index, F.lit(0)).cast("bigint").cast("string"))
+    return F.conv(F.substring(F.sha2(text_bytes(message), 256), 1, 8), 16, 10).cast("bigint")
+
+
 def challenge_indices(tokens: list[int], randomness_hex: str, start: int, stop: int, k: int = DEFAULT.challenge_positions) -> list[int]:
-    """k sorted positions of [start, stop) from a generator seeded by tokens and randomness; fewer if there are fewer."""
-    body = b"".join(int(t).to_bytes(4, "big") for t in tokens)
-    seed = hashlib.sha256(b"open" + hashlib.sha256(body).digest() + bytes.fromhex(randomness_hex)).digest()
-    rng = random.Random(seed)
-    return sorted(rng.sample(range(start, stop), min(k, max(0, stop - start))))
+    """min(k, stop - start) sorted positions of [start, stop), from CPython's generator seeded by the PRF of tokens and randomness.
+
+    The wire format asks for two ways to draw: a sample where the positions are under a tenth of the range, else the head
+    of a shuffled range.
+    """
+    if start < 0 or stop < start or k <= 0 or not tokens or not hex_bytes(randomness_hex):
+        raise ValueError("a range, a positive number, tokens and randomness are needed")
+    if stop == start:
+        return []
+    digest = hashlib.sha256(b"".join((int(t) & 0xFFFFFFFF).to_bytes(4, "big") for t in tokens)).digest()
+    draw = random.Random(prf(b"open", digest, hex_bytes(randomness_hex), out_bytes=32))
+    places, wanted = range(start, stop), min(k, stop - start)
+    if 10 * wanted < len(places):
+        return sorted(draw.sample(places, wanted))
+    shuffled = list(places)
+    draw.shuffle(shuffled)
+    return sorted(shuffled[:wanted])
 
 
 @pandas_udf(T.ArrayType(T.LongType()))
 def challenge_udf(tokens, randomness, start, stop):  # noqa: ANN001, ANN201
     """Vector of challenge_indices."""
-    import pandas as pd
-
     return pd.Series([challenge_indices(list(t), r, int(a), int(b)) for t, r, a, b in zip(tokens, randomness, start, stop)])

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.functions import pandas_udf
 
 
 def last_boxed(text: Column) -> Column:
@@ -54,17 +57,34 @@ def normalize_answer(text: Column) -> Column:
 
 
 def as_ratio(text: Column) -> Column:
-    """struct(num, den) of a plain integer, decimal or fraction as decimal(38); null for anything else or a zero denominator."""
-    ok = text.rlike(r"^[+-]?\d{1,12}(\.\d{1,6})?(/\d{1,12})?$")
+    """struct(num, den) of a plain integer, decimal or fraction that fits decimals; null for anything else or a zero denominator."""
+    ok = text.rlike(r"^[+-]?\d{1,12}(\.\d{1,6})?$") | text.rlike(r"^[+-]?\d{1,12}/\d{1,12}$")
     top = F.regexp_extract(text, r"^([^/]+)", 1).cast("decimal(18,6)")
     low = F.coalesce(F.nullif(F.regexp_extract(text, r"/(\d+)$", 1), F.lit("")), F.lit("1")).cast("decimal(12,0)")
     return F.when(ok & (low != 0), F.struct(top.alias("num"), low.alias("den")))
 
 
+@pandas_udf(T.BooleanType())
+def _same_exactly(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Equality of plain numbers of any length; null unless both are numbers."""
+    from tallyforge.functions.grading import as_number
+
+    def same(x: str | None, y: str | None) -> bool | None:
+        p, q = as_number(x or ""), as_number(y or "")
+        return None if p is None or q is None else p == q
+
+    return pd.Series([same(x, y) for x, y in zip(a, b)], dtype="object")
+
+
 def same_number(a: Column, b: Column) -> Column:
-    """Equality of two plain numbers by cross-multiplication, null unless both are numbers."""
+    """Equality of two plain numbers by cross-multiplication, null unless both are numbers.
+
+    Numbers of up to 12 digits and 6 decimals stay with the engine's decimals; only rows with a longer one, which are
+    rare, are compared as exact fractions of any length.
+    """
     x, y = as_ratio(a), as_ratio(b)
-    return x["num"] * y["den"] == y["num"] * x["den"]
+    long = F.greatest(F.length(a), F.length(b)) > 13
+    return F.when(x.isNotNull() & y.isNotNull(), x["num"] * y["den"] == y["num"] * x["den"]).when(long, _same_exactly(F.when(long, a), F.when(long, b)))
 
 
 def last_code_block(text: Column) -> Column:

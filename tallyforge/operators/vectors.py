@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.functions import pandas_udf
 
 from tallyforge.config import DEFAULT, EngineConfig
 
@@ -36,42 +40,72 @@ def dot_mod(h: Column, r: Column, scale: int = 1024, modulus: int = DEFAULT.sket
 
 def softmax(v: Column, temperature: float = 1.0) -> Column:
     """Probabilities of a row of logits, the largest subtracted first."""
-    top = F.array_max(v)
-    e = F.transform(v, lambda x: F.exp((x - top) / temperature))
-    return F.transform(e, lambda x: x / F.aggregate(e, F.lit(0.0), lambda a, y: a + y))
 
+    @pandas_udf(T.ArrayType(T.DoubleType()))
+    def normalised(rows: pd.Series) -> pd.Series:
+        return rows.map(lambda x: None if x is None else nucleus(np.asarray(x, dtype=np.float64), temperature, 0, 1.0))
 
-def _sum(v: Column) -> Column:
-    return F.aggregate(v, F.lit(0.0), lambda a, x: a + x)
+    return normalised(v)
 
 
-def warp(df: DataFrame, v: str, temperature: float = 0.6, top_k: int = 20, top_p: float = 0.95, out: str = "probs") -> DataFrame:
-    """Adds ``out``: probabilities after temperature, top-k (ties at the k-th stay) and top-p (the crossing token stays).
+def log_softmax(v: Column) -> Column:
+    """Log-probabilities of a row of logits, by the logarithm of the sum of exponentials."""
+
+    @pandas_udf(T.ArrayType(T.DoubleType()))
+    def logs(rows: pd.Series) -> pd.Series:
+        def one(x: np.ndarray) -> np.ndarray:
+            x = np.asarray(x, dtype=np.float64)
+            return x - (x.max() + np.log(np.exp(x - x.max()).sum())) if len(x) else x
+
+        return rows.map(lambda x: None if x is None else one(x))
+
+    return logs(v)
 
-    Each step is a column of its own, so that nothing is evaluated twice inside a lambda.
+
+def nucleus(logits: np.ndarray, temperature: float, top_k: int, top_p: float) -> np.ndarray:
+    """Probabilities of one row of logits after temperature, top-k (ties at the k-th stay) and top-p.
+
+    Positions are taken by falling probability, ties by position, until the mass before one reaches top_p; the position
+    that crosses it is the last one kept, and one that is merely as likely is not.
     """
-    scaled = F.transform(v, lambda x: x / temperature)
-    step = df.withColumn("_w", scaled)
-    if top_k:
-        step = step.withColumn("_t", F.get(F.sort_array("_w", asc=False), F.least(F.lit(top_k), F.size("_w")) - 1))
-    else:
-        step = step.withColumn("_t", F.array_min("_w"))
-    step = step.withColumn("_m", F.array_max("_w")).withColumn("_e", F.transform("_w", lambda x: F.when(x < F.col("_t"), 0.0).otherwise(F.exp(x - F.col("_m")))))
-    step = step.withColumn("_z", _sum(F.col("_e"))).withColumn("_p", F.transform("_e", lambda x: x / F.col("_z")))
+    w = logits / temperature
+    if top_k and top_k < len(w):
+        w = np.where(w < np.partition(w, -top_k)[-top_k], -np.inf, w)
+    e = np.exp(w - w.max()) if len(w) else w
+    p = e / e.sum() if len(w) else w
     if top_p and top_p < 1:
-        step = step.withColumn("_s", F.sort_array("_p", asc=False))
-        # the smallest probability that is still kept: the mass before it is below top_p
-        keep = F.aggregate("_s", F.struct(F.lit(0.0).alias("c"), F.lit(2.0).alias("q")), lambda a, x: F.struct((a["c"] + x).alias("c"), F.when(a["c"] < top_p, x).otherwise(a["q"]).alias("q")), lambda a: a["q"])
-        step = step.withColumn("_q", keep).withColumn("_p", F.transform("_p", lambda x: F.when(x >= F.col("_q"), x).otherwise(0.0)))
-        step = step.withColumn("_z", _sum(F.col("_p"))).withColumn("_p", F.transform("_p", lambda x: x / F.col("_z")))
-    return step.withColumn(out, F.col("_p")).drop("_w", "_t", "_m", "_e", "_z", "_p", "_s", "_q")
+        alive = np.flatnonzero(p)
+        order = alive[np.argsort(-p[alive], kind="stable")]
+        before = np.cumsum(p[order]) - p[order]
+        kept = np.zeros_like(p)
+        chosen = order[before < top_p]
+        kept[chosen] = p[chosen]
+        p = kept / kept.sum() if len(chosen) else kept
+    return p
+
+
+def warp(df: DataFrame, v: str, temperature: float = 0.6, top_k: int = 20, top_p: float = 0.95, out: str = "probs") -> DataFrame:
+    """Adds ``out``: the ``nucleus`` probabilities of each row of logits; null and empty rows stay as they are.
+
+    One numpy pass a row in Arrow batches: the work is linear in the row but for the sort of what top-k left, where a
+    chain of array lambdas would be evaluated anew for each element.
+    """
+
+    @pandas_udf(T.ArrayType(T.DoubleType()))
+    def probabilities(rows: pd.Series) -> pd.Series:
+        return rows.map(lambda x: None if x is None else nucleus(np.asarray(x, dtype=np.float64), temperature, top_k, top_p))
+
+    return df.withColumn(out, probabilities(v))
 
 
 def inverse_cdf(probs: Column, u: Column) -> Column:
     """The first position whose cumulated probability exceeds u; the last one if none does."""
-    start = F.struct(F.lit(0.0).alias("c"), F.lit(0).alias("i"), F.lit(-1).alias("hit"))
-    step = lambda a, p: F.struct((a["c"] + p).alias("c"), (a["i"] + 1).alias("i"), F.when((a["hit"] < 0) & (a["c"] + p > u), a["i"]).otherwise(a["hit"]).alias("hit"))
-    return F.aggregate(probs, start, step, lambda a: F.when(a["hit"] < 0, a["i"] - 1).otherwise(a["hit"]))
+
+    @pandas_udf(T.IntegerType())
+    def pick(rows: pd.Series, draws: pd.Series) -> pd.Series:
+        return pd.Series([min(int(np.searchsorted(np.cumsum(p), d, side="right")), len(p) - 1) for p, d in zip(rows, draws)], dtype="Int32")
+
+    return pick(probs, u)
 
 
 def seed_consistency(rows: DataFrame, keys: list[str], threshold: float = 0.99) -> DataFrame:
