@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from fractions import Fraction
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -58,7 +61,7 @@ def normalize_answer(text: Column) -> Column:
 
 def as_ratio(text: Column) -> Column:
     """struct(num, den) of a plain integer, decimal or fraction that fits decimals; null for anything else or a zero denominator."""
-    ok = text.rlike(r"^[+-]?\d{1,12}(\.\d{1,6})?$") | text.rlike(r"^[+-]?\d{1,12}/\d{1,12}$")
+    ok = text.rlike(r"^[+-]?\d{1,12}(\.\d{1,6})?(/\d{1,12})?$")
     top = F.regexp_extract(text, r"^([^/]+)", 1).cast("decimal(18,6)")
     low = F.coalesce(F.nullif(F.regexp_extract(text, r"/(\d+)$", 1), F.lit("")), F.lit("1")).cast("decimal(12,0)")
     return F.when(ok & (low != 0), F.struct(top.alias("num"), low.alias("den")))
@@ -67,10 +70,14 @@ def as_ratio(text: Column) -> Column:
 @pandas_udf(T.BooleanType())
 def _same_exactly(a: pd.Series, b: pd.Series) -> pd.Series:
     """Equality of plain numbers of any length; null unless both are numbers."""
-    from tallyforge.functions.grading import as_number
+    form = re.compile(r"([+-]?[0-9]+(?:\.[0-9]+)?)(?:/([0-9]+))?")
+
+    def value(x: str | None) -> Fraction | None:
+        m = form.fullmatch(x or "")
+        return Fraction(m[1]) / int(m[2] or 1) if m and int(m[2] or 1) else None
 
     def same(x: str | None, y: str | None) -> bool | None:
-        p, q = as_number(x or ""), as_number(y or "")
+        p, q = value(x), value(y)
         return None if p is None or q is None else p == q
 
     return pd.Series([same(x, y) for x, y in zip(a, b)], dtype="object")

@@ -51,6 +51,75 @@ def test_hashes(spark):
     assert all(-127 <= c <= 127 for c in hashing.coefficient_vector("a", 16))
 
 
+ADVERSARIAL = [r"\boxed{3.5/2}", r"\boxed{}", r"\boxed{1/0}", r"\boxed{9^{9^{9}}}", r"\boxed{\frac{1}{0}}", r"\boxed{" + "(" * 500, r"\boxed{\sqrt{-1}}", r"\boxed{0^{-1}}", "1/", "", "\x00", r"\boxed{" + "9" * 5000 + "}"]
+
+
+@pytest.mark.parametrize("completion", ADVERSARIAL)
+def test_reward_never_raises_and_an_empty_truth_earns_nothing(completion):
+    assert grading.safe_reward(completion, "7") == 0.0 and grading.safe_reward(completion, "") == 0.0 and grading.safe_reward(completion, r"\ $") == 0.0
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text(alphabet="\\boxedfracsqt{}[]()^*/+-.,0123 x", max_size=60), st.text(max_size=20))
+def test_reward_of_any_text(completion, truth):
+    assert grading.math_reward(completion, truth) in (0.0, 1.0) and grading.math_reward("\\boxed{" + completion + "}", truth) in (0.0, 1.0)
+
+
+def test_nested_latex_and_numbers():
+    assert grading.math_reward(r"\boxed{\frac{1}{\sqrt{\frac{4}{9}}}}", "1.5") == 1.0 and grading.math_reward(r"\boxed{3.5/2}", "7/4") == 1.0
+    assert grading.as_number("1/0") is None and grading.as_number("3.5/2") is None and grading.as_number("-12.50") == -12.5
+
+
+def test_long_numbers_are_compared_exactly(spark):
+    big = "1" + "0" * 30
+    rows = [(big, big + ".0", True), (big, big[:-1] + "1", False), ("0.50", "1/2", True), ("x" * 20, big, None), ("1/0", "2", None), ("0." + "0" * 20 + "1", "0", False)]
+    got = spark.createDataFrame(rows, "a string, b string, want boolean").select("a", "b", "want", text.same_number(F.col("a"), F.col("b")).alias("same")).collect()
+    assert [r["same"] for r in got] == [r["want"] for r in got]
+
+
+def lp(*parts):
+    return b"".join(len(p).to_bytes(4, "big") + p for p in parts)
+
+
+def test_prf_and_challenges():
+    import random
+
+    want = hashlib.shake_256(lp(b"open", b"ab", b"")).digest(32)
+    assert hashing.prf(b"open", b"ab", b"", out_bytes=32) == want and hashing.prf(b"x", out_bytes=0) == b""
+    assert hashing.prf(b"l", b"a", b"b", out_bytes=8) != hashing.prf(b"l", b"ab", out_bytes=8)
+    raw = hashlib.shake_256(lp(b"sketch", bytes.fromhex("0abc"))).digest(12)
+    assert hashing.projection_vector("0xabc", 3) == [int.from_bytes(raw[k : k + 4], "big", signed=True) for k in (0, 4, 8)]
+    tokens = [1, 70000, 2**32 + 5]
+    digest = hashlib.sha256(b"".join((t % 2**32).to_bytes(4, "big") for t in tokens)).digest()
+    seed = hashlib.shake_256(lp(b"open", digest, b"\xab")).digest(32)
+    few = random.Random(seed).sample(range(1000), 32)
+    many = list(range(60))
+    random.Random(seed).shuffle(many)
+    assert hashing.challenge_indices(tokens, "ab", 10, 1010) == sorted(10 + i for i in few)
+    assert hashing.challenge_indices(tokens, "ab", 10, 70) == sorted(10 + i for i in many[:32])
+    assert hashing.challenge_indices(tokens, "ab", 3, 3) == []
+    with pytest.raises(ValueError):
+        hashing.challenge_indices([], "ab", 0, 10)
+
+
+def test_bindings_and_digests(spark):
+    row = spark.range(1).select(
+        hashing.commit_binding(F.array(F.lit(1), F.lit(2)), F.lit("0xabc"), F.lit("m"), F.lit(-1), F.lit("[]")).alias("commit"),
+        hashing.precommit_binding(F.lit("hk"), F.lit(5), F.lit(6), F.lit("ab"), F.lit(None).cast("string"), F.lit("math"), F.lit(99), F.lit("cd"), F.lit(7), F.lit(""), F.lit(2), F.lit("n")).alias("pre"),
+        hashing.environment_seed(F.lit("w"), F.lit("h"), F.lit(3)).alias("seed"), hashing.root_matches(F.lit("AB"), F.lit("ab")).alias("same"),
+    ).first()
+    sha = lambda *x: hashlib.sha256(b"".join(x))
+    words = sha((1).to_bytes(4, "big"), (2).to_bytes(4, "big")).digest()
+    assert row["commit"] == sha(b"commit-v1", lp(words, b"\x0a\xbc", b"m", b"\xff" * 4, sha(b"[]").digest())).hexdigest()
+    n8 = lambda n: n.to_bytes(8, "big")
+    assert row["pre"] == sha(b"upload-precommit-v2", lp(b"hk", n8(5), n8(6), b"\xab", b"", b"math", n8(99), b"\xcd", n8(7), b"", n8(2), b"n")).hexdigest()
+    assert row["seed"] == int(sha(b"seed|w:h:3").hexdigest()[:8], 16) and row["same"]
+    body = json.dumps([{"env_name": "e", "index": 0, "tokens": [4, 5]}], sort_keys=True, separators=(",", ":")).encode()
+    assert hashing.selection_digest([[4, 5]], "e") == sha(b"selection-stream-v1\0", body).hexdigest()
+    leaf = lambda x: sha(json.dumps(x).encode()).digest()
+    assert hashing.legacy_root([1, 2, 3]) == sha(sha(leaf(1), leaf(2)).digest(), sha(leaf(3), leaf(3)).digest()).hexdigest()
+
+
 @settings(max_examples=40, deadline=None)
 @given(st.text(alphabet="\\boxedf{}12 ", max_size=40))
 def test_boxed_reader_is_balanced(s):
@@ -104,6 +173,16 @@ def test_sampling_equals_numpy(spark):
         assert r["pick"] == min(int(np.searchsorted(np.cumsum(q), rows[r["id"]][2], side="right")), 29)
 
 
+def test_a_tie_at_the_crossing_token_is_cut(spark):
+    import numpy as np
+
+    got = vectors.nucleus(np.zeros(4), 1.0, 0, 0.5)
+    assert got.tolist() == [0.5, 0.5, 0.0, 0.0] and vectors.nucleus(np.zeros(0), 1.0, 20, 0.9).tolist() == []
+    df = spark.createDataFrame([(1, [0.0, 1.0, 2.0]), (2, None), (3, [])], "k int, v array<double>")
+    rows = {r["k"]: r for r in vectors.warp(df, "v").select("k", "probs", vectors.softmax(F.col("v")).alias("s"), vectors.log_softmax(F.col("v")).alias("l")).collect()}
+    assert rows[2]["probs"] is None and rows[3]["probs"] == [] and np.allclose(np.exp(rows[1]["l"]), rows[1]["s"]) and sum(rows[1]["s"]) == pytest.approx(1)
+
+
 def test_buckets_at_the_edges(spark):
     values = [float("nan"), float("inf"), float("-inf"), 1e-7, 1.0, -1.0, 1e9, -3.0]
     df = spark.createDataFrame([(k, v) for k, v in enumerate(values)], "k int, x double").select("k", vectors.magnitude_bucket(F.col("x")).alias("b"))
