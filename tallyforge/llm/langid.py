@@ -12,7 +12,6 @@ are ignored.
 
 from __future__ import annotations
 
-import re
 from itertools import combinations
 
 import numpy as np
@@ -38,7 +37,11 @@ FAMILIES = {
     "indic": ("hi", "bn", "mr", "ur", "pa", "gu"),
 }
 FAMILY_OF = {code: family for family, codes in FAMILIES.items() for code in codes}
-LETTER = re.compile(r"[^\W\d_]")
+
+
+def has_letter(text: str | None) -> bool:
+    """Whether a text has a character of a Unicode letter category (L*); number forms and superscripts are none."""
+    return any(c.isalpha() for c in text or "")
 
 
 def held_out(doc_id: Column) -> Column:
@@ -66,7 +69,7 @@ class LanguageModel:
     """The fitted hierarchy; ``weights`` has a column for each family and each pair of languages in a family."""
 
     def __init__(self, samples: list[tuple[str, str]], cost: float = 4.0) -> None:
-        samples = [(t, lang) for t, lang in samples if t and LETTER.search(t)]
+        samples = [(t, lang) for t, lang in samples if has_letter(t)]
         rows = [sparse_row(t) for t, _ in samples]
         langs = np.array([lang for _, lang in samples], dtype=object)
         families = np.array([FAMILY_OF.get(x, x) for x in langs], dtype=object)
@@ -84,7 +87,7 @@ class LanguageModel:
 
     def predict(self, text: str | None) -> tuple[str, float]:
         """(language, score)."""
-        if not self.languages or not text or not LETTER.search(text):
+        if not self.languages or not has_letter(text):
             return "und", 0.0
         idx = hashed_trigrams(text)
         count = np.bincount(idx, minlength=DIM) if len(idx) > DIM else None
@@ -122,7 +125,7 @@ def training_sample(docs: DataFrame, per_language: int = PER_LANGUAGE) -> list[t
         part = F.when(F.col("lang") == lang, F.lit(min(1.0, per_language / n))).otherwise(part)
     draw = F.pmod(F.xxhash64(F.lit("sample"), F.col("doc_id")), F.lit(1_000_003)) / 1_000_003
     rows = labelled.where(draw < part).select("text", "lang", "doc_id").collect()
-    return [(r["text"], r["lang"]) for r in sorted(rows, key=lambda r: r["doc_id"])]
+    return [(r["text"], r["lang"]) for r in sorted(rows, key=lambda r: (r["doc_id"], r["text"] or "", r["lang"]))]
 
 
 def identify(docs: DataFrame, model: LanguageModel, keep_text: bool = False, prefix: str = "") -> DataFrame:

@@ -116,13 +116,13 @@ class QualityModel:
 
 
 def training_sample(docs: DataFrame, labels: DataFrame, size: int = SAMPLE) -> list[tuple[str | None, int]]:
-    """About ``size`` labelled rows at most; the labels are drawn first, so that few texts move."""
+    """About ``size`` labelled rows at most; the labels are drawn first, so that few texts move. Of conflicting labels the lower one holds."""
     usable = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", "quality")
     n = usable.count()
     draw = F.pmod(F.xxhash64(F.lit("sample"), F.col("doc_id")), F.lit(1_000_003)) / 1_000_003
-    drawn = usable.where(draw < min(1.0, size / max(n, 1))).dropDuplicates(["doc_id"])
+    drawn = usable.where(draw < min(1.0, size / max(n, 1))).groupBy("doc_id").agg(F.min("quality").alias("quality"))
     rows = docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id").collect()  # about `size` rows
-    return [(r["text"], r["quality"]) for r in sorted(rows, key=lambda r: r["doc_id"])]
+    return [(r["text"], r["quality"]) for r in sorted(rows, key=lambda r: (r["doc_id"], r["text"] or ""))]
 
 
 def score_quality(docs: DataFrame, model: QualityModel, cut: float = CUT) -> DataFrame:

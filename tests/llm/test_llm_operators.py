@@ -77,6 +77,7 @@ def test_language_model_and_odd_rows(spark, odd, none, data):
     assert len(got) == len(ROWS) and {r["_lang_pred"] for r in got if r["doc_id"] in (3, 4, 7)} == {"und"} and all(0 <= r["_score"] <= 1 for r in got)
     assert langid.identify(none, langid.LanguageModel(langid.training_sample(none)), prefix="_").count() == 0
     assert langid.LanguageModel([]).predict("any text") == ("und", 0.0)
+    assert model.predict("\u00bd \u00b2 \u2460 12") == ("und", 0.0) and model.predict("\u00bd a")[0] != "und"
 
 
 def test_quality_model_and_odd_rows(spark, odd, none, data):
