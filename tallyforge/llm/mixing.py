@@ -142,4 +142,5 @@ def mix_sources(docs: DataFrame, weights: dict[str, int] | None = None, block_do
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where every document stands in the mix."""
-    return mix_sources(table(spark, sf_dir, "documents").select("doc_id", "source")).select("doc_id", "source", "mix_slot", "mix_pos", "mix_round", "mix_share")
+    rows = table(spark, sf_dir, "documents").select("doc_id", "source", F.xxhash64("text").cast("string").alias("text"))  # the hash alone moves
+    return mix_sources(rows).select("doc_id", "source", "mix_slot", "mix_pos", "mix_round", "mix_share")
