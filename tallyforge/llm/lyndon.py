@@ -11,22 +11,41 @@ previous smaller suffixes take the next places of their groups. No suffixes are
 from __future__ import annotations
 
 
+def _ranked(text: list[int]) -> tuple[list[int], int]:
+    """The place of each symbol in the alphabet, and its size; a table of marks where the symbols are dense, else a sort of the alphabet."""
+    low, high = min(text), max(text)
+    if high - low <= 4 * len(text) + 512:
+        used = bytearray(high - low + 1)
+        for s in text:
+            used[s - low] = 1
+        place, size = [0] * len(used), 0
+        for at, mark in enumerate(used):
+            place[at] = size
+            size += mark
+        return [place[s - low] for s in text], size
+    ids = {symbol: g for g, symbol in enumerate(sorted(set(text)))}
+    return [ids[s] for s in text], len(ids)
+
+
 def _groups(text: list[int]) -> tuple[list[int], list[int]]:
-    """(group rank of each suffix, previous smaller suffix); text ends with its unique smallest symbol."""
+    """(group rank of each suffix, previous smaller suffix); text ends with its unique smallest symbol.
+
+    Members of a group are in ascending order from the start: the previous smaller suffixes of a group's members never go
+    back, so parents are met, and appended to their new group, in ascending order.
+    """
     n = len(text)
-    ids = {symbol: g for g, symbol in enumerate(sorted(set(text)))}
-    group_of = [ids[s] for s in text]
-    members: list[list[int]] = [[] for _ in ids]
+    group_of, size = _ranked(text)
+    members: list[list[int]] = [[] for _ in range(size)]
     for i, g in enumerate(group_of):
         members[g].append(i)
-    below: list[int] = list(range(-1, len(ids) - 1))
-    above: list[int] = [*range(1, len(ids)), -1]
+    below: list[int] = list(range(-1, size - 1))
+    above: list[int] = [*range(1, size), -1]
     prev = [-1] * n
-    done = [False] * n
+    done = bytearray(n)
     order: list[int] = []
-    current = len(ids) - 1
+    current = size - 1
     while current >= 0:
-        own = members[current] = sorted({i for i in members[current] if group_of[i] == current})
+        own = members[current] = [i for i in members[current] if group_of[i] == current]
         order.append(current)
         runs: dict[int, int] = {}
         for i in own:
@@ -39,24 +58,32 @@ def _groups(text: list[int]) -> tuple[list[int], list[int]]:
             if j >= 0:
                 runs[j] = runs.get(j, 0) + 1
         for i in own:
-            done[i] = True
-        moved: dict[tuple[int, int], list[int]] = {}
+            done[i] = 1
+        # parents by how many members they have in a row; the lowest count is dealt last and lands directly above its old group
+        most = max(runs.values(), default=0)
+        ranks: list[list[int]] = [[] for _ in range(most)]
         for parent, count in runs.items():
-            moved.setdefault((group_of[parent], count), []).append(parent)
-        for old, count in sorted(moved, key=lambda key: (key[0], -key[1])):
-            new = len(members)
-            members.append(moved[old, count])
-            for parent in members[new]:
+            ranks[most - count].append(parent)
+        for parents in ranks:
+            moved: dict[int, int] = {}
+            for parent in parents:
+                old = group_of[parent]
+                new = moved.get(old, -1)
+                if new < 0:
+                    new = moved[old] = len(members)
+                    members.append([])
+                    up = above[old]
+                    above.append(up)
+                    below.append(old)
+                    above[old] = new
+                    if up >= 0:
+                        below[up] = new
+                members[new].append(parent)
                 group_of[parent] = new
-            # the highest count is inserted first, and each next one directly above the old group, below the former
-            up = above[old]
-            above.append(up)
-            below.append(old)
-            above[old] = new
-            if up >= 0:
-                below[up] = new
         current = below[current]
-    rank = {g: len(order) - 1 - k for k, g in enumerate(order)}
+    rank = [0] * len(members)
+    for k, g in enumerate(reversed(order)):
+        rank[g] = k
     return [rank[g] for g in group_of], prev
 
 

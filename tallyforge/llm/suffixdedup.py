@@ -8,10 +8,12 @@ not fit a machine, so strings are first dealt to places where all equal ones mee
    gram and at most LENGTH - GRAM bytes on either side.
 2. Grams that are picked once in the corpus hold no repeated window. The others are marked in a bitmap of bounded size,
    which is built in pieces on the executors; a false mark costs work, never a result.
-3. Records of marked grams are counted by content, so copies collapse before they move, and those of a gram meet. In
-   each record both sides are cut to the longest part that any other record of the gram shares.
-4. The records of a gram, the gram itself being one symbol, are sorted as suffixes by Lyndon grouping (lyndon.py). A window
-   is repeated if its suffix shares all its symbols with a neighbour, or if its record occurs more than once.
+3. Records of marked grams are counted by content, so copies collapse before they move, and those of a gram meet. A
+   gram with one distinct record has nothing to put in order: its windows are repeated if the record was counted twice.
+   Otherwise both sides of each record are cut to the longest part that any other record of the gram shares, which drops
+   what cannot hold a repeated window and decides nothing else.
+4. All parts that are left, the gram itself being one symbol, are sorted as suffixes by Lyndon grouping (lyndon.py). Equal
+   windows are neighbours there, and repeated if their parts stand for two records or more.
 5. The repeated windows of a record go back to the places it came from, and each document unites them.
 
 Grams are told apart by 64-bit hashes, the bytes around them are compared, and a record is known by its gram and a
@@ -204,63 +206,83 @@ def _cuts(sides: list[bytes]) -> list[int]:
     return out
 
 
-def repeated_windows(records: list[tuple[bytes, bytes, int]], length: int = LENGTH, gram: int = GRAM) -> list[list[tuple[int, int]]]:
+def repeated_windows(records: list[tuple[bytes, bytes, int]], length: int = LENGTH, gram: int = GRAM, tally: Counter | None = None) -> list[list[tuple[int, int]]]:
     """For each record (left, right, count) of one gram: runs (first, last) of the starts of its repeated windows.
 
-    Starts are counted from the record's first byte. Records are distinct.
+    Starts are counted from the record's first byte. Records are distinct. One distinct record has no other to be put in order with:
+    its windows are repeated if it has copies. Of several, the cuts leave what can be shared at all, and every part that
+    is left is settled by the suffix array. ``tally`` counts records by the way they took.
     """
     need = length - gram + 1  # symbols of a window, the gram being one
-    full = lambda left, right: [(0, len(left) + len(right) - need + 1)]
-    out: list[list[tuple[int, int]]] = [full(left, right) if n > 1 else [] for left, right, n in records]
+    tally = Counter() if tally is None else tally
     if len(records) < 2:
-        return out
+        tally["alone"] += len(records)
+        return [[(0, len(left) + len(right) + 1 - need)] if n > 1 else [] for left, right, n in records]
     backward, forward = _cuts([r[0][::-1] for r in records]), _cuts([r[1] for r in records])
     parts: dict[tuple[bytes, bytes], list[int]] = {}
-    for i, (left, right, _) in enumerate(records):
-        cut = (left[len(left) - backward[i] :], right[: forward[i]])
+    for i, (left, right, n) in enumerate(records):
+        cut = (left, right) if n > 1 else (left[len(left) - backward[i] :], right[: forward[i]])  # a copy shares all of its sides
         if len(cut[0]) + len(cut[1]) + 1 >= need:
             parts.setdefault(cut, []).append(i)
-    alone = [c for c, rows in parts.items() if len(rows) == 1 and records[rows[0]][2] == 1]
-    found = {c: [(0, len(c[0]) + len(c[1]) + 1 - need)] for c, rows in parts.items() if len(rows) > 1 or records[rows[0]][2] > 1}
-    if alone and len(parts) > 1:
-        found |= _by_suffixes(list(parts), set(alone), need)
-    for cut, rows in parts.items():
+    weights = [sum(records[i][2] for i in rows) for rows in parts.values()]
+    found = _by_suffixes(list(parts), weights, need)
+    out: list[list[tuple[int, int]]] = [[] for _ in records]
+    for (cut, rows), runs in zip(parts.items(), found):
         for i in rows:
-            if records[i][2] == 1:
-                shift = len(records[i][0]) - len(cut[0])
-                out[i] = [(a + shift, b + shift) for a, b in found.get(cut, [])]
+            shift = len(records[i][0]) - len(cut[0])
+            out[i] = [(a + shift, b + shift) for a, b in runs]
+    tally["sorted"] += sum(map(len, parts.values()))
+    tally["cut"] += len(records) - sum(map(len, parts.values()))
     return out
 
 
-def _by_suffixes(parts: list[tuple[bytes, bytes]], alone: set[tuple[bytes, bytes]], need: int) -> dict[tuple[bytes, bytes], list[tuple[int, int]]]:
-    """Runs of repeated starts of the parts in ``alone``, from the suffix array of all parts with separators between them."""
+def _by_suffixes(parts: list[tuple[bytes, bytes]], weights: list[int], need: int) -> list[list[tuple[int, int]]]:
+    """Runs of repeated starts of each part, from the suffix array of all parts with separators between them.
+
+    Suffixes that begin with the same window are neighbours; the window is repeated if their parts stand for two records or more.
+    """
+    many = len(parts)
     text: list[int] = []
     owner: list[int] = []
     first: list[int] = []
-    for k, (left, right) in enumerate(parts):
+    for k, (left, right) in enumerate(parts):  # separators are the lowest symbols, the gram is the highest
         first.append(len(text))
-        text += [*left, 256, *right, -1 - k]
+        text += [b + many for b in left]
+        text.append(256 + many)
+        text += [b + many for b in right]
+        text.append(many - 1 - k)
         owner += [k] * (len(left) + len(right) + 2)
-    order = suffix_array(text)
-    hit: dict[int, set[int]] = {}
-    before = None
-    for at in order:
+    ends = [min(f + len(left), f + len(left) + len(right) + 1 - need) for f, (left, right) in zip(first, parts)]
+    starts: list[list[int]] = [[] for _ in parts]
+    same: list[int] = []
+    weight = 0
+    window: list[int] = []
+
+    def settle() -> None:
+        if weight > 1:
+            for at in same:
+                starts[owner[at]].append(at - first[owner[at]])
+
+    for at in suffix_array(text):
         k = owner[at]
-        own = text[at : at + need] if at - first[k] <= len(parts[k][0]) and at + need <= first[k] + len(parts[k][0]) + len(parts[k][1]) + 1 else None
-        if own is not None and before is not None and before[1] == own:
-            hit.setdefault(k, set()).add(at - first[k])
-            hit.setdefault(owner[before[0]], set()).add(before[0] - first[owner[before[0]]])
-        before = (at, own) if own is not None else None
-    out = {}
-    for k, starts in hit.items():
-        if parts[k] in alone:
-            runs: list[tuple[int, int]] = []
-            for s in sorted(starts):
-                if runs and runs[-1][1] == s - 1:
-                    runs[-1] = (runs[-1][0], s)
-                else:
-                    runs.append((s, s))
-            out[parts[k]] = runs
+        if at > ends[k]:
+            continue
+        if same and text[at : at + need] == window:
+            same.append(at)
+            weight += weights[k]
+        else:
+            settle()
+            same, weight, window = [at], weights[k], text[at : at + need]
+    settle()
+    out: list[list[tuple[int, int]]] = []
+    for own in starts:
+        runs: list[tuple[int, int]] = []
+        for s in sorted(own):
+            if runs and runs[-1][1] == s - 1:
+                runs[-1] = (runs[-1][0], s)
+            else:
+                runs.append((s, s))
+        out.append(runs)
     return out
 
 

@@ -221,6 +221,24 @@ def test_suffix_dedup_equals_brute_force(spark, length, gram):
     assert [(r["n_bytes"], r["n_removed"], r["n_spans"], hashlib.sha256(bytes(r["kept"])).hexdigest()) for r in got] == suffixdedup.brute_force(texts, length)
 
 
+@pytest.mark.parametrize("seed", range(20))
+def test_records_of_a_gram_are_settled_by_their_suffixes(seed):
+    rng = random.Random(seed)
+    side = lambda: "".join(rng.choice("ab") for _ in range(rng.randint(0, 9))).encode()
+    records = [(*sides, rng.choice([1, 1, 1, 2])) for sides in {(side(), side()) for _ in range(rng.randint(1, 40))}]
+    need, seen, tally = 10, Counter(), Counter()
+    windows = lambda left, right: {(a, (left[a:], right[: need - 1 - len(left[a:])])) for a in range(len(left) + 1) if 0 <= need - 1 - len(left[a:]) <= len(right)}
+    for left, right, n in records:
+        for _, window in windows(left, right):
+            seen[window] += n
+    got = suffixdedup.repeated_windows(records, 14, 5, tally)
+    for (left, right, _), runs in zip(records, got):
+        assert {a for x, y in runs for a in range(x, y + 1)} == {a for a, window in windows(left, right) if seen[window] > 1}
+    if len(records) > 1:  # what is not cut away goes through the suffix array, every removed window among it
+        assert tally["alone"] == 0 and tally["sorted"] + tally["cut"] == len(records)
+        assert sum(map(bool, got)) <= tally["sorted"]
+
+
 def test_suffix_dedup_whole_table_and_odd_rows(spark, data, odd, none):
     docs = spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text").collect()
     want = dict(zip((r["doc_id"] for r in docs), suffixdedup.brute_force([r["text"] for r in docs])))
