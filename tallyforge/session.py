@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -71,6 +72,9 @@ def release(spark: SparkSession) -> None:
     """Lets Spark's cleaner drop shuffle files and broadcasts of finished steps.
 
     The cleaner acts when the driver's collector has found their owners unused, which on a large heap can take longer than
-    the whole job; the disk they hold would then be the sum over all steps and not the most of one.
+    the whole job; the disk they hold would then be the sum over all steps and not the most of one. One collection finds
+    the owners of the step before; those of the step that has just ended are found by a second one shortly after it.
     """
     spark.sparkContext._jvm.System.gc()
+    time.sleep(0.5)
+    spark.sparkContext._jvm.System.gc()
