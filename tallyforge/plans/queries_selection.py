@@ -119,10 +119,11 @@ def fire_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("nth", F.row_number().over(W.partitionBy("env").orderBy("arrived_at", "ord"))).where("nth <= 40").select("env", "ord", "nth")
 
 
-@REGISTRY.query("verdict_lookup", f"""{SUBS}, e AS (SELECT sha256(ord::VARCHAR) AS root, env FROM subs WHERE ord % 2 = 0), v AS (SELECT sha256(ord::VARCHAR) AS root, CASE WHEN ord % 3 <> 0 THEN value > 245 END AS rewarded FROM subs WHERE arrived_at > 1000)
+@REGISTRY.query("verdict_lookup", f"""{SUBS}, e AS (SELECT sha256(ord::VARCHAR) AS root, env FROM subs), v AS (SELECT sha256(CASE WHEN ord % 2 = 0 THEN ord ELSE -1 - ord END::VARCHAR) AS root, CASE WHEN ord % 3 <> 0 THEN value > 245 END AS rewarded FROM subs WHERE arrived_at > 1000)
 SELECT env, count(*) AS n, count(*) FILTER (WHERE rewarded) AS rewarded FROM v JOIN e USING (root) WHERE rewarded IS NOT NULL GROUP BY env""")
 def verdict_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """D6, J7."""
     subs = lens.submissions(spark, sf_dir).withColumn("root", F.sha2(F.col("ord").cast("string"), 256)).withColumn("ts", F.col("arrived_at"))
-    verdicts = state.since(subs, 1000.0).select("root", F.when(F.col("ord") % 3 != 0, F.col("value") > 245).alias("rewarded"))
-    return state.apply_verdicts(verdicts, subs.where("ord % 2 = 0")).groupBy("env").agg(F.count(F.lit(1)).alias("n"), F.count_if("rewarded").alias("rewarded"))
+    known = F.when(F.col("ord") % 2 == 0, F.col("ord")).otherwise(-1 - F.col("ord"))  # the other roots belong to no submission
+    verdicts = state.since(subs, 1000.0).select(F.sha2(known.cast("string"), 256).alias("root"), F.when(F.col("ord") % 3 != 0, F.col("value") > 245).alias("rewarded"))
+    return state.apply_verdicts(verdicts, subs).groupBy("env").agg(F.count(F.lit(1)).alias("n"), F.count_if("rewarded").alias("rewarded"))
