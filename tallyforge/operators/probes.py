@@ -24,11 +24,19 @@ def split_with_floor(rows: DataFrame, key: str, group: str, train: int, test: in
     return out.drop("in_group", "base", "held")
 
 
-def prefixes(rows: DataFrame, order: list[Column], fractions: tuple[float, ...] = (0.25, 0.5, 0.75, 1.0)) -> DataFrame:
-    """Adds fraction: every row once for each learning-curve prefix that it belongs to."""
-    place = F.percent_rank().over(W.orderBy(*order))
-    ranked = rows.withColumn("_place", place)
-    return ranked.withColumn("fraction", F.explode(F.filter(F.array(*[F.lit(f) for f in fractions]), lambda f: F.col("_place") < f + F.when(f >= 1.0, 1.0).otherwise(0.0)))).drop("_place")
+def prefixes(rows: DataFrame, order: list[Column], fractions: tuple[float, ...] = (0.25, 0.5, 0.75, 1.0), digits: int = 3) -> DataFrame:
+    """Adds fraction: every row once for each learning-curve prefix that it belongs to.
+
+    The first order column is a hex digest (``shuffled``). Its first digits deal the rows to 16**digits ranges, which are counted and
+    then ranked apart from each other, so no task sees all rows. Equal rows share a rank, as in percent_rank.
+    """
+    keyed = rows.withColumn("_range", F.substring(order[0], 1, digits))
+    sizes = keyed.groupBy("_range").agg(F.count(F.lit(1)).alias("_k"))  # 16**digits rows at most
+    offsets = sizes.select("_range", F.coalesce(F.sum("_k").over(W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"), F.sum("_k").over(W.partitionBy(F.lit(1))).alias("_n"))
+    rank = F.col("_before") + F.rank().over(W.partitionBy("_range").orderBy(*order)) - 1
+    placed = keyed.join(F.broadcast(offsets), "_range").withColumn("_place", F.when(F.col("_n") > 1, rank / (F.col("_n") - 1)).otherwise(0.0))
+    wanted = F.array(*[F.lit(f) for f in fractions])
+    return placed.withColumn("fraction", F.explode(F.filter(wanted, lambda f: (F.col("_place") < f) | (f >= 1.0)))).select(*rows.columns, "fraction")
 
 
 def auc(rows: DataFrame, score: str, label: str, by: list[str] | None = None) -> DataFrame:

@@ -82,9 +82,18 @@ def top_weights(scores: DataFrame, k: int = 10) -> DataFrame:
     return scores.orderBy(F.desc("score"), "hotkey").limit(k)
 
 
-def ordered_ema(rows: DataFrame, key: str, value: str, order: list[str], alpha: float, start: str = "first") -> DataFrame:
-    """(key, ema): fold of values in order; the first observation initialises it ("first") or it starts at zero ("zero")."""
-    seq = rows.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(*order, F.col(value).cast("double").alias("x")))).alias("seq"))
-    zero = F.lit(None).cast("double") if start == "first" else F.lit(0.0)
-    fold = F.aggregate("seq", zero, lambda acc, s: F.when(acc.isNull(), s["x"]).otherwise((1 - alpha) * acc + alpha * s["x"]))
-    return seq.select(key, fold.alias("ema"))
+def ordered_ema(rows: DataFrame, key: str, value: str, order: list[str], alpha: float, start: str = "first", span: float = 3600.0) -> DataFrame:
+    """(key, ema): fold of values in order; the first observation initialises it ("first") or it starts at zero ("zero").
+
+    A run of observations maps the average before it to keep * before + add. The first order column, a number, is cut into stretches
+    of ``span``; each is folded to its map apart, and a key's maps are folded in order, one small struct a stretch. A
+    start at the first value is a first observation that meets itself.
+    """
+    x = F.col(value).cast("double")
+    stretch = F.floor(F.col(order[0]) / span)
+    runs = rows.select(key, stretch.alias("_at"), F.struct(*order, x.alias("x")).alias("_s")).groupBy(key, "_at").agg(F.sort_array(F.collect_list("_s")).alias("seq"))
+    add = F.aggregate("seq", F.lit(0.0), lambda acc, s: (1 - alpha) * acc + alpha * s["x"])
+    maps = runs.select(key, F.struct("_at", F.pow(F.lit(1 - alpha), F.size("seq")).alias("keep"), add.alias("add"), F.get("seq", F.lit(0))["x"].alias("x")).alias("_m"))
+    folded = maps.groupBy(key).agg(F.sort_array(F.collect_list("_m")).alias("maps"))
+    before = F.get("maps", F.lit(0))["x"] if start == "first" else F.lit(0.0)
+    return folded.select(key, F.aggregate("maps", before, lambda acc, m: m["keep"] * acc + m["add"]).alias("ema"))

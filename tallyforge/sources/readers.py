@@ -47,13 +47,18 @@ def eligible_indices(spark: SparkSession, path: str, column: str, allowed: list[
 
 
 def read_archive(spark: SparkSession, path: str, current: int | None = None, n: int | None = None) -> DataFrame:
-    """Archive records of windows in [max(0, current - n), current), oldest first; corrupt records and files are skipped."""
-    reader = spark.read.schema(ARCHIVE_SCHEMA + ", _corrupt string").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt").option("ignoreMissingFiles", "true").option("ignoreCorruptFiles", "true").option("recursiveFileLookup", "true")
+    """Archive records of windows in [max(0, current - n), current), oldest first; corrupt records and files are skipped.
+
+    Folders ``window=`` are partitions, so a range of windows lists and reads those folders only. Files outside such folders are
+    read whole and cut by the record's own window.
+    """
+    schema = ARCHIVE_SCHEMA + ", _corrupt string, window bigint"
+    reader = spark.read.schema(schema).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt").option("ignoreMissingFiles", "true").option("ignoreCorruptFiles", "true")
     rows = reader.json(path)
-    rows = rows.where(F.col("_corrupt").isNull() & F.col("window_start").isNotNull()).drop("_corrupt")
     if current is not None and n is not None:
-        rows = rows.where((F.col("window_start") >= max(0, current - n)) & (F.col("window_start") < current))
-    return rows.orderBy("window_start")
+        within = lambda c: (F.col(c) >= max(0, current - n)) & (F.col(c) < current)
+        rows = rows.where((F.col("window").isNull() | within("window")) & within("window_start"))
+    return rows.where(F.col("_corrupt").isNull() & F.col("window_start").isNotNull()).drop("_corrupt", "window").orderBy("window_start")
 
 
 def window_keys(spark: SparkSession, path: str) -> DataFrame:

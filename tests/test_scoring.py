@@ -149,3 +149,36 @@ def test_schema_gates(spark):
         gates.unknown_fields(F.lit('{"a":1,"zz":2}'), ["a"]).alias("extra"),
     ).first()
     assert (got["ok"], got["short"], got["vocabulary"], got["prompt"], got["stop"], got["no_logits"], got["lp3"], got["extra"]) == (True, False, False, True, False, True, 0.2, ["zz"])
+
+
+def test_ordered_ema_equals_a_plain_fold(spark):
+    import random
+
+    from tallyforge.operators import scoring
+
+    rng = random.Random(3)
+    rows = [(rng.choice("ab"), rng.uniform(-50, 500), k, rng.random()) for k in range(300)] + [("c", 5.0, 0, 0.25)]
+    df = spark.createDataFrame(rows, "k string, t double, ord bigint, x double")
+    for start in ("first", "zero"):
+        want = {}
+        for k, _, _, x in sorted(rows, key=lambda r: (r[0], r[1], r[2])):
+            want[k] = (x if start == "first" else 0.1 * x) if k not in want else 0.9 * want[k] + 0.1 * x
+        for span in (1.0, 40.0, 1e6):
+            got = {r["k"]: r["ema"] for r in scoring.ordered_ema(df, "k", "x", ["t", "ord"], 0.1, start, span).collect()}
+            assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want)
+
+
+def test_prefixes_equal_a_global_rank(spark):
+    from pyspark.sql import Window as W
+    from pyspark.sql import functions as F
+
+    from tallyforge.operators import probes
+
+    rows = spark.createDataFrame([(i // 2,) for i in range(401)], "id bigint")
+    order = [probes.shuffled(F.col("id"), "s"), F.col("id")]
+    place = F.percent_rank().over(W.orderBy(*order))
+    want = rows.withColumn("p", place).collect()
+    for digits in (1, 3):
+        got = probes.prefixes(rows, order, digits=digits).groupBy("fraction").agg(F.sum("id").alias("s"), F.count(F.lit(1)).alias("n")).collect()
+        assert {r["fraction"]: (r["s"], r["n"]) for r in got} == {f: (sum(r["id"] for r in want if r["p"] < f or f == 1), sum(1 for r in want if r["p"] < f or f == 1)) for f in (0.25, 0.5, 0.75, 1.0)}
+    assert probes.prefixes(rows.limit(1), order).count() == 4 and probes.prefixes(rows.where("false"), order).count() == 0

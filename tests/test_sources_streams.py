@@ -28,6 +28,19 @@ def test_archive_round_trip_and_corrupt_records(spark, tmp_path):
     assert readers.capped_files(spark, path, cap=10).count() == 0
 
 
+def test_archive_ranges_read_their_folders_only(spark, tmp_path):
+    path, flat = str(tmp_path / "archive"), str(tmp_path / "flat")
+    schema = "window_start bigint, validator_hotkey string, randomness string, environment string, batch array<struct<hotkey:string,prompt_idx:bigint>>, reject_summary map<string,int>"
+    rows = spark.createDataFrame([(k, "v", "ab", "math", [], {}) for k in range(6)], schema)
+    writers.write_archive(rows, path)
+    writers.write_json_lines(rows, flat)
+    got = readers.read_archive(spark, path, 5, 2)
+    assert [r["window_start"] for r in got.collect()] == [3, 4] and "window" not in got.columns
+    scan = next(line for line in got._jdf.queryExecution().toString().splitlines() if "FileScan" in line)
+    assert "PartitionFilters: [(" in scan and "window#" in scan.split("PartitionFilters: [")[1]
+    assert [r["window_start"] for r in readers.read_archive(spark, flat, 5, 2).collect()] == [3, 4]
+
+
 def test_index_over_files(spark, tmp_path):
     path = str(tmp_path / "shards")
     for k, part in enumerate((["math", "gsm"], ["gsm", "code"])):
