@@ -1,7 +1,7 @@
 """Quality classifier: Naive Bayes support vectors.
 
-A text is the set of its n-grams (indicators, hashed to 2^18 dimensions): byte 5-grams, 6-grams of character classes
-(which see capitals, symbols and table-like layouts), and markers for runs of an equal word. Indicators are scaled by
+A text is the set of its n-grams (indicators, hashed to 2^18 dimensions): byte 5-grams, and 6-grams of character classes
+(which see capitals, symbols and table-like layouts). Indicators are scaled by
 the log ratio of the two classes' smoothed counts, and a linear hinge-loss model is fitted by dual coordinate descent,
 interpolated with its mean weight. A sigmoid fitted on a fifth of the sample turns margins into scores.
 
@@ -59,15 +59,6 @@ def indicators(text: str | None) -> np.ndarray:
             for k in range(n):
                 gram = (gram << np.uint64(bits)) | symbols[k : k + m]
             parts.append(_hashed(gram, salt))
-    solid = _CLASS[raw] != 5
-    edges = np.flatnonzero(np.diff(np.concatenate(([False], solid, [False])).astype(np.int8)))
-    starts, ends = edges[::2], edges[1::2]
-    if len(starts) > 1:
-        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(code * (code + np.uint64(77)) * _MIX)))
-        word = sums[ends] - sums[starts] + (ends - starts).astype(np.uint64)
-        same = word[1:] == word[:-1]
-        run = [int(same.any()), int((same[1:] & same[:-1]).any()) if len(same) > 1 else 0, int(10 * same.mean())]
-        parts.append(_hashed(np.array([1000 * k + r for k, r in enumerate(run)], np.uint64), 37))
     return np.unique(np.concatenate(parts)) if parts else np.empty(0, np.int64)
 
 
