@@ -107,7 +107,9 @@ def near_edges(distinct: DataFrame, max_bits: int = MAX_BITS, bucket: int = BUCK
     """Edges (a, b) whose components are those of all pairs within max_bits, from distinct fingerprints (fp)."""
     if max_bits > 4:
         raise ValueError("seven blocks by three find pairs of at most 4 differing bits")
-    dealt = distinct.select("fp", F.explode(_triples(F.col("fp"), BLOCKS)).alias("t")).select("fp", F.col("t.k").alias("k"), F.col("t.v").alias("v"))
+    # a number of fingerprints is few bytes but 35 times as many rows: a given number of parts is not made smaller at run time
+    spread = distinct.repartition(int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
+    dealt = spread.select("fp", F.explode(_triples(F.col("fp"), BLOCKS)).alias("t")).select("fp", F.col("t.k").alias("k"), F.col("t.v").alias("v"))
     hot = dealt.groupBy("k", "v").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > bucket).select("k", "v").checkpoint()
     plain = dealt.select("k", F.col("v").alias("v"), F.lit(-1).alias("k2"), F.lit(0).cast("bigint").alias("v2"), "fp")
     if hot.count():
