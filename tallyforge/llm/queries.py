@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tallyforge.llm import chatformat, decontam, exactdedup, langid, linededup, mixing, pipeline, quality_model, quality_rules, simhash, suffixdedup, tokencount, vectorcodes
+from tallyforge.llm import chatformat, crosstokens, decontam, exactdedup, langid, linededup, mixing, pipeline, quality_model, quality_rules, simhash, suffixdedup, tokencount, vectorcodes
 from tallyforge.plans.registry import Registry
 
 REGISTRY = Registry()
@@ -17,5 +17,6 @@ REGISTRY.query("op8_mixing")(mixing.op8_mixing)
 REGISTRY.query("op9_token_counts")(tokencount.op9_token_counts)
 REGISTRY.query("op10_quality_rules", quality_rules.ORACLE)(quality_rules.op10_quality_rules)
 REGISTRY.query("op11_vector_codes")(vectorcodes.op11_vector_codes)
+REGISTRY.query("op12_token_alignment")(crosstokens.op12_token_alignment)
 REGISTRY.query("op13_exact_dedup", exactdedup.ORACLE)(exactdedup.op13_exact_dedup)
 REGISTRY.query("pipeline", pipeline.ORACLE_SQL)(pipeline.run)
