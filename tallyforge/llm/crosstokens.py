@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyforge.llm.skew import join_groups
+from tallyforge.llm.skew import hot_keys, join_groups
 from tallyforge.plans.registry import table
 from tallyforge.session import discard, materialize
 
@@ -76,6 +76,7 @@ class TokenizerPair:
         self.a_bytes = {i: bytes(letters[c] for c in entry) for entry, i in vocabulary.items() if all(c in letters for c in entry)}
         self.b_bytes = {i: self._piece(i) for i in range(self.b.get_piece_size()) if not self.b.is_control(i)}
         self.a_len, self.b_len = ({i: len(e) for i, e in x.items()} for x in (self.a_bytes, self.b_bytes))
+        self.a_bits, self.b_bits = (max(x, default=0).bit_length() for x in (self.a_bytes, self.b_bytes))
         self.b_space = self.b.piece_to_id(MARK)
 
     def _piece(self, i: int) -> bytes:
@@ -116,17 +117,21 @@ class TokenizerPair:
                 j += 1
                 at_b += self.b_len[b[j]]
 
-    def entry(self, groups: str) -> tuple[str, int, int, int, list[int]]:
-        """(groups, n_a, n_b, n_groups, links): a link is an A token and a B token that share bytes, a * 2^32 + b."""
+    def entry(self, groups: str) -> tuple[int, int, int, list[int]]:
+        """(n_a, n_b, n_groups, links): a link is an A token and a B token that share bytes, a * 2^b_bits + b."""
         n_a = n_b = 0
         links: list[int] = []
-        parts = groups.split(";")
+        parts, bits = groups.split(";"), self.b_bits
         for part in parts:
             left, _, right = part.partition("|")
-            a, b = [int(x) for x in left.split(",")], [int(x) for x in right.split(",")]
+            if "," not in left and "," not in right:
+                n_a, n_b = n_a + 1, n_b + 1
+                links.append(int(left) << bits | int(right))
+                continue
+            a, b = [*map(int, left.split(","))], [*map(int, right.split(","))]
             n_a, n_b = n_a + len(a), n_b + len(b)
             i, j, at_a, at_b = 0, 0, self.a_len[a[0]], self.b_len[b[0]]
-            links.append(a[0] << 32 | b[0])
+            links.append(a[0] << bits | b[0])
             while at_a != at_b:
                 if at_a < at_b:
                     i += 1
@@ -134,8 +139,43 @@ class TokenizerPair:
                 else:
                     j += 1
                     at_b += self.b_len[b[j]]
-                links.append(a[i] << 32 | b[j])
-        return groups, n_a, n_b, len(parts), links
+                links.append(a[i] << bits | b[j])
+        return n_a, n_b, len(parts), links
+
+
+class Entries:
+    """Numbers and links of segments by index; a segment that a tokenizer does not give back has none."""
+
+    def __init__(self, pair: TokenizerPair, groups: list[str | None]) -> None:
+        found = [pair.entry(g) if g is not None else (0, 0, 0, []) for g in groups]
+        self.numbers = np.array([f[:3] for f in found], np.int64).reshape(-1, 3)
+        self.sizes = np.fromiter((len(f[3]) for f in found), np.int64, len(found))
+        self.links = np.fromiter((x for f in found for x in f[3]), np.int64)
+
+    def joined(self, other: "Entries") -> "Entries":
+        out = object.__new__(Entries)
+        for name in ("numbers", "sizes", "links"):
+            setattr(out, name, np.concatenate([getattr(self, name), getattr(other, name)]))
+        return out
+
+    def expanded(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The links of the segments ``at``, and for each the position in ``at`` that it belongs to."""
+        starts, sizes = (np.cumsum(self.sizes) - self.sizes)[at], self.sizes[at]
+        before = np.cumsum(sizes) - sizes
+        return self.links[np.repeat(starts - before, sizes) + np.arange(sizes.sum())], np.repeat(np.arange(len(at)), sizes)
+
+
+def summed(keys: np.ndarray, times: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys (of so many bits) in order, and the sums of their times."""
+    free = 63 - bits
+    if len(times) and free > 0 and not int(times.max()) >> free:
+        both = np.sort(keys << free | times)  # one sort of plain numbers
+        keys, times = both >> free, both & ((1 << free) - 1)
+    else:
+        by = np.argsort(keys, kind="stable")
+        keys, times = keys[by], times[by]
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+    return keys[first], np.add.reduceat(times, first) if len(first) else times
 
 
 @lru_cache(maxsize=2)
@@ -143,16 +183,17 @@ def _pair(a_json: str, b_model: bytes) -> TokenizerPair:
     return TokenizerPair(a_json, b_model)
 
 
-_HEADS: dict[str, dict] = {}
+_HEADS: dict[str, tuple] = {}
 
 
-def _head(shipped, pair: TokenizerPair) -> dict[str, tuple | None]:  # noqa: ANN001
-    """The shipped segments' entries, made once in each worker."""
+def _head(shipped, pair: TokenizerPair) -> tuple[dict[str, int], dict[str, str | None], Entries]:  # noqa: ANN001
+    """The shipped segments' indexes, groups and entries, made once in each worker."""
     key = shipped.value["key"]
     if key not in _HEADS:
         _HEADS.clear()
         found = pa.ipc.open_stream(shipped.value["head"]).read_all()
-        _HEADS[key] = {s: pair.entry(g) if g is not None else None for s, g in zip(found["seg"].to_pylist(), found["groups"].to_pylist())}
+        names, groups = found["seg"].to_pylist(), found["groups"].to_pylist()
+        _HEADS[key] = {s: i for i, s in enumerate(names)}, dict(zip(names, groups)), Entries(pair, groups)
     return _HEADS[key]
 
 
@@ -191,7 +232,7 @@ def _rare(shipped, cut: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[p
     """(k1, k2, pos, seg): a text's distinct segments that are not shipped, in order."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        head = _head(shipped, _pair(shipped.value["a"], shipped.value["b"]))
+        head = _head(shipped, _pair(shipped.value["a"], shipped.value["b"]))[0]
         for whole in batches:
             for low in range(0, whole.num_rows, SLICE):
                 batch = whole.slice(low, SLICE)
@@ -207,42 +248,48 @@ def _rare(shipped, cut: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[p
 def _composed(shipped, cut: bool, digest: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:  # noqa: ANN001
     """From (doc_id, text, found): a row of ``COMPOSED`` for each text."""
 
-    def one(text: str | None, found: list | None, head: dict, pair: TokenizerPair) -> tuple:
-        none = (0, 0, 0, 0, "", {})
-        if not text:
-            return none
-        pieces = segments(text, cut)
-        counts, rare = Counter(pieces), iter(found or ())
-        own: dict[str, str] = {}
-        n_a = n_b = n_groups = n_links = 0
-        pairs: dict[int, int] = {}
-        for seg, k in counts.items():
-            if seg in head:
-                entry = head[seg]
-            else:
-                groups = next(rare)
-                entry = pair.entry(groups) if groups is not None else None
-            if entry is None:
-                return none
-            own[seg] = entry[0]
-            n_a, n_b, n_groups, n_links = n_a + k * entry[1], n_b + k * entry[2], n_groups + k * entry[3], n_links + k * len(entry[4])
-            for link in entry[4]:
-                pairs[link] = pairs.get(link, 0) + k
-        groups = ";".join([own[p] for p in pieces])
-        return n_a, n_b, n_groups, n_links, hashlib.sha256(groups.encode()).hexdigest() if digest else groups, pairs
-
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pair = _pair(shipped.value["a"], shipped.value["b"])
-        head = _head(shipped, pair)
+        index, known, entries = _head(shipped, pair)
+        bits = pair.a_bits + pair.b_bits
         for whole in batches:
             for low in range(0, whole.num_rows, SLICE):
                 batch = whole.slice(low, SLICE)
-                rows = [one(t.as_py(), f.as_py(), head, pair) for t, f in zip(batch.column("text"), batch.column("found"))]
-                offsets = pa.array(np.concatenate([[0], np.cumsum([len(r[5]) for r in rows])]).astype(np.int32))
-                links = np.fromiter((p for r in rows for p in r[5]), np.int64)
-                lists = [(links >> 32).astype(np.int32), (links & _MASK).astype(np.int32), np.fromiter((k for r in rows for k in r[5].values()), np.int32)]
-                numbers = [pa.array([r[c] for r in rows], pa.int64()) for c in range(4)]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *numbers, pa.array([r[4] for r in rows], pa.string()), *[pa.ListArray.from_arrays(offsets, pa.array(x)) for x in lists]], names=NAMES)
+                ids: list[int] = []
+                times: list[int] = []
+                sizes, groups, rare = [], [], []  # distinct segments and groups of each text, groups of segments that are not shipped
+                for text, found in zip(batch.column("text").to_pylist(), batch.column("found").to_pylist()):
+                    sizes.append(0)
+                    groups.append("")
+                    if not text:
+                        continue
+                    pieces = segments(text, cut)
+                    counts = Counter(pieces)
+                    own = [index.get(s, -1) for s in counts]
+                    if found:
+                        looked = dict(zip([s for s, i in zip(counts, own) if i < 0], found))
+                        parts = [known[p] if p in known else looked[p] for p in pieces]
+                        new = iter(range(len(index) + len(rare), len(index) + len(rare) + len(found)))
+                        own = [i if i >= 0 else next(new) for i in own]
+                    else:
+                        parts = [known[p] for p in pieces]
+                    if None in parts:
+                        continue
+                    rare += found or ()
+                    ids += own
+                    times += counts.values()
+                    sizes[-1] = len(own)
+                    joined = ";".join(parts)
+                    groups[-1] = hashlib.sha256(joined.encode()).hexdigest() if digest else joined
+                n, at, k = len(sizes), np.array(ids, np.int64), np.array(times, np.int64)
+                row, all_entries = np.repeat(np.arange(n), sizes), entries.joined(Entries(pair, rare))
+                total = lambda v: pa.array(np.bincount(row, weights=v * k, minlength=n).astype(np.int64))
+                numbers = [total(all_entries.numbers[at, c]) for c in range(3)] + [total(all_entries.sizes[at])]
+                links, of = all_entries.expanded(at)
+                keys, k = summed(row[of] << bits | links, k[of], bits + SLICE.bit_length())
+                offsets = pa.array(np.searchsorted(keys >> bits, np.arange(n + 1)).astype(np.int32))
+                lists = [keys >> pair.b_bits & ((1 << pair.a_bits) - 1), keys & ((1 << pair.b_bits) - 1), k]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *numbers, pa.array(groups, pa.string()), *[pa.ListArray.from_arrays(offsets, pa.array(x.astype(np.int32))) for x in lists]], names=NAMES)
 
     return work
 
@@ -283,6 +330,21 @@ def _scored(shipped) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordB
     return work
 
 
+def most_frequent(rows: DataFrame, count: str, most: int) -> tuple[DataFrame, bool]:
+    """Rows whose count reaches a bound that at most ``most`` rows reach, and whether those are all.
+
+    The bound comes from a histogram over eighths of powers of two, so nothing is sorted.
+    """
+    step = F.floor(F.log2(count) * 8)
+    left, bound, every = most, None, True
+    for r in sorted(rows.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("n")).collect(), key=lambda r: -r["step"]):
+        if r["n"] > left:
+            every = False
+            break
+        left, bound = left - r["n"], r["step"]
+    return rows.where(step >= bound if bound is not None else F.lit(False)), every
+
+
 def align_documents(docs: DataFrame, a_file: str = A_FILE, b_file: str = B_FILE, doc_id: str = "doc_id", text: str = "text", digest: bool = False) -> DataFrame:
     """(doc_id, n_a, n_b, n_groups, n_links, groups, n_best, count_sum) of every row.
 
@@ -298,7 +360,7 @@ def align_documents(docs: DataFrame, a_file: str = A_FILE, b_file: str = B_FILE,
 
     counts = full.select("text").mapInArrow(_counted(cut), "seg string, n bigint").groupBy("seg").agg(F.sum("n").alias("n"))
     aligned = materialize(counts.mapInArrow(_align(ship(files)), "seg string, n bigint, groups string"), "segments")
-    head = aligned.where(F.octet_length("seg") <= HEAD_BYTES).orderBy(F.desc("n"), "seg").limit(HEAD).select("seg", "groups").toArrow()
+    head = most_frequent(aligned.where(F.octet_length("seg") <= HEAD_BYTES), "n", HEAD)[0].select("seg", "groups").toArrow()
     stream = pa.BufferOutputStream()
     with pa.ipc.new_stream(stream, head.schema) as writer:
         writer.write_table(head)
@@ -306,7 +368,9 @@ def align_documents(docs: DataFrame, a_file: str = A_FILE, b_file: str = B_FILE,
 
     rare = full.select("k1", "k2", "text").mapInArrow(_rare(shipped, cut), "k1 bigint, k2 bigint, pos int, seg string").withColumn("h", F.xxhash64("seg"))
     others = aligned.withColumn("h", F.xxhash64("seg"))
-    looked = join_groups(rare, others, "h", ["seg"], "n", F.col("k1"), "inner").select("k1", "k2", F.struct("pos", "groups").alias("one"))
+    hot = hot_keys(others, "h", "n")
+    looked = join_groups(rare, others, "h", ["seg"], "n", F.col("k1"), "inner") if hot else rare.drop("h").join(aligned, "seg")
+    looked = looked.select("k1", "k2", F.struct("pos", "groups").alias("one"))
     lists = looked.groupBy("k1", "k2").agg(F.array_sort(F.collect_set("one")).alias("found"))
     lists = materialize(lists.select("k1", "k2", F.col("found.groups").alias("found")), "rare-segments")
     discard(aligned)
@@ -321,10 +385,11 @@ def align_documents(docs: DataFrame, a_file: str = A_FILE, b_file: str = B_FILE,
     pairs = materialize(pairs.withColumn("id", F.shiftright("link", 32)), "pair-counts")
     tops = pairs.groupBy("id").agg(F.max("count").alias("top"))
     pairs = pairs.join(tops, "id").select("link", "count", (F.col("count") == F.col("top")).alias("best"))
-    known = pairs.orderBy(F.desc("count"), "link").limit(HEAD_PAIRS).toArrow().sort_by("link")
+    frequent, every = most_frequent(pairs, "count", HEAD_PAIRS)
+    known = frequent.toArrow().sort_by("link")
     sent = {c: known[c].to_numpy().astype(t).tobytes() for c, t in (("link", np.int64), ("count", np.int64), ("best", np.bool_))}
     scored = composed.mapInArrow(_scored(ship(sent)), f"rid bigint, doc_id {kind}, {COMPOSED[: COMPOSED.index(', a array')]}, n_best bigint, count_sum bigint, links array<bigint>, times array<bigint>")
-    if known.num_rows == HEAD_PAIRS:  # there may be others
+    if not every:
         rest = scored.select("rid", F.explode(F.arrays_zip("links", "times")).alias("x")).select("rid", F.col("x.links").alias("link"), F.col("x.times").alias("times"))
         more = rest.join(pairs, "link").groupBy("rid").agg(F.sum(F.col("times") * F.col("best").cast("int")).alias("more_best"), F.sum(F.col("times") * F.col("count")).alias("more_sum"))
         scored = scored.join(more, "rid", "left").withColumns({"n_best": F.col("n_best") + F.coalesce("more_best", F.lit(0)), "count_sum": F.col("count_sum") + F.coalesce("more_sum", F.lit(0))})
