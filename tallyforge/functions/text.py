@@ -86,11 +86,12 @@ def _same_exactly(a: pd.Series, b: pd.Series) -> pd.Series:
 def same_number(a: Column, b: Column) -> Column:
     """Equality of two plain numbers by cross-multiplication, null unless both are numbers.
 
-    Numbers of up to 12 digits and 6 decimals stay with the engine's decimals; only rows with a longer one, which are
-    rare, are compared as exact fractions of any length.
+    Numbers of up to 12 digits and 6 decimals stay with the engine's decimals; only rows in which either is a longer
+    number, which are rare, are compared as exact fractions of any length.
     """
     x, y = as_ratio(a), as_ratio(b)
-    long = F.greatest(F.length(a), F.length(b)) > 13
+    number = lambda c: c.rlike(r"^[+-]?[0-9]+(\.[0-9]+)?(/[0-9]+)?$")
+    long = (x.isNull() | y.isNull()) & number(a) & number(b)
     return F.when(x.isNotNull() & y.isNotNull(), x["num"] * y["den"] == y["num"] * x["den"]).when(long, _same_exactly(F.when(long, a), F.when(long, b)))
 
 
@@ -166,11 +167,6 @@ def env_or_default(env: Column, default: str = "math") -> Column:
     return F.coalesce(F.nullif(env, F.lit("")), F.lit(default))
 
 
-def state_url(base: str, env: Column) -> Column:
-    """The state address of an environment, quoted."""
-    return F.concat(F.lit(base.rstrip("/") + "/state?env="), F.url_encode(env))
-
-
 def resume_source(text: Column) -> Column:
     """struct(kind, value) of ``sha:<40 hex>`` or ``path:<path>``; null otherwise."""
     kind = F.when(text.rlike(r"^sha:[0-9a-f]{40}$"), "sha").when(text.rlike(r"^path:.+$"), "path")

@@ -139,7 +139,7 @@ def claim_superseded(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @REGISTRY.query("field_constraints", f"""WITH {lens.SUBS_SQL} SELECT ord, CASE WHEN prompt_idx - 2 < 0 THEN 'prompt_idx' WHEN window_n - 3 < 0 THEN 'window_start' WHEN ord % 19 = 0 THEN 'merkle_root' WHEN ord % 23 = 0 THEN 'nonce' END AS reason,
-CASE WHEN ord % 5 = 0 THEN 'window_not_active' WHEN ord % 7 = 0 THEN 'window_mismatch' END AS server, CASE ord % 6 WHEN 0 THEN 'accepted' WHEN 1 THEN 'window_not_active' WHEN 2 THEN 'window_mismatch' WHEN 3 THEN 'bad_schema' WHEN 4 THEN 'http_client_error' ELSE 'retry' END AS http, env IN ('stale_round') AS retryable FROM subs""")
+CASE WHEN ord % 5 = 0 THEN 'window_not_active' WHEN ord % 7 = 0 THEN 'window_mismatch' END AS server, CASE ord % 6 WHEN 0 THEN 'accepted' WHEN 1 THEN 'window_not_active' WHEN 2 THEN 'window_mismatch' WHEN 3 THEN 'bad_schema' WHEN 4 THEN 'http_client_error' ELSE 'retry' END AS http FROM subs""")
 def field_constraints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """C17, C18, C27, C28."""
     s = lens.submissions(spark, sf_dir)
@@ -149,7 +149,7 @@ def field_constraints(spark: SparkSession, sf_dir: str) -> DataFrame:
     })
     status = F.element_at(F.array(*[F.lit(x) for x in (200, 503, 409, 422, 404, 500)]), (F.col("ord") % 6 + 1).cast("int"))
     server = gates.server_gate(F.when(F.col("ord") % 5 == 0, "training").otherwise("open"), F.col("window_n"), F.when(F.col("ord") % 7 == 0, F.col("window_n") + 1).otherwise(F.col("window_n")))
-    return s.select("ord", gates.first_failure(gates.field_gates()).alias("reason"), server.alias("server"), gates.http_reason(status).alias("http"), F.col("env").isin(*gates.RETRYABLE).alias("retryable"))
+    return s.select("ord", gates.first_failure(gates.field_gates()).alias("reason"), server.alias("server"), gates.http_reason(status).alias("http"))
 
 
 @REGISTRY.query("retry_phases", f"{RW}, t AS (SELECT grp, count(*) AS total FROM rw GROUP BY grp) SELECT grp, total, total // 2 AS phase, total // 2 < 3 AS retry FROM t")

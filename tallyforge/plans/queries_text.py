@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyforge.functions import grading, text
+from tallyforge.operators import cadence
 from tallyforge.plans.base import REGISTRY
 from tallyforge.plans.registry import table
 
@@ -61,12 +62,14 @@ def normalize_answer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", text.normalize_answer(_answer()).alias("answer"))
 
 
-@REGISTRY.query("same_number", """SELECT p_partkey, CASE WHEN p_partkey = 0 THEN NULL WHEN p_partkey % 4 = 0 THEN NULL ELSE (p_size * 2)::DECIMAL(20,0) * p_partkey = p_size::DECIMAL(20,0) * (p_partkey + p_partkey % 2) * 2 END AS same FROM part""")
+@REGISTRY.query("same_number", """SELECT p_partkey, CASE WHEN p_partkey % 4 = 0 THEN NULL WHEN p_partkey % 4 = 1 THEN p_size % 2 = 0 ELSE (p_size * 2)::DECIMAL(20,0) * p_partkey = p_size::DECIMAL(20,0) * (p_partkey + p_partkey % 2) * 2 END AS same FROM part""")
 def same_number(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """H3: 2s / (k + k % 2) against s / k, doubled, by cross-multiplication."""
+    """H3: 2s / (k + k % 2) against s / k, doubled, by cross-multiplication; numbers of 7 decimals and of 13 digits."""
     k, s = F.col("p_partkey"), F.col("p_size")
     a = F.concat((s * 2).cast("string"), F.lit("/"), (k + k % 2).cast("string"))
     b = F.when(k % 4 == 0, "x").otherwise(F.concat((s * 2).cast("string"), F.lit(".0/"), k.cast("string")))
+    long, other = F.concat(F.lit("1234567890123.0000001/"), k.cast("string")), F.concat(F.lit("12345678901230000001/"), k.cast("string"), F.when(s % 2 == 0, "0000000").otherwise("0000001"))
+    a, b = F.when(k % 4 == 1, long).otherwise(a), F.when(k % 4 == 1, other).otherwise(b)
     return table(spark, sf_dir, "part").select("p_partkey", text.same_number(a, b).alias("same"))
 
 
@@ -103,20 +106,27 @@ def case_contracts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @REGISTRY.query("names_and_budgets", r"""SELECT p_partkey, CASE WHEN p_size % 4 = 0 THEN 'math' ELSE p_type END AS env, CASE WHEN p_size % 4 = 0 THEN 2048 ELSE p_size END::INT AS budget, CASE WHEN p_size % 2 = 0 THEN p_partkey END AS checkpoint, CASE WHEN p_size % 3 = 0 THEN 'path' END AS kind,
-CASE WHEN p_size % 3 = 0 THEN '/m/' || p_partkey END AS value, CASE WHEN p_size % 5 = 0 THEN 'unknown' ELSE p_brand END AS bucket, 'http://h/state?env=' || replace(replace(CASE WHEN p_size % 4 = 0 THEN 'math' ELSE p_type END, ' ', '+'), '#', '%23') AS url FROM part""")
+CASE WHEN p_size % 3 = 0 THEN '/m/' || p_partkey END AS value, CASE WHEN p_size % 5 = 0 THEN 'unknown' ELSE p_brand END AS bucket, 'http://h/state?env=' || replace(replace(CASE WHEN p_size % 4 = 0 THEN 'math' ELSE p_type END, '#', '%23'), ' ', '%20') AS url FROM part""")
 def names_and_budgets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """H23-H25, A15, B10."""
     env = text.env_or_default(F.when(F.col("p_size") % 4 == 0, "").otherwise(F.col("p_type")))
     title = F.when(F.col("p_size") % 2 == 0, F.concat(F.lit("checkpoint "), F.col("p_partkey").cast("string"))).otherwise("other 3")
     src = text.resume_source(F.when(F.col("p_size") % 3 == 0, F.concat(F.lit("path:/m/"), F.col("p_partkey").cast("string"))).otherwise("sha:12"))
     bucket = text.bucket_of(F.when(F.col("p_size") % 5 == 0, "").otherwise(F.col("p_brand")), F.lit(None))["kind"]
-    return table(spark, sf_dir, "part").select("p_partkey", env.alias("env"), text.answer_budget(env, F.col("p_size")).cast("int").alias("budget"), text.checkpoint_number(title).alias("checkpoint"), src["kind"].alias("kind"), src["value"].alias("value"), bucket.alias("bucket"), text.state_url("http://h/", env).alias("url"))
+    return table(spark, sf_dir, "part").select("p_partkey", env.alias("env"), text.answer_budget(env, F.col("p_size")).cast("int").alias("budget"), text.checkpoint_number(title).alias("checkpoint"), src["kind"].alias("kind"), src["value"].alias("value"), bucket.alias("bucket"), cadence.state_address(F.lit("http://h"), env).alias("url"))
 
 
-@REGISTRY.query("math_reward", r"SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN (p_size = 14)::INT WHEN 2 THEN 0 ELSE (p_size = 2)::INT END::DOUBLE AS reward FROM part")
+@REGISTRY.query("math_reward", r"""SELECT p_partkey, CASE WHEN p_partkey % 7 = 5 THEN (p_size % 3 = 0)::INT WHEN p_partkey % 7 = 6 THEN 0 WHEN p_partkey % 7 = 4 THEN (p_size % 2 = 0)::INT
+WHEN p_partkey % 4 = 0 THEN (p_size = 14)::INT WHEN p_partkey % 4 = 2 THEN 0 ELSE (p_size = 2)::INT END::DOUBLE AS reward FROM part""")
 def math_reward(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """H4-H9: exact and symbolic equality with the truth 2."""
-    return table(spark, sf_dir, "part").select("p_partkey", grading.math_reward_udf(_boxed(), F.lit("\\frac{2\\sqrt{4}}{2}")).alias("reward"))
+    """H4-H9: exact and symbolic equality with the truth 2; words against their anagrams, towers of powers, sums of variables."""
+    kind, size = F.col("p_partkey") % 7, F.col("p_size")
+    word = F.when(size % 3 == 0, "\\boxed{east}").otherwise("\\boxed{seat}")
+    tower = F.lit("\\boxed{" + "(" * 20 + "9" + "^9)" * 20 + "}")
+    variables = F.when(size % 2 == 0, "\\boxed{y + 2x}").otherwise("\\boxed{2x - y}")
+    given = F.when(kind == 5, word).when(kind == 6, tower).when(kind == 4, variables).otherwise(_boxed())
+    truth = F.when(kind == 5, "east").when(kind == 4, "2x+y").otherwise("\\frac{2\\sqrt{4}}{2}")
+    return table(spark, sf_dir, "part").select("p_partkey", grading.math_reward_udf(given, truth).alias("reward"))
 
 
 @REGISTRY.query("json_equal", r"SELECT p_partkey, p_size % 3 <> 1 AS same FROM part")

@@ -121,10 +121,10 @@ def pairwise_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
     return probes.pairwise_drift(rows, "label", "pos", "sketch", hashing.modular_distance).withColumn("mean", F.round("mean", 3))
 
 
-@REGISTRY.query("dot_mod", f"{VEC} SELECT vec_id, ((list_sum(list_transform(list_zip(v[1:16], {COEFFICIENTS}), lambda z: round_even(z[1] * 1024, 0)::BIGINT * z[2]))::BIGINT % 2147483647) + 2147483647) % 2147483647 AS dot FROM vec")
+@REGISTRY.query("dot_mod", f"{VEC} SELECT vec_id, ((list_sum(list_transform(list_zip(v, {COEFFICIENTS * 4}), lambda z: round_even(z[1] * 1024, 0)::BIGINT * z[2]))::BIGINT % 2147483647) + 2147483647) % 2147483647 AS dot FROM vec")
 def dot_mod(spark: SparkSession, sf_dir: str) -> DataFrame:
     """G9."""
-    return lens.vectors(spark, sf_dir).select("vec_id", vectors.dot_mod(F.slice("v", 1, 16), F.array(*[F.lit(c) for c in COEFFICIENTS])).alias("dot"))
+    return lens.vectors(spark, sf_dir).select("vec_id", vectors.dot_mod(F.col("v"), F.array(*[F.lit(c) for c in COEFFICIENTS * 4])).alias("dot"))
 
 
 @REGISTRY.query("prompt_range", """WITH r AS (SELECT o_orderkey, printf('%08x', o_orderkey) AS rnd, 1000 + o_custkey AS n FROM orders), h AS (SELECT *, ('0x' || substr(sha256('prompt-range/v1|math|' || rnd), 1, 16))::UBIGINT AS d FROM r)

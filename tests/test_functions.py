@@ -65,6 +65,19 @@ def test_reward_of_any_text(completion, truth):
     assert grading.math_reward(completion, truth) in (0.0, 1.0) and grading.math_reward("\\boxed{" + completion + "}", truth) in (0.0, 1.0)
 
 
+def test_words_earn_by_text_alone_and_towers_end():
+    import time
+
+    for given, truth in (("east", "seat"), ("no", "on"), ("listen", "silent"), ("xy", "yx"), ("f(x)", "x f")):
+        assert grading.math_reward("\\boxed{" + given + "}", truth) == 0.0
+    assert grading.math_reward(r"\boxed{east}", "east") == 1.0 and grading.math_reward(r"\boxed{y x}", "x y") == 1.0 and grading.math_reward(r"\boxed{2\pi r}", r"r 2\pi") == 1.0
+    began = time.perf_counter()
+    for depth in (6, 7, 8, 20):
+        for tower in ("(" * depth + "9" + "^9)" * depth, "(" * depth + "x+9" + ")^9" * depth, "(" * depth + "1/9" + "^9)" * depth, "\\sqrt{" * 5 + "7" + "}^9" * 5):
+            assert grading.safe_reward("\\boxed{" + tower + "}", "7") == 0.0
+    assert time.perf_counter() - began < 20
+
+
 def test_nested_latex_and_numbers():
     assert grading.math_reward(r"\boxed{\frac{1}{\sqrt{\frac{4}{9}}}}", "1.5") == 1.0 and grading.math_reward(r"\boxed{3.5/2}", "7/4") == 1.0
     assert grading.as_number("1/0") is None and grading.as_number("3.5/2") is None and grading.as_number("-12.50") == -12.5
