@@ -70,7 +70,7 @@ def test_words_earn_by_text_alone_and_towers_end():
 
     for given, truth in (("east", "seat"), ("no", "on"), ("listen", "silent"), ("xy", "yx"), ("f(x)", "x f")):
         assert grading.math_reward("\\boxed{" + given + "}", truth) == 0.0
-    assert grading.math_reward(r"\boxed{east}", "east") == 1.0 and grading.math_reward(r"\boxed{y x}", "x y") == 1.0 and grading.math_reward(r"\boxed{2\pi r}", r"r 2\pi") == 1.0
+    assert grading.math_reward(r"\boxed{east}", "east") == 1.0 and grading.math_reward(r"\boxed{y*x}", "x*y") == 1.0 and grading.math_reward(r"\boxed{2\pi*r}", r"r*2\pi") == 1.0
     began = time.perf_counter()
     for depth in (6, 7, 8, 20):
         for tower in ("(" * depth + "9" + "^9)" * depth, "(" * depth + "x+9" + ")^9" * depth, "(" * depth + "1/9" + "^9)" * depth, "\\sqrt{" * 5 + "7" + "}^9" * 5):
