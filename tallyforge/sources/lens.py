@@ -13,7 +13,11 @@ MICROS = "timestampdiff(MICROSECOND, TIMESTAMP_NTZ'2024-01-01 00:00:00', cast(ts
 
 def submissions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """events as submissions: ord, hotkey, window_n (hour), prompt_idx, arrived_at (seconds), valid, root (32 bytes)."""
-    e = table(spark, sf_dir, "events")
+    return as_submissions(table(spark, sf_dir, "events"))
+
+
+def as_submissions(e: DataFrame) -> DataFrame:
+    """The same view of a table or a stream of events."""
     micros = F.expr(MICROS)
     return e.select(
         F.col("event_id").alias("ord"),

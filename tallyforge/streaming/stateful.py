@@ -22,6 +22,7 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 
 from tallyforge.config import DEFAULT, EngineConfig
 from tallyforge.operators import scoring, state
+from tallyforge.streaming import windows
 
 #: The state store that keeps state by variable and key, which these operators need.
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -171,8 +172,7 @@ class FlushOnChange(_Timed):
 
 
 def _transformed(stream: DataFrame, key: str, processor: StatefulProcessor, delay: str, initial: DataFrame | None, mode: str) -> DataFrame:
-    """The operator over a stream with a watermark; the session's state store has to be ``PROVIDER``."""
-    stream.sparkSession.conf.set(PROVIDER_KEY, PROVIDER)
+    """The operator over a stream with a watermark; its query has to start with ``PROVIDER`` as state store, as ``landed`` below does."""
     grouped = stream.withWatermark("ts", delay).groupBy(key)
     start = initial.groupBy(key) if initial is not None else None
     return grouped.transformWithStateInPandas(processor, processor.output, mode, "EventTime", start)
@@ -200,6 +200,11 @@ def flushed(stream: DataFrame, idle: float, delay: str = "0 seconds") -> DataFra
     return _transformed(stream, "key", FlushOnChange(idle), delay, None, "Append")
 
 
+def landed(stream: DataFrame, name: str) -> DataFrame:
+    """``windows.landed`` with the state store that these operators need."""
+    return windows.landed(stream, name, **{PROVIDER_KEY.replace(".", "__"): PROVIDER})
+
+
 def cooldown_start(batch: DataFrame, current: int, n: int) -> DataFrame:
     """Initial state of ``cooled``: from archived batch rows (window_n, prompt_idx), the prompts that still cool at a window."""
     return state.last_batched(batch, current, n)

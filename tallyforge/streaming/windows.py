@@ -1,11 +1,12 @@
-"""Structured Streaming forms of the stateful operators: sealing, claims, cooldown, moving averages, flush on change.
+"""Structured Streaming forms whose state ends by a watermark or a timeout: claims, sealing, one firing a window; and how streams are run.
 
-Every function takes a streaming DataFrame and returns one; state is keyed, bounded by what a key needs, and evicted.
-The batch operators give the same results on the same rows, which the tests check.
+Every function takes a streaming DataFrame and returns one. Operators whose state starts from archives and ends by timers are in
+``stateful``. The batch operators give the same results on the same rows, which the tests check.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tallyforge.config import DEFAULT, EngineConfig
+from tallyforge.session import ensure_checkpoint_dir
 
 
 def on_window(stream: DataFrame, window: str, current: str = "current_window") -> DataFrame:
@@ -59,70 +61,6 @@ def sealed_windows(stream: DataFrame, config: EngineConfig = DEFAULT, timeout: s
     return stream.where("valid").groupBy("window_n").applyInPandasWithState(step, "window_n bigint, sealed_at double, n bigint, reason string", "seen array<bigint>, sealed boolean, last double", "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
-def running_ema(slots: DataFrame, config: EngineConfig = DEFAULT) -> DataFrame:
-    """(hotkey, step, score) after each archive record in which a key holds slots; rows: hotkey, step, n.
-
-    State per key: the value and the step it belongs to. Missed records decay it when the key is next seen, so keys need
-    not tick one by one.
-    """
-    alpha, prune, b = config.ema_alpha, config.ema_prune, config.batch_size
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        value, last = state.get if state.exists else (0.0, 0)
-        rows = pd.concat(list(batches)).groupby("step", as_index=False)["n"].sum().sort_values("step")
-        out = []
-        for s, n in zip(rows["step"], rows["n"]):
-            missed = int(s) - last - 1
-            if missed > 0:
-                value *= (1 - alpha) ** missed
-                value = value if value > prune else 0.0
-            value = alpha * (float(n) / b) + (1 - alpha) * value
-            value, last = (value if value > prune else 0.0), int(s)
-            out.append((key[0], last, value))
-        state.update((value, last))
-        yield pd.DataFrame(out, columns=["hotkey", "step", "score"])
-
-    return slots.groupBy("hotkey").applyInPandasWithState(step, "hotkey string, step bigint, score double", "value double, last bigint", "update", GroupStateTimeout.NoTimeout)
-
-
-def cooled(stream: DataFrame, cooldown: int) -> DataFrame:
-    """(prompt_idx, window_n, cooling): whether a prompt was batched within the last ``cooldown`` windows; rows carry batched.
-
-    The age is counted in windows, so the state's life does not depend on any clock.
-    """
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last = state.get[0] if state.exists else None
-        out = []
-        for window, batched in pd.concat(list(batches)).sort_values("window_n")[["window_n", "batched"]].itertuples(index=False):
-            cooling = last is not None and int(window) - last < cooldown
-            out.append((key[0], int(window), cooling))
-            if batched and not cooling:
-                last = int(window)
-        if last is not None:
-            state.update((last,))
-        yield pd.DataFrame(out, columns=["prompt_idx", "window_n", "cooling"])
-
-    return stream.groupBy("prompt_idx").applyInPandasWithState(step, "prompt_idx bigint, window_n bigint, cooling boolean", "last bigint", "update", GroupStateTimeout.NoTimeout)
-
-
-def flushes(stream: DataFrame, key: str, value: str) -> DataFrame:
-    """(key, flushed, n): when a key's value changes, how many rows its old value had."""
-
-    def step(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        current, n = state.get if state.exists else (None, 0)
-        out = []
-        for new in pd.concat(list(batches)).sort_values("ord")[value]:
-            if current is not None and new != current:
-                out.append((str(k[0]), current, n))
-                n = 0
-            current, n = new, n + 1
-        state.update((current, n))
-        yield pd.DataFrame(out, columns=["key", "flushed", "n"])
-
-    return stream.groupBy(key).applyInPandasWithState(step, "key string, flushed string, n bigint", "current string, n bigint", "append", GroupStateTimeout.NoTimeout)
-
-
 def fired_once(stream: DataFrame, delay: str = "64 hours") -> DataFrame:
     """One row per window: later ones within the retained time are dropped."""
     return stream.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["window_n"])
@@ -133,6 +71,27 @@ def capped_source(spark, path: str, schema: str, files: int = 1, format: str = "
     return spark.readStream.format(format).schema(schema).option("maxFilesPerTrigger", str(files)).load(path)
 
 
+def landed(stream: DataFrame, name: str, empty_batches: bool = True, **conf: str) -> DataFrame:
+    """Runs what is there to its end into a table under the shared checkpoint folder, with a stream checkpoint of its own.
+
+    ``conf`` holds session settings (dots as double underscores) that the query starts with. Without ``empty_batches`` no batch runs for the
+    sake of time alone, which a processing-time timeout would make follow each other for ever.
+    """
+    spark = stream.sparkSession
+    base = f"{ensure_checkpoint_dir(spark).rstrip('/')}/streams/{name}-{uuid.uuid4().hex}"
+    wanted = {k.replace("__", "."): v for k, v in conf.items()} | ({} if empty_batches else {"spark.sql.streaming.noDataMicroBatches.enabled": "false"})
+    before = {k: spark.conf.get(k, None) for k in wanted}
+    for k, v in wanted.items():
+        spark.conf.set(k, v)
+    try:
+        writer = stream.writeStream.format("parquet").option("path", f"{base}/rows").option("checkpointLocation", f"{base}/state").outputMode("append")
+        writer.trigger(availableNow=True).start().awaitTermination()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
+    return spark.read.schema(stream.schema).parquet(f"{base}/rows")
+
+
 def drain(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
     """Run what is there to its end into a memory table, for tests and demonstrations.
 

@@ -8,7 +8,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from tallyforge.operators import scoring, selection
+from tallyforge.operators import selection
 from tallyforge.sources import lens, readers, writers
 from tallyforge.streaming import windows as streams
 
@@ -114,32 +114,10 @@ def test_stream_seals_like_batch(spark, feed):
     assert got == want and want
 
 
-def test_stream_scores_like_batch(spark, feed, tmp_path):
-    subs, _, _ = feed
-    steps = scoring.archive_steps(subs.where("valid"))
-    slots = scoring.slots_per_window(subs.where("valid")).join(steps, "window_n").select("hotkey", "step", "n")
-    path = str(tmp_path / "slots")
-    slots.coalesce(1).write.parquet(path)
-    found = streams.drain(streams.running_ema(streams.capped_source(spark, path, slots.schema)), "ema", "update")
-    last = steps.agg(F.max("step")).first()[0]
-    keep = 1 - scoring.DEFAULT.ema_alpha
-    got = {}
-    for r in found.orderBy("step").collect():
-        got[r["hotkey"]] = r["score"] * keep ** (last - r["step"])
-    want = {r["hotkey"]: r["score"] for r in scoring.ema_scores(subs.where("valid")).collect()}
-    assert all(abs(got[h] - v) < 1e-9 for h, v in want.items())
-
-
-def test_stream_claims_cooldown_flush(spark, feed, tmp_path):
+def test_stream_claims_and_firing(spark, feed):
     subs, path, schema = feed
     stream = streams.capped_source(spark, path, schema)
     assert streams.drain(streams.claims(stream), "claims").count() == subs.where("valid").select("window_n", "prompt_idx").distinct().count()
     assert streams.drain(streams.fired_once(streams.capped_source(spark, path, schema)), "fired").count() == subs.select("window_n").distinct().count()
-    flips = streams.drain(streams.flushes(streams.capped_source(spark, path, schema), "hotkey", "env"), "flips")
-    assert flips.count() > 0 and flips.agg(F.sum("n")).first()[0] < subs.count()
-    cool = spark.createDataFrame([(1, 10, True), (1, 12, True), (1, 16, True), (2, 12, True)], "prompt_idx bigint, window_n bigint, batched boolean")
-    cool.coalesce(1).write.parquet(str(tmp_path / "cool"))
-    got = streams.drain(streams.cooled(streams.capped_source(spark, str(tmp_path / "cool"), cool.schema), 5), "cooling", "update")
-    assert {(r["prompt_idx"], r["window_n"]): r["cooling"] for r in got.collect()} == {(1, 10): False, (1, 12): True, (1, 16): False, (2, 12): False}
     late = streams.on_window(stream.withColumn("current_window", F.lit(0)), "window_n")
     assert "late" in late.columns

@@ -17,6 +17,7 @@ from tallyforge.streaming import stateful, windows
 @pytest.fixture(autouse=True)
 def provider(spark):
     before = spark.conf.get(stateful.PROVIDER_KEY)
+    spark.conf.set(stateful.PROVIDER_KEY, stateful.PROVIDER)
     yield
     spark.conf.set(stateful.PROVIDER_KEY, before)
 
