@@ -182,3 +182,33 @@ def bucket_of(kind: Column, level: Column) -> Column:
     """struct(kind, level) with "unknown" for missing parts."""
     known = lambda c: F.coalesce(F.nullif(c, F.lit("")), F.lit("unknown"))
     return F.struct(known(kind).alias("kind"), known(level).alias("level"))
+
+
+def ascii_escaped(text: Column) -> Column:
+    """A JSON text with every character beyond ASCII as ``\\uXXXX``, pairs of them beyond the basic plane."""
+    code = lambda n: F.concat(F.lit("\\u"), F.lower(F.lpad(F.hex(n), 4, "0")))
+
+    def escaped(ch: Column) -> Column:
+        n = F.ascii(ch)
+        above = n - 0x10000
+        pair = F.concat(code(F.shiftright(above, 10) + 0xD800), code(above.bitwiseAND(0x3FF) + 0xDC00))
+        return F.when(n < 0x80, ch).when(n < 0x10000, code(n)).otherwise(pair)
+
+    return F.when(F.octet_length(text) == F.char_length(text), text).otherwise(F.array_join(F.transform(F.split(text, ""), escaped), ""))
+
+
+def canonical_json(text: Column) -> Column:
+    """JSON without blanks, keys sorted at every level, beyond ASCII escaped; null for what is no JSON or repeats a key.
+
+    Fractions lose trailing zeros (2.0 is 2); whole numbers of up to 38 digits, texts, flags and nulls stay as they are.
+    """
+    plain = F.to_json(F.try_parse_json(text))
+    lowered = plain
+    for code in (f"{n:04X}" for n in range(0x20) if f"{n:04X}" != f"{n:04x}"):  # escapes of control characters, if not part of a text's own backslashes
+        lowered = F.regexp_replace(lowered, rf"(?<!\\)((?:\\\\)*)\\u{code}", rf"$1\\u{code.lower()}")
+    return ascii_escaped(F.when(plain.rlike(r"\\u00[01][A-F]"), lowered).otherwise(plain))
+
+
+def case_id(problem: Column, cases: Column) -> Column:
+    """16 hex digits that name a problem's cases: the hash of the problem's id and the cases' canonical JSON."""
+    return F.substring(F.sha2(F.concat(problem, canonical_json(cases)), 256), 1, 16)

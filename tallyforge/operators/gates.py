@@ -126,6 +126,38 @@ def field_gates() -> list[Gate]:
     ]
 
 
+def _outside(name: str, low: int, high: int | None = None) -> Column:
+    """Whether a text is missing or its length is outside."""
+    n = F.coalesce(F.length(name), F.lit(-1))
+    return (n < low) | (n > high) if high is not None else n < low
+
+
+def _negative(name: str, low: int = 0) -> Column:
+    return F.coalesce(F.col(name) < low, F.lit(True))
+
+
+def _not_hex(name: str, digits: int) -> Column:
+    return ~F.coalesce(F.col(name).rlike(f"^[0-9a-fA-F]{{{digits}}}$"), F.lit(False))
+
+
+def precommit_gates() -> list[Gate]:
+    """Constraints on the fields of a precommit, in the order of its fields; a missing field fails, but the version may be missing."""
+    signature = ~F.coalesce(F.col("precommit_signature").rlike("^[0-9a-fA-F]+$"), F.lit(False)) | _outside("precommit_signature", 2, 256)
+    return [
+        Gate("miner_hotkey", _outside("miner_hotkey", 1)), Gate("prompt_idx", _negative("prompt_idx")), Gate("window_start", _negative("window_start")), Gate("merkle_root", _not_hex("merkle_root", 64)),
+        Gate("checkpoint_hash", _outside("checkpoint_hash", 0, 256)), Gate("environment", _outside("environment", 1, 64)), Gate("payload_bytes", _negative("payload_bytes", 1)), Gate("payload_sha256", _not_hex("payload_sha256", 64)),
+        Gate("drand_round", _negative("drand_round")), Gate("protocol_version", F.col("protocol_version") < 0), Gate("nonce", _outside("nonce", 1, 128)), Gate("precommit_signature", signature),
+    ]
+
+
+def verdict_gates(reasons: Column) -> list[Gate]:
+    """Constraints on the fields of a verdict: its root, a window that is missing or not negative, a known reason, and flags and a time that are there."""
+    return [
+        Gate("merkle_root", _not_hex("merkle_root", 64)), Gate("window_n", F.col("window_n") < 0), Gate("accepted", F.col("accepted").isNull()),
+        Gate("reason", ~F.coalesce(F.array_contains(reasons, F.col("reason")), F.lit(False))), Gate("ts", F.col("ts").isNull() | F.isnan("ts")),
+    ]
+
+
 def unknown_fields(payload: Column, allowed: list[str]) -> Column:
     """Top-level keys of a JSON text that a strict schema does not know."""
     return F.array_except(F.json_object_keys(payload), F.array(*[F.lit(x) for x in allowed]))

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tallyforge.operators.prefix import running
+
 
 def shuffled(key: Column, seed: str) -> Column:
     """A reproducible order: the md5 of seed and key."""
@@ -41,12 +43,15 @@ def prefixes(rows: DataFrame, order: list[Column], fractions: tuple[float, ...]
 
 def auc(rows: DataFrame, score: str, label: str, by: list[str] | None = None) -> DataFrame:
     """Area under the ROC curve by rank sums; ties share the average rank. Scores are counted first, so the ranks run
-    over distinct scores only; a group of one class gives null."""
+    over distinct scores only, by a two-level scan where there are no groups; a group of one class gives null."""
     by = by or []
     counts = rows.groupBy(*by, score).agg(F.sum(F.col(label).cast("bigint")).alias("pos"), F.count(F.lit(1)).alias("n"))
-    w = W.partitionBy(*by) if by else W.partitionBy(F.lit(1))
-    below = F.coalesce(F.sum("n").over(w.orderBy(score).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    ranked = counts.withColumn("rank", below + (F.col("n") + 1) / 2)
+    if by:
+        below = F.coalesce(F.sum("n").over(W.partitionBy(*by).orderBy(score).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+        counts = counts.withColumn("_below", below)
+    else:
+        counts = running(counts, [score], "n", "_below")
+    ranked = counts.withColumn("rank", F.col("_below") + (F.col("n") + 1) / 2)
     agg = ranked.groupBy(*by).agg(F.sum(F.col("rank") * F.col("pos")).alias("r"), F.sum("pos").alias("p"), F.sum("n").alias("t"))
     negatives = F.col("t") - F.col("p")
     return agg.select(*by, F.col("t").alias("n"), ((F.col("r") - F.col("p") * (F.col("p") + 1) / 2) / F.nullif(F.col("p") * negatives, F.lit(0))).alias("auc"))

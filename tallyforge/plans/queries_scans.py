@@ -41,10 +41,17 @@ def asof_row_group(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @REGISTRY.query("first_routable", f"WITH {lens.META_SQL} SELECT pos, hotkey, uid, axon FROM meta WHERE permit ORDER BY pos LIMIT 1")
 def first_routable(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Parallel arrays zipped by position, then the first permitted row."""
-    row = lens.metagraph(spark, sf_dir).agg(F.sort_array(F.collect_list(F.struct("pos", "hotkey", "uid", "permit", "axon"))).alias("m"))
-    arrays = row.select(F.col("m.hotkey").alias("hotkeys"), F.col("m.uid").alias("uids"), F.col("m.permit").alias("permits"), F.col("m.axon").alias("axons"), F.col("m.pos").alias("positions"))
-    return readers.first_routable(readers.unzip_metagraph(arrays)).select(F.col("pos").cast("bigint").alias("pos"), "hotkey", "uid", "axon")
+    """The first permitted row with an address."""
+    return readers.first_routable(lens.metagraph(spark, sf_dir)).select(F.col("pos").cast("bigint").alias("pos"), "hotkey", "uid", "axon")
+
+
+@REGISTRY.query("metagraph_rows", "SELECT c_nationkey AS network, row_number() OVER (PARTITION BY c_nationkey, o ORDER BY c_custkey)::INT - 1 AS pos, c_custkey % 100 || '' AS hotkey FROM (SELECT *, c_custkey // 64 AS o FROM customer)")
+def metagraph_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A network's parallel arrays, 64 keys a row at most, zipped by position."""
+    c = table(spark, sf_dir, "customer").withColumn("o", F.floor(F.col("c_custkey") / 64))
+    m = c.groupBy("c_nationkey", "o").agg(F.sort_array(F.collect_list(F.struct("c_custkey", (F.col("c_custkey") % 100).cast("string").alias("hotkey"), (F.col("c_acctbal") > 0).alias("permit"), F.col("c_name").alias("axon")))).alias("m"))
+    arrays = m.select("c_nationkey", F.col("m.hotkey").alias("hotkeys"), F.col("m.c_custkey").alias("uids"), F.col("m.permit").alias("permits"), F.col("m.axon").alias("axons"))
+    return readers.unzip_metagraph(arrays, ["c_nationkey"]).select(F.col("c_nationkey").alias("network"), "pos", "hotkey")
 
 
 @REGISTRY.query("mirror_first_match", "WITH s AS (SELECT l_partkey AS id, l_orderkey AS o, CASE WHEN l_quantity > 10 THEN l_quantity::INT::VARCHAR ELSE '' END AS cases, l_linenumber AS ln FROM lineitem) SELECT id, o, cases FROM s WHERE id IN (SELECT p_partkey FROM part WHERE p_size < 20) AND cases <> '' QUALIFY row_number() OVER (PARTITION BY id ORDER BY o, ln) = 1")

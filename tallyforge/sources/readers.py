@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tallyforge.operators.prefix import running
+
 #: The archive's schema; a record that does not fit it is corrupt and skipped.
 ARCHIVE_SCHEMA = (
     "window_start bigint, validator_hotkey string, randomness string, environment string, "
@@ -82,9 +84,15 @@ def rollout_file(spark: SparkSession, path: str, schema: str, cap: int = 350_000
 
 
 def read_pool(spark: SparkSession, path: str, checkpoint: Column) -> DataFrame:
-    """Pool entries, oldest file first, and whether their checkpoint is stale."""
+    """Pool entries, oldest file first, and whether their checkpoint is stale; those that would not fit any more are the last ones."""
     rows = spark.read.option("ignoreCorruptFiles", "true").parquet(path)
-    return rows.select("*", F.col("_metadata.file_modification_time").alias("saved")).withColumn("stale", F.col("checkpoint_n") != checkpoint)
+    meta = rows.select("*", F.col("_metadata.file_modification_time").alias("saved"), F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+    return meta.withColumn("stale", F.col("checkpoint_n") != checkpoint).orderBy("saved", "_file", "_row").drop("_file", "_row")
+
+
+def stale_count(pool: DataFrame) -> DataFrame:
+    """One row: how many entries a pool holds, and how many of them are stale."""
+    return pool.agg(F.count(F.lit(1)).alias("entries"), F.count_if("stale").alias("stale"))
 
 
 def json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -102,9 +110,10 @@ def first_routable(meta: DataFrame) -> DataFrame:
     return meta.where(F.col("permit") & (F.coalesce("axon", F.lit("")) != "")).orderBy("pos").limit(1)
 
 
-def unzip_metagraph(row: DataFrame) -> DataFrame:
-    """(pos, hotkey, uid, permit, axon) from one row of parallel arrays."""
-    return row.select(F.posexplode(F.arrays_zip("hotkeys", "uids", "permits", "axons")).alias("pos", "z")).select("pos", F.col("z.hotkeys").alias("hotkey"), F.col("z.uids").alias("uid"), F.col("z.permits").alias("permit"), F.col("z.axons").alias("axon"))
+def unzip_metagraph(rows: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    """(pos, hotkey, uid, permit, axon) from rows of parallel arrays, with the columns ``keep`` of the row."""
+    keep = keep or []
+    return rows.select(*keep, F.posexplode(F.arrays_zip("hotkeys", "uids", "permits", "axons")).alias("pos", "z")).select(*keep, "pos", F.col("z.hotkeys").alias("hotkey"), F.col("z.uids").alias("uid"), F.col("z.permits").alias("permit"), F.col("z.axons").alias("axon"))
 
 
 def first_match(mirror: DataFrame, source: DataFrame, key: str, order: str) -> DataFrame:
@@ -123,7 +132,7 @@ def start_of_range(points: DataFrame, starts: DataFrame) -> DataFrame:
     width = 1 << 16
     both = both.withColumn("range", F.floor(F.col("idx") / width))
     carry = both.groupBy("range").agg(F.max("start").alias("top"))
-    carry = carry.select("range", F.max("top").over(W.orderBy("range").rowsBetween(W.unboundedPreceding, -1)).alias("carry"))
+    carry = running(carry, ["range"], "top", "carry", "max")
     w = W.partitionBy("range").orderBy("idx", "kind").rowsBetween(W.unboundedPreceding, 0)
     found = both.withColumn("own", F.last("start", ignorenulls=True).over(w)).where("kind = 1").join(carry, "range")
     return found.select("idx", F.coalesce("own", "carry").alias("start"))
