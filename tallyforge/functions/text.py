@@ -202,7 +202,7 @@ def canonical_json(text: Column) -> Column:
 
     Fractions lose trailing zeros (2.0 is 2); whole numbers of up to 38 digits, texts, flags and nulls stay as they are.
     """
-    plain = F.to_json(F.try_parse_json(text))
+    plain = F.replace(F.to_json(F.try_parse_json(text)), F.lit("\x7f"), F.lit("\\u007f"))
     lowered = plain
     for code in (f"{n:04X}" for n in range(0x20) if f"{n:04X}" != f"{n:04x}"):  # escapes of control characters, if not part of a text's own backslashes
         lowered = F.regexp_replace(lowered, rf"(?<!\\)((?:\\\\)*)\\u{code}", rf"$1\\u{code.lower()}")

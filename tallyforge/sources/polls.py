@@ -43,15 +43,15 @@ class PollReader(DataSourceStreamReader):
         self.base = options["base"]
         self.keys = json.loads(options["keys"])
         self.per_task = int(options.get("per_task", "16"))
-        self.cursor = float(options.get("since", "0"))
+        self.first = self.newest = float(options.get("since", "0"))
 
     def initialOffset(self) -> dict:  # noqa: N802
-        return {"since": self.cursor}
+        return {"since": self.first}
 
     def latestOffset(self) -> dict:  # noqa: N802
-        newest = max((float(r["ts"]) for k in self.keys for r in poll(self.base, k, self.cursor)), default=self.cursor)
-        self.cursor = max(self.cursor, newest)
-        return {"since": self.cursor}
+        """The newest ts that the server holds; a reader polls on from the newest it has seen."""
+        self.newest = max([self.newest, *(float(r["ts"]) for k in self.keys for r in poll(self.base, k, self.newest))])
+        return {"since": self.newest}
 
     def partitions(self, start: dict, end: dict) -> list[Span]:
         return [Span(self.keys[i : i + self.per_task], start["since"], end["since"]) for i in range(0, len(self.keys), self.per_task)]
