@@ -13,7 +13,7 @@ nothing but entries. A segment's tokens are then the same alone and in its text.
 5. Pairs are counted over the texts, and each text sums up the counts of its links: the ``HEAD_PAIRS`` most frequent pairs are
    shipped, the others joined.
 
-Rows find their lists by 128 bits of the hash of id and text, so repeated rows share one list and no number given to a row
+Rows find their lists by 96 bits of two hashes of id and text, so repeated rows share one list and no number given to a row
 has to survive a second reading. Tokenizer files are read on the driver and shipped.
 
 Defined results: null and empty texts, and texts that a tokenizer does not give back (they hold U+2581), have no tokens, zeros
@@ -28,6 +28,7 @@ import json
 import os
 import re
 import uuid
+from array import array
 from collections import Counter
 from collections.abc import Callable, Iterator
 from functools import lru_cache
@@ -76,7 +77,6 @@ class TokenizerPair:
         self.a_bytes = {i: bytes(letters[c] for c in entry) for entry, i in vocabulary.items() if all(c in letters for c in entry)}
         self.b_bytes = {i: self._piece(i) for i in range(self.b.get_piece_size()) if not self.b.is_control(i)}
         self.a_len, self.b_len = ({i: len(e) for i, e in x.items()} for x in (self.a_bytes, self.b_bytes))
-        self.a_bits, self.b_bits = (max(x, default=0).bit_length() for x in (self.a_bytes, self.b_bytes))
         self.b_space = self.b.piece_to_id(MARK)
 
     def _piece(self, i: int) -> bytes:
@@ -117,6 +117,14 @@ class TokenizerPair:
                 j += 1
                 at_b += self.b_len[b[j]]
 
+
+class Lengths:
+    """The byte lengths of both vocabularies' tokens by id: all that links need."""
+
+    def __init__(self, a_len: dict[int, int], b_len: dict[int, int]) -> None:
+        self.a_len, self.b_len = ([x.get(i, 0) for i in range(max(x, default=-1) + 1)] for x in (a_len, b_len))
+        self.a_bits, self.b_bits = (max(len(x) - 1, 0).bit_length() for x in (self.a_len, self.b_len))
+
     def entry(self, groups: str) -> tuple[int, int, int, list[int]]:
         """(n_a, n_b, n_groups, links): a link is an A token and a B token that share bytes, a * 2^b_bits + b."""
         n_a = n_b = 0
@@ -146,11 +154,15 @@ class TokenizerPair:
 class Entries:
     """Numbers and links of segments by index; a segment that a tokenizer does not give back has none."""
 
-    def __init__(self, pair: TokenizerPair, groups: list[str | None]) -> None:
-        found = [pair.entry(g) if g is not None else (0, 0, 0, []) for g in groups]
-        self.numbers = np.array([f[:3] for f in found], np.int64).reshape(-1, 3)
-        self.sizes = np.fromiter((len(f[3]) for f in found), np.int64, len(found))
-        self.links = np.fromiter((x for f in found for x in f[3]), np.int64)
+    def __init__(self, lengths: Lengths, groups: list[str | None]) -> None:
+        numbers, sizes, links = array("q"), array("q"), array("q")
+        for g in groups:
+            n_a, n_b, n_groups, own = lengths.entry(g) if g is not None else (0, 0, 0, ())
+            numbers.extend((n_a, n_b, n_groups))
+            sizes.append(len(own))
+            links.extend(own)
+        self.numbers, self.sizes, self.links = (np.frombuffer(x, np.int64) if x else np.zeros(0, np.int64) for x in (numbers, sizes, links))
+        self.numbers = self.numbers.reshape(-1, 3)
 
     def joined(self, other: "Entries") -> "Entries":
         out = object.__new__(Entries)
@@ -186,14 +198,14 @@ def _pair(a_json: str, b_model: bytes) -> TokenizerPair:
 _HEADS: dict[str, tuple] = {}
 
 
-def _head(shipped, pair: TokenizerPair) -> tuple[dict[str, int], dict[str, str | None], Entries]:  # noqa: ANN001
+def _head(shipped) -> tuple[dict[str, int], list[str | None], Entries]:  # noqa: ANN001
     """The shipped segments' indexes, groups and entries, made once in each worker."""
     key = shipped.value["key"]
     if key not in _HEADS:
         _HEADS.clear()
         found = pa.ipc.open_stream(shipped.value["head"]).read_all()
-        names, groups = found["seg"].to_pylist(), found["groups"].to_pylist()
-        _HEADS[key] = {s: i for i, s in enumerate(names)}, dict(zip(names, groups)), Entries(pair, groups)
+        groups = found["groups"].to_pylist()
+        _HEADS[key] = {s.as_py(): i for i, s in enumerate(found["seg"])}, groups, Entries(shipped.value["lengths"], groups)
     return _HEADS[key]
 
 
@@ -232,7 +244,7 @@ def _rare(shipped, cut: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[p
     """(k1, k2, pos, seg): a text's distinct segments that are not shipped, in order."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        head = _head(shipped, _pair(shipped.value["a"], shipped.value["b"]))[0]
+        head = _head(shipped)[0]
         for whole in batches:
             for low in range(0, whole.num_rows, SLICE):
                 batch = whole.slice(low, SLICE)
@@ -249,9 +261,9 @@ def _composed(shipped, cut: bool, digest: bool) -> Callable[[Iterator[pa.RecordB
     """From (doc_id, text, found): a row of ``COMPOSED`` for each text."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pair = _pair(shipped.value["a"], shipped.value["b"])
-        index, known, entries = _head(shipped, pair)
-        bits = pair.a_bits + pair.b_bits
+        lengths = shipped.value["lengths"]
+        index, known, entries = _head(shipped)
+        bits = lengths.a_bits + lengths.b_bits
         for whole in batches:
             for low in range(0, whole.num_rows, SLICE):
                 batch = whole.slice(low, SLICE)
@@ -268,11 +280,11 @@ def _composed(shipped, cut: bool, digest: bool) -> Callable[[Iterator[pa.RecordB
                     own = [index.get(s, -1) for s in counts]
                     if found:
                         looked = dict(zip([s for s, i in zip(counts, own) if i < 0], found))
-                        parts = [known[p] if p in known else looked[p] for p in pieces]
+                        parts = [looked[p] if p in looked else known[index[p]] for p in pieces]
                         new = iter(range(len(index) + len(rare), len(index) + len(rare) + len(found)))
                         own = [i if i >= 0 else next(new) for i in own]
                     else:
-                        parts = [known[p] for p in pieces]
+                        parts = [known[index[p]] for p in pieces]
                     if None in parts:
                         continue
                     rare += found or ()
@@ -282,13 +294,13 @@ def _composed(shipped, cut: bool, digest: bool) -> Callable[[Iterator[pa.RecordB
                     joined = ";".join(parts)
                     groups[-1] = hashlib.sha256(joined.encode()).hexdigest() if digest else joined
                 n, at, k = len(sizes), np.array(ids, np.int64), np.array(times, np.int64)
-                row, all_entries = np.repeat(np.arange(n), sizes), entries.joined(Entries(pair, rare))
+                row, all_entries = np.repeat(np.arange(n), sizes), entries.joined(Entries(lengths, rare))
                 total = lambda v: pa.array(np.bincount(row, weights=v * k, minlength=n).astype(np.int64))
                 numbers = [total(all_entries.numbers[at, c]) for c in range(3)] + [total(all_entries.sizes[at])]
                 links, of = all_entries.expanded(at)
                 keys, k = summed(row[of] << bits | links, k[of], bits + SLICE.bit_length())
                 offsets = pa.array(np.searchsorted(keys >> bits, np.arange(n + 1)).astype(np.int32))
-                lists = [keys >> pair.b_bits & ((1 << pair.a_bits) - 1), keys & ((1 << pair.b_bits) - 1), k]
+                lists = [keys >> lengths.b_bits & ((1 << lengths.a_bits) - 1), keys & ((1 << lengths.b_bits) - 1), k]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *numbers, pa.array(groups, pa.string()), *[pa.ListArray.from_arrays(offsets, pa.array(x.astype(np.int32))) for x in lists]], names=NAMES)
 
     return work
@@ -354,8 +366,9 @@ def align_documents(docs: DataFrame, a_file: str = A_FILE, b_file: str = B_FILE,
     spark = docs.sparkSession
     with open(a_file, encoding="utf-8") as a, open(b_file, "rb") as b:
         files = {"a": a.read(), "b": b.read()}
-    cut, ship = TokenizerPair(files["a"], files["b"]).cuts(), spark.sparkContext.broadcast
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).withColumns({"k1": F.xxhash64("doc_id", "text"), "k2": F.xxhash64(F.lit("second"), "text", "doc_id")})
+    pair, ship = TokenizerPair(files["a"], files["b"]), spark.sparkContext.broadcast
+    cut = pair.cuts()
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).withColumns({"k1": F.xxhash64("doc_id", "text"), "k2": F.hash("text", "doc_id")})
     full = rows.where("text <> ''")
 
     counts = full.select("text").mapInArrow(_counted(cut), "seg string, n bigint").groupBy("seg").agg(F.sum("n").alias("n"))
@@ -364,9 +377,9 @@ def align_documents(docs: DataFrame, a_file: str = A_FILE, b_file: str = B_FILE,
     stream = pa.BufferOutputStream()
     with pa.ipc.new_stream(stream, head.schema) as writer:
         writer.write_table(head)
-    shipped = ship(files | {"head": stream.getvalue().to_pybytes(), "key": uuid.uuid4().hex})
+    shipped = ship({"head": stream.getvalue().to_pybytes(), "key": uuid.uuid4().hex, "lengths": Lengths(pair.a_len, pair.b_len)})
 
-    rare = full.select("k1", "k2", "text").mapInArrow(_rare(shipped, cut), "k1 bigint, k2 bigint, pos int, seg string").withColumn("h", F.xxhash64("seg"))
+    rare = full.select("k1", "k2", "text").mapInArrow(_rare(shipped, cut), "k1 bigint, k2 int, pos int, seg string").withColumn("h", F.xxhash64("seg"))
     others = aligned.withColumn("h", F.xxhash64("seg"))
     hot = hot_keys(others, "h", "n")
     looked = join_groups(rare, others, "h", ["seg"], "n", F.col("k1"), "inner") if hot else rare.drop("h").join(aligned, "seg")
