@@ -21,8 +21,8 @@ classes that round one has not settled probe it. Tables are dropped after their
 within ``BROADCAST_BYTES`` of counted bytes, else the same join shuffles.
 
 Defined results: null text is one line without words; a null doc_id is ordered by the hash of its text; repeated documents
-are later copies of the first one, and if they share its id too, all these rows keep what the first keeps; different
-texts under one id are different documents;
+are later copies of the first one, and if they share its id too, one of these rows counts as the first and the others keep
+their blank lines only; different texts under one id are different documents;
 an empty table gives an empty table; extra columns pass through unless they are named ``_ld_*``.
 """
 
@@ -31,6 +31,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyforge.llm.skew import join_groups
 from tallyforge.llm.textops import row_key
 from tallyforge.plans.registry import table
 from tallyforge.session import discard, ensure_checkpoint_dir, materialize
@@ -251,18 +252,35 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     return out
 
 
+def _marked(keyed: DataFrame) -> DataFrame:
+    """keyed with _ld_again: whether the row equals an earlier one in id and text. Only such rows are written aside and numbered."""
+    repeats = materialize(keyed.groupBy("_ld_key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("_ld_key"), "line-repeats")
+    if repeats.isEmpty():
+        return keyed.withColumn("_ld_again", F.lit(False))
+    few = _bounded(repeats, 16)
+    several = keyed.join(few, "_ld_key", "left_semi").withColumns({"_ld_mid": F.monotonically_increasing_id(), "_ld_h": F.xxhash64("_ld_key")})
+    several = materialize(several, "line-repeated")
+    first = materialize(several.groupBy("_ld_h", "_ld_key").agg(F.min("_ld_mid").alias("_ld_first"), F.count(F.lit(1)).alias("_ld_n")), "line-firsts")
+    told = join_groups(several, first, "_ld_h", ["_ld_key"], "_ld_n", F.col("_ld_mid"), "inner").withColumn("_ld_again", F.col("_ld_mid") != F.col("_ld_first"))
+    single = keyed.join(few, "_ld_key", "left_anti").withColumn("_ld_again", F.lit(False))
+    return single.unionByName(told.select(*single.columns))
+
+
 def dedup_lines(docs: DataFrame) -> DataFrame:
     """docs with the later lines taken out of text, and _ld_lines and _ld_gone (counts of lines)."""
     gone = removed_lines(docs)
     width = gone.agg(F.coalesce(F.sum(F.size("gone") * 4 + 48), F.lit(0))).first()[0]
     if width <= BROADCAST_BYTES:
         gone = F.broadcast(gone)
-    keyed = docs.withColumn("_ld_key", row_place(docs))
+    keyed = _marked(docs.withColumn("_ld_key", row_place(docs)))
     joined = keyed.join(gone.select(F.col("key").alias("_ld_key"), F.col("gone").alias("_ld_list")), "_ld_key", "left")
     lines = F.split("text", "\n")
     kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("_ld_list", i)), "\n")
-    marks = F.when(F.col("_ld_list").isNull(), F.col("text")).otherwise(kept)
-    out = joined.withColumns({"_ld_lines": F.size(F.split(F.coalesce("text", F.lit("")), "\n")).cast("bigint"), "_ld_gone": F.coalesce(F.size("_ld_list"), F.lit(0)).cast("bigint")})
+    blank = F.filter(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: F.trim(_plain(x)) == "")
+    marks = F.when(F.col("_ld_again") & F.col("text").isNotNull(), F.array_join(blank, "\n")).when(F.col("_ld_list").isNull(), F.col("text")).otherwise(kept)
+    count = F.size(F.split(F.coalesce("text", F.lit("")), "\n")).cast("bigint")
+    gone = F.when(F.col("_ld_again"), count - F.size(blank)).otherwise(F.coalesce(F.size("_ld_list"), F.lit(0)))
+    out = joined.withColumns({"_ld_lines": count, "_ld_gone": gone.cast("bigint")})
     return out.withColumn("text", marks).select(*docs.columns, "_ld_lines", "_ld_gone")
 
 

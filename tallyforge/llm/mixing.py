@@ -1,17 +1,17 @@
 """Mixing sources to target weights by Pfair scheduling of blocks.
 
-Every source is cut into blocks of ``block_docs`` documents (in the order of the md5 of their ids) and aims at a share
-``a`` of every round, which need not be whole. After i rounds it has had a * i blocks, rounded down or up: the roundings
-up of a round go to the largest remainders, so that the sum stays within half a block of the sum of all a * i. What
-a source gets in one round is therefore a whole number A which differs between rounds, and no rounding adds up over
-the schedule. Inside a round of Q = sum(A) slots, block j has release time floor(j * Q / A) and deadline
-ceil((j + 1) * Q / A); earliest deadline first over these windows puts each block into its window, so at every slot a
-source is less than one block away from its line through the round, whose ends are less than one block away from a * i. A
-source with less than a share left spreads that over its last round and then drops out, so all rows are placed
-and the other sources keep their proportions among themselves. Whole shares are met exactly.
-
-Rounds are scheduled apart from each other, by a fold inside one row each. A round has as many slots as give the smallest
-source a block, so there are at most as many (source, round) rows as blocks; the schedule is one row a block.
+Every source is cut into blocks of ``block_docs`` documents (in the order of the md5 of their ids) and has a target weight. In
+the ideal mix all sources flow at once, each at its weight's share of those that are not at their end yet: after v units of flow a source of
+weight a and b blocks has given min(a v, b), and T(v) is the sum over all sources. Block j of a source flows from T(j / a)
+to T((j + 1) / a); rounded down and up to slots these are its release time and deadline. Earliest deadline first among released blocks
+puts every block into its window, as the ideal mix fills every slot exactly, so at every slot each source is less than one
+block away from its target. Nothing is rounded but the window's ends: weights are whole numbers (parts of 2^-30 of a root) and times
+exact fractions.
+
+The schedule is cut into stretches of ``STRETCH`` slots. A stretch needs to know which released blocks the one before it has
+left over. All stretches are run at once from a guess, the blocks in flow at its start but for those with the earliest deadlines; then each takes what
+the one before really left, and those whose guess was wrong are run again until none changes. The first stretch is right from the start and
+each pass makes one more right at least, so the end is the schedule of one run through all slots, whatever was guessed.
 
 Documents find their block by a distributed rank: rows are counted per (source, bucket of the md5), the counts
 are summed up per source, and rows are numbered inside a bucket, so a source with a third of all rows is spread over
@@ -19,7 +19,8 @@ are summed up per source, and rows are numbered inside a bucket, so a source wit
 
 Defined results: a null source is a source named "" ; a null doc_id is ordered by the hash of its text; rows with
 equal ids are ordered by the text's hash; an empty table gives an empty table; clashing extra columns are kept as
-long as they are not named ``mix_*``.
+long as they are not named ``mix_*``. A stretch holds at most one waiting block of each source beside its own, so its task's memory and time
+follow the number of sources; it is meant for up to some ten thousand of them.
 """
 
 from __future__ import annotations
@@ -28,18 +29,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tallyforge.operators.prefix import running
 from tallyforge.plans.registry import table
 from tallyforge.session import ensure_checkpoint_dir
 
 BLOCK_DOCS = 8
-#: Slots of a round at least, where shares come from the sizes of the sources.
-QUANTA = 100
-#: Remainders are compared and summed up in whole parts of this size, so their order and sum are exact.
-PARTS = 1 << 40
-#: Rounds whose widths are summed up in one task.
-STRETCH = 4096
-#: Slots that a fold collects before it appends them to the round.
-SEGMENT = 128
+#: Parts of a root that a weight counts: roots of sizes are taken as whole numbers of them.
+PARTS = 1 << 30
+#: Slots that are scheduled in one row.
+STRETCH = 512
 #: md5 prefixes by which a source's rows are dealt: three hex digits.
 PREFIX = 3
 BUCKETS = 16**PREFIX
@@ -47,74 +45,92 @@ BUCKETS = 16**PREFIX
 BROADCAST_SLOTS = 500_000
 
 
-def shares(counts: DataFrame, weights: dict[str, int] | None = None, temperature: float = 0.5, quanta: int = QUANTA) -> DataFrame:
-    """(src, n, a): the blocks that each source aims at in a round, a double.
+def shares(counts: DataFrame, weights: dict[str, int] | None = None, temperature: float = 0.5) -> DataFrame:
+    """(src, n, a): the target weights, whole numbers of which only the proportions count.
 
-    With ``weights`` they are the shares, 1 for sources not named. Otherwise a source of n rows aims at n**temperature,
-    scaled to ``quanta`` slots a round and one block of each source, at least.
+    With ``weights`` they are those, 1 for sources not named. Otherwise a source of n rows has n**temperature, in ``PARTS``.
     """
     if weights is not None:
         if any(w < 1 for w in weights.values()):
-            raise ValueError("shares are positive integers")
+            raise ValueError("weights are positive integers")
         named = F.create_map(*[F.lit(x) for kv in weights.items() for x in kv]) if weights else F.create_map().cast("map<string,int>")
-        return counts.select("src", "n", F.coalesce(F.try_element_at(named, F.col("src")), F.lit(1)).cast("double").alias("a"))
-    aim = F.pow("n", F.lit(temperature))
-    every = F.array_sort(F.collect_list("aim").over(W.partitionBy(F.lit(1))))  # one number a source, in order, so the sum is the same in every run
-    total = F.aggregate("every", F.lit(0.0), lambda x, y: x + y)
-    scale = F.greatest(F.lit(quanta) / total, 1 / F.get("every", F.lit(0))) * (1 + 2.0**-20)  # above one block in spite of rounding
-    return counts.withColumn("aim", aim).withColumn("every", every).select("src", "n", (F.col("aim") * scale).alias("a"))
+        return counts.select("src", "n", F.coalesce(F.try_element_at(named, F.col("src")), F.lit(1)).cast("bigint").alias("a"))
+    return counts.select("src", "n", F.greatest(F.round(F.pow("n", F.lit(temperature)) * PARTS), F.lit(1)).cast("bigint").alias("a"))
 
 
-def _pattern(parts: Column, slots: Column) -> Column:
-    """By slot (i, j): the source's position in ``parts`` (array of src, a) and its block; earliest deadline first among released blocks."""
+def windows(parts: DataFrame, block_docs: int = BLOCK_DOCS) -> DataFrame:
+    """From (src, n, a): (src, block, release, deadline) of every block, in slots."""
+    whole = lambda c: F.col(c).cast("decimal(38,0)")
+    blocks = parts.select("src", "a", F.ceil(F.col("n") / block_docs).cast("bigint").alias("b")).withColumn("v", F.col("b") / F.col("a"))
+    total = parts.agg(F.sum(whole("a"))).first()[0] or 0
+    ends = running(running(blocks.withColumn("wide", whole("a")), ["v", "src"], "b", "given", "sum", inclusive=True), ["v", "src"], "wide", "gone", "sum", inclusive=True)
+    phases = ends.select("v", F.struct(F.col("given").alias("given"), (F.lit(total).cast("decimal(38,0)") - F.col("gone")).cast("decimal(38,0)").alias("flow")).alias("phase"))
+    marks = blocks.select("src", "a", "b", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("b"))).alias("m")).withColumn("v", F.col("m") / F.col("a"))
+    both = marks.withColumn("phase", F.lit(None).cast(phases.schema["phase"].dataType)).unionByName(phases, allowMissingColumns=True)
+    found = running(both, ["v"], "phase", "at", "max", inclusive=True).where("m IS NOT NULL")
+    given, flow = F.coalesce("at.given", F.lit(0)), F.coalesce("at.flow", F.lit(total).cast("decimal(38,0)"))
+    timed = found.select("src", "b", "m", given.alias("given"), (whole("m") * flow).cast("decimal(38,0)").alias("up"), whole("a").alias("a"))
+    timed = timed.select("src", "b", "m", (F.col("given") + F.expr("up div a")).alias("floor"), (F.col("given") + F.expr("(up + a - 1) div a")).alias("ceil"))
+    begin = timed.where("m < b").select("src", F.col("m").alias("block"), F.col("floor").alias("release"), F.lit(None).cast("bigint").alias("deadline"))
+    end = timed.where("m > 0").select("src", (F.col("m") - 1).alias("block"), F.lit(None).cast("bigint").alias("release"), F.col("ceil").alias("deadline"))
+    return begin.unionAll(end).groupBy("src", "block").agg(F.max("release").alias("release"), F.max("deadline").alias("deadline"))
 
-    def bump(acc: Column) -> Column:
-        return F.transform(acc["jobs"], lambda p: F.struct(p["i"].alias("i"), p["a"].alias("a"), (p["j"] + (p["i"] == acc["best"]["i"]).cast("bigint")).alias("j")))
+
+_JOB = "struct<deadline:bigint,src:string,block:bigint,release:bigint>"
+
+
+def _run(own: Column, carry: Column, start: Column, slots: Column) -> Column:
+    """struct(order, left): earliest deadline first over a stretch, from its own jobs by release and the jobs that were left over."""
+    none = F.array().cast(f"array<{_JOB}>")
 
     def step(acc: Column, t: Column) -> Column:
-        def job(p: Column) -> Column:
-            released = (p["j"] < p["a"]) & (F.floor(p["j"] * slots / p["a"]) <= t)
-            return F.when(released, F.struct(F.ceil((p["j"] + 1) * slots / p["a"]).alias("deadline"), p["i"].alias("i"), p["j"].alias("j")))
-
-        jobs = bump(acc)
-        best = F.array_min(F.transform(jobs, job))
-        return F.struct(jobs.alias("jobs"), best.alias("best"), F.concat(acc["order"], F.array(acc["best"])).alias("order"))
-
-    def segment(acc: Column, start: Column) -> Column:
-        none = F.struct(acc["jobs"].alias("jobs"), acc["best"].alias("best"), empty.alias("order"))
-        ts = F.sequence(start, F.least(start + SEGMENT, slots) - 1)
-        return F.aggregate(ts, none, step, lambda x: F.struct(x["jobs"].alias("jobs"), x["best"].alias("best"), F.concat(acc["order"], x["order"]).alias("order")))
-
-    empty = F.array().cast("array<struct<deadline:bigint,i:int,j:bigint>>")
-    before = F.struct(F.lit(0).cast("bigint").alias("deadline"), F.lit(-1).alias("i"), F.lit(0).cast("bigint").alias("j"))
-    jobs = F.transform(parts, lambda p, i: F.struct(i.alias("i"), p["a"].alias("a"), F.lit(0).cast("bigint").alias("j")))
-    starts = F.sequence(F.lit(0).cast("bigint"), slots - 1, F.lit(SEGMENT).cast("bigint"))
-    order = F.aggregate(starts, F.struct(jobs.alias("jobs"), before.alias("best"), empty.alias("order")), segment, lambda x: F.concat(x["order"], F.array(x["best"])))
-    return F.slice(order, F.lit(2), slots.cast("int"))
-
-
-def schedule(parts: DataFrame, block_docs: int = BLOCK_DOCS) -> DataFrame:
-    """From (src, n, a): (src, block, slot, round, share), one row a block; share is what the source gets in the round."""
-    blocks = parts.select("src", "a", F.ceil(F.col("n") / block_docs).cast("bigint").alias("b"))
-    marks = blocks.select("src", "a", "b", F.explode(F.sequence(F.lit(0).cast("bigint"), F.ceil(F.col("b") / F.col("a")).cast("bigint"))).alias("i"))
-    reach = F.when(F.col("i") < F.ceil(F.col("b") / F.col("a")), F.least(F.col("a") * F.col("i"), F.col("b").cast("double"))).otherwise(F.col("b").cast("double"))
-    marks = marks.withColumn("whole", F.floor(reach)).withColumn("rest", F.floor((reach - F.col("whole")) * PARTS))
-    extra = F.floor((F.sum("rest").over(W.partitionBy("i")) + PARTS // 2) / PARTS)
-    nth = F.row_number().over(W.partitionBy("i").orderBy(F.desc("rest"), "src"))
-    marks = marks.withColumn("done", F.col("whole") + (nth <= extra).cast("bigint"))
-    marks = marks.withColumn("before", F.lag("done").over(W.partitionBy("src").orderBy("i"))).withColumn("share", F.col("done") - F.col("before"))
-    taken = marks.where("share > 0").select((F.col("i") - 1).alias("round"), F.struct("src", F.col("share").alias("a"), "before").alias("part"))
-    rounds = taken.groupBy("round").agg(F.array_sort(F.collect_list("part")).alias("parts"), F.sum("part.a").alias("width")).withColumn("stretch", F.floor(F.col("round") / STRETCH)).checkpoint()
-    so_far = lambda w: F.coalesce(F.sum("width").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    stretches = rounds.groupBy("stretch").agg(F.sum("width").alias("width")).select("stretch", so_far(W.orderBy("stretch")).alias("start"))
-    rounds = rounds.withColumn("inside", so_far(W.partitionBy("stretch").orderBy("round"))).join(F.broadcast(stretches), "stretch")
-    slots = rounds.repartition("round").select("round", (F.col("start") + F.col("inside")).alias("slot0"), "parts", F.posexplode(_pattern(F.col("parts"), F.col("width"))).alias("at", "pick"))
-    part = F.get("parts", F.col("pick.i"))
-    return slots.select(part["src"].alias("src"), (part["before"] + F.col("pick.j")).alias("block"), (F.col("slot0") + F.col("at")).alias("slot"), "round", part["a"].alias("share"))
-
-
-def mix_sources(docs: DataFrame, weights: dict[str, int] | None = None, block_docs: int = BLOCK_DOCS, temperature: float = 0.5, quanta: int = QUANTA) -> DataFrame:
-    """All columns of docs and mix_slot (the block's place in the mix), mix_pos (place in the block), mix_round, mix_share.
+        fresh = F.filter(own, lambda x: x["release"] == start + t)
+        ready = F.concat(acc["left"], fresh)
+        best = F.array_min(ready)
+        return F.struct(F.concat(acc["order"], F.array(best)).alias("order"), F.array_remove(ready, best).alias("left"))
+
+    ts = F.sequence(F.lit(0).cast("bigint"), slots - 1)
+    return F.aggregate(ts, F.struct(none.alias("order"), carry.alias("left")), step, lambda x: F.struct(x["order"].alias("order"), F.array_sort(x["left"]).alias("left")))
+
+
+def schedule(parts: DataFrame, block_docs: int = BLOCK_DOCS, stretch: int | None = None) -> DataFrame:
+    """From (src, n, a): (src, block, slot), one row a block."""
+    width = stretch or STRETCH
+    jobs = windows(parts, block_docs).checkpoint()
+    total = jobs.count()
+    if not total:
+        return jobs.select("src", "block", F.col("release").alias("slot"))
+    job = F.struct("deadline", "src", "block", "release")
+    at = F.floor(F.col("release") / width)
+    own = jobs.groupBy(at.alias("k")).agg(F.array_sort(F.collect_list(job)).alias("own"))
+    lasts = F.floor((F.col("deadline") - 1) / width)
+    waiting = jobs.where(lasts > at).select(job.alias("job"), F.explode(F.sequence(at + 1, lasts)).alias("k"))
+    waiting = waiting.groupBy("k").agg(F.array_sort(F.collect_list("job")).alias("flowing"))
+    sizes = jobs.groupBy(at.alias("k")).agg(F.count(F.lit(1)).alias("n"))  # one number a stretch
+    released = running(sizes, ["k"], "n", "so_far", "sum")
+    ks = parts.sparkSession.range(0, -(-total // width)).select(F.col("id").alias("k"))
+    rows = ks.join(own, "k", "left").join(waiting, "k", "left").join(released, "k", "left")
+    none = F.array().cast(f"array<{_JOB}>")
+    rows = rows.select("k", F.coalesce("own", none).alias("own"), F.coalesce("flowing", none).alias("flowing"), "so_far").withColumn("start", F.col("k") * width)
+    rows = rows.withColumn("slots", F.least(F.lit(total) - F.col("start"), F.lit(width)))
+    early = F.size("flowing") - (F.coalesce("so_far", F.lit(total)) - F.col("start"))  # of those in flow, so many are done if all before is
+    guess = F.slice("flowing", F.greatest(early, F.lit(0)).cast("int") + 1, F.size("flowing"))
+    rows = rows.withColumn("carry", guess).repartition("k").checkpoint()
+    run = lambda df: df.withColumn("out", _run(F.col("own"), F.col("carry"), F.col("start"), F.col("slots"))).checkpoint()
+    done = run(rows)
+    while True:
+        left = done.select((F.col("k") + 1).alias("k"), F.col("out.left").alias("real"))
+        joined = done.join(left, "k", "left").withColumn("real", F.coalesce("real", none)).checkpoint()
+        if joined.where("carry <> real").isEmpty():
+            break
+        again = run(joined.where("carry <> real").select("k", "own", "flowing", "so_far", "start", "slots", F.col("real").alias("carry")))
+        done = joined.where("carry = real").drop("real").unionByName(again).checkpoint()
+    placed = done.select("start", F.posexplode("out.order").alias("i", "job"))
+    return placed.select("job.src", "job.block", (F.col("start") + F.col("i")).alias("slot"))
+
+
+def mix_sources(docs: DataFrame, weights: dict[str, int] | None = None, block_docs: int = BLOCK_DOCS, temperature: float = 0.5) -> DataFrame:
+    """All columns of docs and mix_slot (the block's place in the mix), mix_pos (place in the block), mix_block (the block's number in its source).
 
     The order of the mix is (mix_slot, mix_pos).
     """
@@ -127,7 +143,7 @@ def mix_sources(docs: DataFrame, weights: dict[str, int] | None = None, block_do
     before = F.coalesce(F.sum("k").over(W.partitionBy("mix_src").orderBy("mix_bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     offsets = sizes.select("mix_src", "mix_bucket", before.alias("mix_before"))
     counts = sizes.groupBy("mix_src").agg(F.sum("k").alias("n")).withColumnRenamed("mix_src", "src")
-    slots = schedule(shares(counts, weights, temperature, quanta).checkpoint(), block_docs).checkpoint()
+    slots = schedule(shares(counts, weights, temperature).checkpoint(), block_docs).checkpoint()
     if slots.count() <= BROADCAST_SLOTS:
         slots = F.broadcast(slots)
     tie = F.xxhash64(text)
@@ -135,12 +151,12 @@ def mix_sources(docs: DataFrame, weights: dict[str, int] | None = None, block_do
     rank = F.col("mix_before") + F.row_number().over(W.partitionBy("mix_src", "mix_bucket").orderBy("mix_key", tie)) - 1
     numbered = numbered.withColumn("mix_rank", rank)
     placed = numbered.withColumns({"mix_block": F.floor(F.col("mix_rank") / block_docs), "mix_pos": (F.col("mix_rank") % block_docs).cast("int")})
-    names = {"src": "mix_src", "block": "mix_block", "slot": "mix_slot", "round": "mix_round", "share": "mix_share"}
+    names = {"src": "mix_src", "block": "mix_block", "slot": "mix_slot"}
     placed = placed.join(slots.select(*[F.col(a).alias(b) for a, b in names.items()]), ["mix_src", "mix_block"])
-    return placed.select(*[F.col(c) for c in docs.columns], "mix_slot", "mix_pos", "mix_round", "mix_share")
+    return placed.select(*[F.col(c) for c in docs.columns], "mix_slot", "mix_pos", "mix_block")
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where every document stands in the mix."""
     rows = table(spark, sf_dir, "documents").select("doc_id", "source", F.xxhash64("text").cast("string").alias("text"))  # the hash alone moves
-    return mix_sources(rows).select("doc_id", "source", "mix_slot", "mix_pos", "mix_round", "mix_share")
+    return mix_sources(rows).select("doc_id", "source", "mix_slot", "mix_pos", "mix_block")

@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import hashlib
+import heapq
+import math
 import random
 import re
 from collections import Counter
+from fractions import Fraction
 
 import pytest
 from conftest import duck_rows, spark_rows
@@ -13,7 +16,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tallyforge.llm import chatformat, components, decontam, langid, linededup, lyndon, mixing, quality_model, quality_rules, queries, simhash, suffixdedup, tokencount
+from tallyforge.llm import chatformat, components, decontam, langid, linededup, lyndon, mixing, quality_model, quality_rules, queries, simhash, skew, suffixdedup, tokencount
 
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 LONG = " ".join(f"word{k % 977}" for k in range(20_000))
@@ -144,11 +147,29 @@ def test_line_dedup_odd_rows(spark, odd, none):
     got = linededup.dedup_lines(odd)
     assert got.columns == [*odd.columns, "_ld_lines", "_ld_gone"]
     rows = got.collect()
-    assert len(rows) == len(ROWS) and {r["text"] for r in rows if r["doc_id"] == 8} == {"same row\n"}
+    assert len(rows) == len(ROWS) and sorted(r["text"] for r in rows if r["doc_id"] == 8) == ["", "same row\n"]
     assert {r["_ld_lines"] for r in rows if r["text"] is None} == {1}
     assert linededup.dedup_lines(none).count() == 0
 
 
+def test_repeated_rows_keep_their_lines_once(spark, monkeypatch):
+    rows = [(8, "one line of text here\n\nand a second line"), (9, "and a second line\nown"), (8, "one line of text here\n\nand a second line"), (None, "null id line"), (None, "null id line"), (7, None), (7, None)]
+    rows += [(20, "a hot row of words")] * 60
+    seen, want = set(), []
+    for i, t in sorted(rows, key=lambda r: (r[0] is None, r[0] or 0)):
+        kept = []
+        for line in (t or "").split("\n"):
+            if not line.strip() or line not in seen:
+                kept.append(line)
+            seen.add(line)
+        want.append((i, t if t is None else "\n".join(kept), len((t or "").split("\n")) - len(kept)))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = lambda: sorted(map(repr, ((r["doc_id"], r["text"], r["_ld_gone"]) for r in linededup.dedup_lines(docs).collect())))
+    assert got() == sorted(map(repr, want))
+    monkeypatch.setattr(skew, "HOT_LEAST", 10)
+    assert got() == sorted(map(repr, want))
+
+
 def test_texts_under_one_id_are_different_documents(spark):
     texts = [(1, "one shared line here"), (5, "one shared line here\nown words of a"), (5, "other clean line stays\nsecond text of b"), (7, "both have this line\ntail of c"), (7, "both have this line\nend of d")]
     docs = spark.createDataFrame(texts, "doc_id bigint, text string")
@@ -163,19 +184,57 @@ def test_texts_under_one_id_are_different_documents(spark):
     assert sorted((r["doc_id"], r["text"]) for r in kept) == sorted([(3, a), (3, b), (2, c)])
 
 
-def test_mix_is_within_a_block(spark, odd, none):
+def edf(sizes, weights):
+    """The whole schedule by one run through all slots, and each source's ideal share after every slot; exact fractions."""
+    names = sorted(sizes)
+    ends = sorted((Fraction(sizes[s], weights[s]), s) for s in names)
+
+    def total(v):
+        return sum(min(weights[s] * v, sizes[s]) for s in names)
+
+    jobs = [(math.floor(total(Fraction(j, weights[s]))), math.ceil(total(Fraction(j + 1, weights[s]))), s, j) for s in names for j in range(sizes[s])]
+    jobs.sort()
+    ready, order, k = [], [], 0
+    for t in range(len(jobs)):
+        while k < len(jobs) and jobs[k][0] <= t:
+            heapq.heappush(ready, jobs[k][1:])
+            k += 1
+        deadline, s, j = heapq.heappop(ready)
+        assert t < deadline
+        order.append((s, j))
+    ideal, live, given, at = [], dict(weights), 0, Fraction(0)
+    breaks = iter(ends)
+    end, who = next(breaks)
+    for t in range(1, len(order) + 1):
+        while total(end) < t:
+            end, who = next(breaks)
+        flow = sum(w for s, w in weights.items() if Fraction(sizes[s], w) >= end)
+        v = end - (total(end) - t) / Fraction(flow)
+        ideal.append({s: min(weights[s] * v, Fraction(sizes[s])) for s in names})
+    return order, ideal
+
+
+@pytest.mark.parametrize("sizes", [[950] + [100] * 19, [1200 // (k + 1) for k in range(40)], [4000, 1, 9, 30]], ids=["hot", "zipf", "tiny"])
+def test_mix_is_within_a_block_everywhere(spark, sizes):
+    counts = spark.createDataFrame([(f"s{k:03}", n) for k, n in enumerate(sizes)], "src string, n bigint")
+    aims = {r["src"]: r["a"] for r in mixing.shares(counts).collect()}
+    assert all(a / aims["s000"] == pytest.approx((n / sizes[0]) ** 0.5) for a, n in zip((aims[f"s{k:03}"] for k in range(len(sizes))), sizes))
+    rows = sorted(mixing.schedule(mixing.shares(counts), block_docs=4, stretch=64).collect(), key=lambda r: r["slot"])
+    blocks = {f"s{k:03}": -(-n // 4) for k, n in enumerate(sizes)}
+    order, ideal = edf(blocks, aims)
+    assert [r["slot"] for r in rows] == list(range(sum(blocks.values()))) and [(r["src"], r["block"]) for r in rows] == order
+    seen = Counter()
+    for r, aim in zip(rows, ideal):
+        seen[r["src"]] += 1
+        assert all(abs(seen[s] - x) < 1 for s, x in aim.items())
+
+
+def test_mix_odd_rows_and_given_weights(spark, odd, none):
     docs = spark.createDataFrame([(k, "abcd"[min(3, k % 7)]) for k in range(400)], "doc_id bigint, source string")
     rows = mixing.mix_sources(docs, weights={"a": 1, "b": 2, "c": 3, "d": 4}, block_docs=2).collect()
     owner = {r["mix_slot"]: r["source"] for r in rows}
-    round_of = {r["mix_slot"]: r["mix_round"] for r in rows}
-    assert len(rows) == 400 and sorted(owner) == list(range(len(owner)))
-    assert len({(r["mix_slot"], r["mix_pos"]) for r in rows}) == 400
-    for k in set(round_of.values()):
-        part = [owner[s] for s in sorted(owner) if round_of[s] == k]
-        share, seen = Counter(part), Counter()
-        for t, s in enumerate(part, 1):
-            seen[s] += 1
-            assert all(abs(seen[x] - share[x] * t / len(part)) < 1 for x in share)
+    assert len(rows) == 400 and sorted(owner) == list(range(len(owner))) and len({(r["mix_slot"], r["mix_pos"]) for r in rows}) == 400
+    assert Counter(owner[t] for t in range(90)) == {"a": 9, "b": 18, "c": 27, "d": 36}  # as long as none ends
     mixed = mixing.mix_sources(odd)
     assert mixed.count() == len(ROWS) and mixed.columns[: len(odd.columns)] == odd.columns
     assert mixing.mix_sources(none).count() == 0
@@ -183,28 +242,6 @@ def test_mix_is_within_a_block(spark, odd, none):
         mixing.mix_sources(odd, weights={"a": 0})
 
 
-@pytest.mark.parametrize("sizes", [[9500] + [1000] * 19, [12000 // (k + 1) for k in range(120)], [40_000, 1, 9, 300]], ids=["hot", "zipf", "tiny"])
-def test_default_shares_follow_the_sizes(spark, sizes):
-    counts = spark.createDataFrame([(f"s{k:03}", n) for k, n in enumerate(sizes)], "src string, n bigint")
-    aims = {r["src"]: r["a"] for r in mixing.shares(counts).collect()}
-    assert all(a / aims["s000"] == pytest.approx((n / sizes[0]) ** 0.5) for a, n in zip((aims[f"s{k:03}"] for k in range(len(sizes))), sizes))
-    rows = sorted(mixing.schedule(mixing.shares(counts)).collect(), key=lambda r: r["slot"])
-    blocks = {f"s{k:03}": -(-n // mixing.BLOCK_DOCS) for k, n in enumerate(sizes)}
-    assert [r["slot"] for r in rows] == list(range(sum(blocks.values())))
-    seen = Counter()
-    rounds = {s: -(-b // aims[s]) for s, b in blocks.items()}
-    total = sum(aims.values())
-    for r in rows:
-        assert r["block"] == seen[r["src"]] and r["share"] > 0
-        seen[r["src"]] += 1
-        t = r["slot"] + 1
-        if r["round"] < min(rounds.values()) - 1:  # all take part with a full share: the weights themselves
-            assert all(abs(seen[s] - a * t / total) < 2 for s, a in aims.items())
-        if t == len(rows) or rows[t]["round"] != r["round"]:  # after every round the rounding is under a block
-            assert all(abs(seen[s] - min(b, aims[s] * (r["round"] + 1))) < 1 for s, b in blocks.items())
-    assert seen == blocks
-
-
 @settings(max_examples=150, deadline=None)
 @given(st.lists(st.integers(0, 3), max_size=40))
 def test_suffix_array_is_sorted(symbols):
