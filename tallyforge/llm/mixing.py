@@ -29,6 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tallyforge.llm.textops import shuffle_width
 from tallyforge.operators.prefix import running
 from tallyforge.plans.registry import table
 from tallyforge.session import ensure_checkpoint_dir
@@ -115,7 +116,7 @@ def schedule(parts: DataFrame, block_docs: int = BLOCK_DOCS, stretch: int | None
     rows = rows.withColumn("slots", F.least(F.lit(total) - F.col("start"), F.lit(width)))
     early = F.size("flowing") - (F.coalesce("so_far", F.lit(total)) - F.col("start"))  # of those in flow, so many are done if all before is
     guess = F.slice("flowing", F.greatest(early, F.lit(0)).cast("int") + 1, F.size("flowing"))
-    rows = rows.withColumn("carry", guess).repartition("k").checkpoint()
+    rows = rows.withColumn("carry", guess).repartition(shuffle_width(parts), "k").checkpoint()
     run = lambda df: df.withColumn("out", _run(F.col("own"), F.col("carry"), F.col("start"), F.col("slots"))).checkpoint()
     done = run(rows)
     while True:
