@@ -190,7 +190,7 @@ def summed(keys: np.ndarray, times: np.ndarray, bits: int) -> tuple[np.ndarray,
     return keys[first], np.add.reduceat(times, first) if len(first) else times
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def _pair(a_json: str, b_model: bytes) -> TokenizerPair:
     return TokenizerPair(a_json, b_model)
 
@@ -203,6 +203,7 @@ def _head(shipped) -> tuple[dict[str, int], list[str | None], Entries]:  # noqa:
     key = shipped.value["key"]
     if key not in _HEADS:
         _HEADS.clear()
+        _pair.cache_clear()  # a worker that composes texts needs no tokenizers
         found = pa.ipc.open_stream(shipped.value["head"]).read_all()
         groups = found["groups"].to_pylist()
         _HEADS[key] = {s.as_py(): i for i, s in enumerate(found["seg"])}, groups, Entries(shipped.value["lengths"], groups)
