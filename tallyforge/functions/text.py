@@ -200,7 +200,8 @@ def ascii_escaped(text: Column) -> Column:
 def canonical_json(text: Column) -> Column:
     """JSON without blanks, keys sorted at every level, beyond ASCII escaped; null for what is no JSON or repeats a key.
 
-    Fractions lose trailing zeros (2.0 is 2); whole numbers of up to 38 digits, texts, flags and nulls stay as they are.
+    Fractions lose trailing zeros (2.0 is 2); whole numbers of up to 38 digits, texts, flags and nulls stay as they are. Keys are
+    in the order of their UTF-16 units: that of code points, unless keys beyond the basic plane meet keys from U+E000 on.
     """
     plain = F.replace(F.to_json(F.try_parse_json(text)), F.lit("\x7f"), F.lit("\\u007f"))
     lowered = plain
