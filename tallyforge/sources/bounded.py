@@ -52,7 +52,7 @@ def _expanded(cap: int, ratio: int) -> Callable[[Iterator[pa.RecordBatch]], Iter
 
 def rollout_files(spark: SparkSession, path: str, schema: str, cap: int = CAP, ratio: int = RATIO) -> DataFrame:
     """(path, modified, rollouts) of every file below a path: null rollouts where the file is over the cap, expands to more than
-    ``ratio`` times its size, is broken or is no JSON list of the schema. Files over the cap are not read."""
+    ``ratio`` times its size, is broken or is no JSON list of the schema. Files over the cap are not read; files of no bytes are not listed, as the reader leaves them out."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     listed = files.select("path", F.col("modificationTime").alias("modified"))
     read = files.where(F.col("length") <= cap).select("path", F.col("modificationTime").alias("modified"), "content")
