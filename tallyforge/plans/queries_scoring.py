@@ -8,12 +8,13 @@ from pyspark.sql import functions as F
 from tallyforge.config import DEFAULT
 from tallyforge.operators import posterior, probes, scoring, selection, state
 from tallyforge.plans.base import REGISTRY, rounded
+from tallyforge.plans.queries_selection import BATCH_CTES, sealed_batch
 from tallyforge.plans.registry import table
 from tallyforge.sources import lens
 
 ALPHA = f"(2.0::DOUBLE / {DEFAULT.ema_span + 1})"
-SLOTS = f"WITH RECURSIVE {lens.SUBS_SQL}, sl AS (SELECT window_n, hotkey, count(*) AS n FROM subs WHERE valid GROUP BY ALL)"
-EMA = f"""{SLOTS}, st AS (SELECT window_n, row_number() OVER (ORDER BY window_n) AS step FROM (SELECT DISTINCT window_n FROM sl)),
+SLOTS = f"WITH RECURSIVE {BATCH_CTES}, sl AS (SELECT window_n, hotkey, count(*) AS n FROM batch GROUP BY ALL)"
+EMA = f"""{SLOTS}, st AS (SELECT window_n, row_number() OVER (ORDER BY window_n) AS step FROM (SELECT DISTINCT window_n FROM subs)),
 hk AS (SELECT DISTINCT hotkey FROM sl), dense AS (SELECT hotkey, step, coalesce(n, 0) AS n FROM hk CROSS JOIN st LEFT JOIN sl USING (hotkey, window_n)),
 ema(hotkey, step, v) AS (SELECT hotkey, 0::BIGINT, 0.0::DOUBLE FROM hk
   UNION ALL SELECT d.hotkey, d.step, CASE WHEN {ALPHA} * (d.n / 8.0::DOUBLE) + (1 - {ALPHA}) * e.v > 1e-6 THEN {ALPHA} * (d.n / 8.0::DOUBLE) + (1 - {ALPHA}) * e.v ELSE 0.0::DOUBLE END
@@ -25,31 +26,37 @@ def _valid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lens.submissions(spark, sf_dir).where("valid")
 
 
+def _scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Moving averages over the sealed batches; every window that was opened is an archive record, an empty batch included."""
+    windows = lens.submissions(spark, sf_dir).select("window_n").distinct()
+    return scoring.ema_scores(sealed_batch(spark, sf_dir), archive=windows)
+
+
 @REGISTRY.query("slot_share_by_window", f"{SLOTS} SELECT window_n, hotkey, n, round(n / 8.0, 6)::DOUBLE AS share FROM sl")
 def slot_share_by_window(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """E5."""
-    return scoring.slots_per_window(_valid(spark, sf_dir)).select("window_n", "hotkey", "n", F.round(F.col("n") / 8, 6).alias("share"))
+    """E5, over the sealed batches."""
+    return scoring.slots_per_window(sealed_batch(spark, sf_dir)).select("window_n", "hotkey", "n", F.round(F.col("n") / 8, 6).alias("share"))
 
 
 @REGISTRY.query("ema_scores", f"{EMA} SELECT hotkey, round(score, 6) AS score FROM sc")
 def ema_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """E6, J5."""
-    return scoring.ema_scores(_valid(spark, sf_dir)).select("hotkey", rounded("score"))
+    return _scores(spark, sf_dir).select("hotkey", rounded("score"))
 
 
 @REGISTRY.query("ema_burn_weights", f"""{EMA}, {lens.META_SQL}, lu AS (SELECT hotkey, arg_max(uid, pos) AS uid FROM meta GROUP BY hotkey)
 SELECT uid, hotkey, round(score, 6) AS weight FROM sc JOIN lu USING (hotkey)
 UNION ALL SELECT 0::BIGINT, NULL, round(b, 6) FROM (SELECT greatest(0.0, 1 - sum(score)) AS b FROM sc) WHERE b > 0""")
 def ema_burn_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Archive to weights."""
-    scores = scoring.ema_scores(_valid(spark, sf_dir))
+    """Sealed batches to weights, with the burn."""
+    scores = _scores(spark, sf_dir)
     return scoring.weights(scores, lens.metagraph(spark, sf_dir)).select("uid", "hotkey", rounded("weight"))
 
 
 @REGISTRY.query("ema_top10", f"{EMA} SELECT hotkey, round(score, 6) AS score FROM sc ORDER BY sc.score DESC, hotkey LIMIT 10")
 def ema_top10(spark: SparkSession, sf_dir: str) -> DataFrame:
     """F9."""
-    return scoring.top_weights(scoring.ema_scores(_valid(spark, sf_dir))).select("hotkey", rounded("score"))
+    return scoring.top_weights(_scores(spark, sf_dir)).select("hotkey", rounded("score"))
 
 
 YIELD = f"""WITH RECURSIVE {lens.SUBS_SQL}, o AS (SELECT env, CASE WHEN value > 245 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS x, row_number() OVER (PARTITION BY env ORDER BY arrived_at, ord) AS r FROM subs),

@@ -12,15 +12,17 @@ from tallyforge.sources import lens
 
 SUBS = f"WITH {lens.SUBS_SQL}"
 ORDER = "arrived_at, sha256(encode(hotkey) || unhex(printf('%016x', prompt_idx)) || root), ord"
-BATCH = f"""{SUBS}, v AS (SELECT * FROM subs WHERE valid AND prompt_idx % 10 <> 3), one AS (SELECT * FROM v QUALIFY row_number() OVER (PARTITION BY window_n, prompt_idx ORDER BY {ORDER}) = 1),
+BATCH_CTES = f"""{lens.SUBS_SQL}, v AS (SELECT * FROM subs WHERE valid AND prompt_idx % 10 <> 3), one AS (SELECT * FROM v QUALIFY row_number() OVER (PARTITION BY window_n, prompt_idx ORDER BY {ORDER}) = 1),
 batch AS (SELECT *, row_number() OVER (PARTITION BY window_n ORDER BY {ORDER}) AS slot FROM one QUALIFY slot <= 8)"""
+BATCH = f"WITH {BATCH_CTES}"
 
 
 def _valid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lens.submissions(spark, sf_dir).where("valid")
 
 
-def _batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+def sealed_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The slots of every window: outside cooldown, first of each prompt, first eight."""
     valid = _valid(spark, sf_dir)
     return selection.select_batch(valid, valid.where("prompt_idx % 10 = 3").select("prompt_idx").distinct())
 
@@ -28,13 +30,13 @@ def _batch(spark: SparkSession, sf_dir: str) -> DataFrame:
 @REGISTRY.query("select_batch", f"{BATCH} SELECT window_n, slot::INT AS slot, ord, hotkey, prompt_idx FROM batch")
 def select_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """F1, D3: cooldown first, then first of each prompt, then the first eight."""
-    return _batch(spark, sf_dir).select("window_n", "slot", "ord", "hotkey", "prompt_idx")
+    return sealed_batch(spark, sf_dir).select("window_n", "slot", "ord", "hotkey", "prompt_idx")
 
 
 @REGISTRY.query("runners_up_anti", f"{BATCH} SELECT window_n, hotkey, prompt_idx, ord FROM subs s WHERE valid AND NOT EXISTS (SELECT 1 FROM batch b WHERE b.window_n = s.window_n AND b.hotkey = s.hotkey AND b.prompt_idx = s.prompt_idx)")
 def runners_up_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
     """B2, D4."""
-    return selection.runners_up(_valid(spark, sf_dir), _batch(spark, sf_dir)).select("window_n", "hotkey", "prompt_idx", "ord")
+    return selection.runners_up(_valid(spark, sf_dir), sealed_batch(spark, sf_dir)).select("window_n", "hotkey", "prompt_idx", "ord")
 
 
 @REGISTRY.query("archive_records", f"""{BATCH}, ru AS (SELECT * FROM subs s WHERE valid AND NOT EXISTS (SELECT 1 FROM batch b WHERE b.window_n = s.window_n AND b.hotkey = s.hotkey AND b.prompt_idx = s.prompt_idx)),
@@ -45,7 +47,7 @@ def archive_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The assembled record, summed up for the comparison."""
     subs = lens.submissions(spark, sf_dir)
     opened = subs.groupBy("window_n").agg(F.min("arrived_at").alias("opened_at"))
-    rec = state.archive_records(_valid(spark, sf_dir), _batch(spark, sf_dir), subs.where("NOT valid").withColumn("reason", F.col("env")), opened)
+    rec = state.archive_records(_valid(spark, sf_dir), sealed_batch(spark, sf_dir), subs.where("NOT valid").withColumn("reason", F.col("env")), opened)
     total = F.aggregate("batch", F.lit(0.0), lambda a, x: a + x["response_time"])
     return rec.select("window_n", F.size("batch").cast("bigint").alias("n_batch"), F.size("runners_up").cast("bigint").alias("n_runners"), F.aggregate(F.map_values("reject_summary"), F.lit(0).cast("bigint"), lambda a, x: a + x).alias("n_rejects"), F.round(total, 3).alias("response_sum"))
 
