@@ -9,6 +9,7 @@ from tallyforge.config import DEFAULT
 from tallyforge.operators import scoring
 from tallyforge.plans.base import REGISTRY, rounded
 from tallyforge.plans.queries_scoring import EMA
+from tallyforge.plans.queries_selection import sealed_batch
 from tallyforge.plans.registry import table
 from tallyforge.session import materialize
 from tallyforge.sources import lens
@@ -55,11 +56,12 @@ def stream_cooldown(spark: SparkSession, sf_dir: str) -> DataFrame:
 @REGISTRY.query("stream_ema_resumed", f"{EMA}, half AS (SELECT max(step) // 2 AS h FROM st) SELECT e.hotkey, e.step, round(e.v, 6) AS score FROM ema e JOIN dense d USING (hotkey, step), half WHERE d.n > 0 AND step > h")
 def stream_ema_resumed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Averages of the later half of the records as a stream that starts from the archive of the earlier half."""
-    valid = lens.submissions(spark, sf_dir).where("valid")
-    steps = scoring.archive_steps(valid)
+    batch = sealed_batch(spark, sf_dir)
+    steps = scoring.archive_steps(lens.submissions(spark, sf_dir))
     half = (steps.agg(F.max("step")).first()[0] or 0) // 2  # one number
-    start = stateful.ema_start(valid.join(steps.where(F.col("step") <= half), "window_n", "left_semi"))
-    own = scoring.slots_per_window(valid).join(steps, "window_n").select("hotkey", "step", "n").where(F.col("step") > half)
+    earlier = steps.where(F.col("step") <= half)
+    start = stateful.ema_start(batch.join(earlier, "window_n", "left_semi"), archive=earlier)
+    own = scoring.slots_per_window(batch).join(steps, "window_n").select("hotkey", "step", "n").where(F.col("step") > half)
     feed = materialize(own, "slots-feed")
     rows = windows.capped_source(spark, feed.scratch_path, feed.schema, files=1000)
     return stateful.landed(stateful.running_ema(rows, initial=start, config=DEFAULT), "ema").select("hotkey", "step", rounded("score"))
