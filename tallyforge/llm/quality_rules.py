@@ -53,7 +53,7 @@ def _repeated(words: Column, order: Column) -> Column:
     """Positions of the three-word windows whose hash occurs twice or more, given windows sorted by hash."""
     n = F.size(order)
     same = lambda i, x: F.get(order, i)["h"] == x["h"]
-    return F.array_sort(
+    return F.sort_array(
         F.transform(
             F.filter(order, lambda x, i: F.coalesce(same(i - 1, x), F.lit(False)) | (i + 1 < n) & F.coalesce(same(i + 1, x), F.lit(False))),
             lambda x: x["p"],
@@ -80,7 +80,7 @@ def base_counts(docs: DataFrame, text: str = "text") -> DataFrame:
         "n_lines": F.size("_q_lines").cast("bigint"),
         "n_dup_lines": (F.size("_q_lines") - F.size(F.array_distinct("_q_lines"))).cast("bigint"),
         "n_stop_words": F.size(F.filter(words, lambda w: F.lower(w).isin(STOP_WORDS))).cast("bigint"),
-        "_q_order": F.when(F.size(words) >= 3, F.array_sort(F.transform(F.sequence(F.lit(0), F.size(words) - 3), window))).otherwise(F.array().cast("array<struct<h:bigint,p:int>>")),
+        "_q_order": F.when(F.size(words) >= 3, F.sort_array(F.transform(F.sequence(F.lit(0), F.size(words) - 3), window))).otherwise(F.array().cast("array<struct<h:bigint,p:int>>")),
     })
     stage = stage.withColumn("_q_hits", _repeated(words, F.col("_q_order")))
     hits = F.col("_q_hits")
