@@ -126,9 +126,12 @@ def conversations_as_rows(turns: DataFrame) -> DataFrame:
 
 
 def format_conversations(turns: DataFrame, template: BracketTemplate | None = None, trained: tuple[str, ...] = ("assistant",)) -> DataFrame:
-    """Per conversation: conv_id, formatted, mask (start and end of every trained text), rewrites, and the digests read back."""
+    """Per conversation: conv_id, formatted, mask (start and end of every trained text), rewrites, and the digests read back.
+
+    n_lost counts the trained turns whose text was not located, because the template changed it later; they are not under the mask.
+    """
     form = template or BracketTemplate()
-    names = ["conv_id", "formatted", "mask_starts", "mask_ends", "rewrites", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
+    names = ["conv_id", "formatted", "mask_starts", "mask_ends", "rewrites", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "n_lost"]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -137,14 +140,15 @@ def format_conversations(turns: DataFrame, template: BracketTemplate | None = No
                 given = [(t["role"], t["text"]) for t in conv]
                 got = render(form, given)
                 back = form.read_back(got.output)
-                mask = [s for (role, _), s in zip(back, got.spans) if role in trained and s]
+                wanted = [s for (role, _), s in zip(back, got.spans) if role in trained]
+                mask = [s for s in wanted if s]
                 loss = "".join(form.unescape(got.output[a:b]) for a, b in mask)
-                rows.append((got.output, [a for a, _ in mask], [b for _, b in mask], got.rewrites, len(back), _sha(_lines(back)), len(loss), _sha(loss), len(got.output)))
-            kinds = [pa.string(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
+                rows.append((got.output, [a for a, _ in mask], [b for _, b in mask], got.rewrites, len(back), _sha(_lines(back)), len(loss), _sha(loss), len(got.output), len(wanted) - len(mask)))
+            kinds = [pa.string(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64()]
             columns = [pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)]
             yield pa.RecordBatch.from_arrays([batch.column("conv_id"), *columns], names=names)
 
-    schema = "conv_id bigint, formatted string, mask_starts array<bigint>, mask_ends array<bigint>, rewrites array<bigint>, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint"
+    schema = "conv_id bigint, formatted string, mask_starts array<bigint>, mask_ends array<bigint>, rewrites array<bigint>, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint, n_lost bigint"
     return conversations_as_rows(turns.withColumn("conv_id", F.col("conv_id").cast("bigint"))).mapInArrow(work, schema)
 
 

@@ -5,8 +5,8 @@ a three-word window that the text holds twice or more; windows are compared by t
 built from higher-order functions over the document's own row: no shuffle, no Python, and the work of a row grows
 as n log n with its words.
 
-Defined results: null or empty text has no words and fails the base rule; extra columns are ignored; repeated rows
-and null ids each give a row; an empty table gives none.
+Defined results: null or empty text has no words and fails the base rule; extra columns pass through, except that
+one named as a count or verdict gives way to it; repeated rows and null ids each give a row; an empty table gives none.
 """
 
 from __future__ import annotations

@@ -44,10 +44,12 @@ def shuffle_width(df: DataFrame) -> int:
 def append_from_texts(df: DataFrame, compute: Callable[[list[str | None]], list[list]], fields: str, keep_text: bool = False) -> DataFrame:
     """df with the columns that ``compute`` makes of a batch's texts, in Arrow batches; the column ``text`` goes unless kept.
 
-    ``compute`` returns one list for each of ``fields``. Other columns pass through as they are, nulls included.
+    ``compute`` returns one list for each of ``fields``. Other columns pass through as they are, nulls included; one with
+    the name of a new field, in whatever case, gives way to it.
     """
     new = T.StructType.fromDDL(fields)
-    passed = [f.name for f in df.schema if keep_text or f.name != "text"]
+    taken = {name.lower() for name in new.names}
+    passed = [f.name for f in df.schema if f.name.lower() not in taken and (keep_text or f.name != "text")]
     schema = T.StructType([f for f in df.schema if f.name in passed] + list(new))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -10,7 +10,7 @@ rank and has no probabilities, so a Zipf-Mandelbrot law over the ranks stands in
 character without a piece costs one byte piece for each of its UTF-8 bytes. Ties go to fewer pieces.
 
 Defined results: null and empty texts have no pre-tokens and no tokens; repeated rows and null ids each give a row;
-an empty table gives an empty table; extra columns pass through.
+an empty table gives an empty table; extra columns pass through, except that one named as a result gives way to it.
 """
 
 from __future__ import annotations

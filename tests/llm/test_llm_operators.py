@@ -323,6 +323,31 @@ def test_token_counts_equal_brute_force(odd, none):
     assert tokencount.count_tokens(none.select("doc_id", "text")).count() == 0
 
 
+def test_results_win_over_columns_of_their_names(spark):
+    """A column named as a result gives way to it, and no name comes twice."""
+    docs = spark.createDataFrame([(1, "three plain words", 70, "x")], "doc_id bigint, text string, n_words bigint, N_Tokens string")
+    rules = quality_rules.quality_rules(docs)
+    assert [c.lower() for c in rules.columns].count("n_words") == 1 and rules.first()["n_words"] == 3 and rules.first()["N_Tokens"] == "x"
+    tokens = tokencount.count_tokens(docs)
+    assert [c.lower() for c in tokens.columns].count("n_tokens") == 1 and tokens.first()["n_tokens"] >= 3 and tokens.first()["n_words"] == 70
+    named = docs.withColumns({"lang_pred": F.lit("x"), "score": F.lit("x")})
+    found = langid.identify(named, langid.LanguageModel([("some words", "en"), ("ein wort", "de")]))
+    assert found.columns.count("lang_pred") == found.columns.count("score") == 1 and 0 <= found.first()["score"] <= 1
+
+
+def test_lost_spans_are_counted(spark):
+    class Forgetful(chatformat.BracketTemplate):
+        """Blanks all texts but the last one's, so that earlier spans are lost."""
+
+        def __call__(self, turns):
+            return super().__call__([(role, "" if k < len(turns) - 1 else text) for k, (role, text) in enumerate(turns)])
+
+    turns = spark.createDataFrame([(1, 0, "assistant", "hello"), (1, 1, "user", "b"), (1, 2, "assistant", "end"), (2, 0, "assistant", "one")], "conv_id bigint, turn bigint, role string, text string")
+    lost = lambda form: {r["conv_id"]: r["n_lost"] for r in chatformat.format_conversations(turns, form).collect()}
+    assert lost(None) == {1: 0, 2: 0}
+    assert lost(Forgetful()) == {1: 1, 2: 0}
+
+
 def test_pipeline(spark, data, odd):
     import corpus_pipeline
 
