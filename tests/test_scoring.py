@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import math
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from tallyforge.config import DEFAULT
-from tallyforge.operators import gates, groups, scoring, selection, state
+from tallyforge.operators import gates, groups, posterior, scoring, selection, state
 
 SUBS = "ord bigint, window_n bigint, hotkey string, prompt_idx bigint, arrived_at double, root binary, valid boolean"
 
@@ -182,3 +183,33 @@ def test_prefixes_equal_a_global_rank(spark):
         got = probes.prefixes(rows, order, digits=digits).groupBy("fraction").agg(F.sum("id").alias("s"), F.count(F.lit(1)).alias("n")).collect()
         assert {r["fraction"]: (r["s"], r["n"]) for r in got} == {f: (sum(r["id"] for r in want if r["p"] < f or f == 1), sum(1 for r in want if r["p"] < f or f == 1)) for f in (0.25, 0.5, 0.75, 1.0)}
     assert probes.prefixes(rows.limit(1), order).count() == 4 and probes.prefixes(rows.where("false"), order).count() == 0
+
+
+def test_next_prompt_is_the_arg_max_of_its_draws(spark, data):
+    import numpy as np
+
+    from tallyforge.plans.queries_scoring import thompson_next
+
+    def score(prompt, size):
+        p = np.random.default_rng((11, prompt)).beta(1.0 + size, 51.0 - size)
+        return sum(math.comb(8, k) * p**k * (1 - p) ** (8 - k) for k in range(2, 7))
+
+    parts = spark.read.parquet(f"{data}/part.parquet").select("p_partkey", "p_size").collect()
+    want = max((score(r["p_partkey"], r["p_size"]), -r["p_partkey"]) for r in parts if r["p_partkey"] % 7)
+    got = thompson_next(spark, data).collect()
+    assert [r["prompt_idx"] for r in got] == [-want[1]] and got[0]["score"] == pytest.approx(want[0])
+
+
+def test_bias_narrows_only_where_it_leaves_prompts(spark):
+    prompts = spark.range(20).withColumnRenamed("id", "prompt_idx")
+    some = lambda *ids: spark.createDataFrame([(i,) for i in ids], "prompt_idx bigint")
+    got = lambda **sets: sorted(r[0] for r in posterior.eligible_prompts(prompts, F.lit(5), F.lit(10), **sets).collect())
+    assert got() == [5, 6, 7, 8, 9] and got(cooling=some(5, 7, 30)) == [6, 8, 9]
+    assert got(cooling=some(5, 7), biased=some(6, 7, 15)) == [6]
+    assert got(biased=some(15, 30)) == [5, 6, 7, 8, 9] and got(cooling=some(6), biased=some(6)) == [5, 7, 8, 9]
+
+
+def test_latest_is_a_top_n(spark):
+    rows = spark.createDataFrame([(k * 7 % 23, k) for k in range(23)], "ts bigint, k bigint")
+    assert sorted(r["ts"] for r in state.latest(rows, 4, F.col("ts")).collect()) == [19, 20, 21, 22]
+    assert state.latest(rows.where("false"), 4, F.col("ts")).count() == 0
