@@ -191,3 +191,11 @@ def test_second_scan_reads_no_data_file(spark, tmp_path):
     rows(30).coalesce(1).write.mode("append").parquet(path)
     assert bounded.eligible_remembered(spark, path, "s", ["a"], memo).count() == 40
     assert bounded.eligible_remembered(spark, path, "s", ["a"], memo, max_files=1).count() in (30, 10)
+
+
+def test_field_constraints_keep_their_column_of_retries(spark, data):
+    from tallyforge.plans import queries_groups
+
+    df = queries_groups.field_constraints(spark, data)
+    assert set(df.columns) == {"ord", "reason", "server", "http", "retryable"} and "retryable" in queries_groups.REGISTRY.oracles["field_constraints"]
+    assert df.count() == spark.read.parquet(f"{data}/events.parquet").count()
