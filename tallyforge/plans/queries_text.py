@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tallyforge.functions import grading, text
 from tallyforge.operators import cadence
 from tallyforge.plans.base import REGISTRY
-from tallyforge.plans.registry import table
+from tallyforge.plans.registry import spread, table
 
 SOURCES = ("src1", "src2", "src3")
 _D = "WITH d AS (SELECT doc_id, coalesce(text, '') AS q, lower(coalesce(text, '')) AS low, n_chars::VARCHAR AS a, source FROM documents)"
@@ -70,7 +70,7 @@ def same_number(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = F.when(k % 4 == 0, "x").otherwise(F.concat((s * 2).cast("string"), F.lit(".0/"), k.cast("string")))
     long, other = F.concat(F.lit("1234567890123.0000001/"), k.cast("string")), F.concat(F.lit("12345678901230000001/"), k.cast("string"), F.when(s % 2 == 0, "0000000").otherwise("0000001"))
     a, b = F.when(k % 4 == 1, long).otherwise(a), F.when(k % 4 == 1, other).otherwise(b)
-    return table(spark, sf_dir, "part").select("p_partkey", text.same_number(a, b).alias("same"))
+    return spread(table(spark, sf_dir, "part"), "p_partkey").select("p_partkey", text.same_number(a, b).alias("same"))
 
 
 def _boxed() -> F.Column:
@@ -126,7 +126,7 @@ def math_reward(spark: SparkSession, sf_dir: str) -> DataFrame:
     variables = F.when(size % 2 == 0, "\\boxed{y + 2x}").otherwise("\\boxed{2x - y}")
     given = F.when(kind == 5, word).when(kind == 6, tower).when(kind == 4, variables).otherwise(_boxed())
     truth = F.when(kind == 5, "east").when(kind == 4, "2x+y").otherwise("\\frac{2\\sqrt{4}}{2}")
-    return table(spark, sf_dir, "part").select("p_partkey", grading.math_reward_udf(given, truth).alias("reward"))
+    return spread(table(spark, sf_dir, "part"), "p_partkey").select("p_partkey", grading.math_reward_udf(given, truth).alias("reward"))
 
 
 @REGISTRY.query("json_equal", r"SELECT p_partkey, p_size % 3 <> 1 AS same FROM part")
@@ -135,11 +135,11 @@ def json_equal(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = F.col("p_size") % 3
     a = F.when(s == 0, '{"a": [1, 2.0000000001]}').when(s == 1, "[true]").otherwise('"x"')
     b = F.when(s == 0, '{"a": [1, 2.0]}').when(s == 1, "[1]").otherwise('"x"')
-    return table(spark, sf_dir, "part").select("p_partkey", grading.json_equal_udf(a, b).alias("same"))
+    return spread(table(spark, sf_dir, "part"), "p_partkey").select("p_partkey", grading.json_equal_udf(a, b).alias("same"))
 
 
 @REGISTRY.query("code_facts", r"""SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN '[{"name": "f", "arity": 1, "returns": true, "root": true}, {"name": "g", "arity": 0, "returns": false, "root": false}]' ELSE '[]' END AS facts FROM part""")
 def code_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parsed, never run."""
     src = F.when(F.col("p_size") % 2 == 0, "def f(a):\n    g()\n    return a\ndef g():\n    pass\n").otherwise("def (")
-    return table(spark, sf_dir, "part").select("p_partkey", grading.code_facts_udf(src).alias("facts"))
+    return spread(table(spark, sf_dir, "part"), "p_partkey").select("p_partkey", grading.code_facts_udf(src).alias("facts"))

@@ -33,3 +33,8 @@ class Registry:
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One table of the data folder."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """df dealt to all shuffle partitions by its key, before Python runs over its rows: a table of few bytes is read as one or two splits however many rows it has."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
