@@ -25,28 +25,45 @@ def submissions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def rollouts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """lineitem as rollouts with their arrays (line numbers repeat here, so part and supplier make them unique); every array is made from the line, and some break one rule."""
+def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """lineitem as rollouts without their arrays (line numbers repeat here, so part and supplier make them unique)."""
     li = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
-    q, pk, sk, c = F.col("l_quantity").cast("bigint"), F.col("l_partkey"), F.col("l_suppkey"), F.col("o_custkey")
+    pk, sk = F.col("l_partkey"), F.col("l_suppkey")
+    rows = li.select(
+        F.col("l_orderkey").alias("ord"), ((F.col("l_linenumber") * 10_000_000 + pk) * 1_000_000 + sk).alias("idx"), F.when(F.col("l_returnflag") == "R", 1.0).otherwise(0.0).alias("reward"), pk.alias("pk"), sk.alias("sk"),
+        F.col("l_quantity").cast("bigint").alias("q"), F.col("l_discount").alias("disc"), F.col("l_tax").alias("tax"), F.col("o_custkey").alias("cust"),
+    )
+    return rows.withColumn("truth", F.col("reward") + F.when(F.col("pk") % 41 == 0, 0.5).otherwise(0.0))
+
+
+def with_arrays(rows: DataFrame) -> DataFrame:
+    """Lines with their arrays; every array is made from the line, and some break one rule."""
+    q, pk, sk, c = F.col("q"), F.col("pk"), F.col("sk"), F.col("cust")
     at = lambda low, high: F.sequence(F.lit(low), F.lit(high))
     canonical = F.transform(at(0, PROMPT - 1), lambda i: ((c + i) % 997).cast("int"))
     given = F.transform(at(0, PROMPT - 1), lambda i: ((c + i + F.when((pk % 31 == 0) & (i == 3), 1).otherwise(0)) % 997).cast("int"))
-    body = F.transform(at(PROMPT, PROMPT + COMPLETION - 2), lambda i: F.when((pk % 29 == 0) & (i == 10), VOCABULARY).otherwise((pk + i * sk) % 997).cast("int"))
+    body = F.transform(at(PROMPT, PROMPT + COMPLETION - 2), lambda i: ((pk + i * sk) % 997).cast("int"))
+    body = F.when(pk % 29 == 0, F.transform(body, lambda t, k: F.when(k == 10 - PROMPT, VOCABULARY).otherwise(t))).otherwise(body)
     tokens = F.concat(given, body, F.array(F.when(q % 17 == 0, 5).otherwise(EOS)))
     lp = lambda i: -0.01 * ((i * q) % 30)
-    rows = li.select(
-        F.col("l_orderkey").alias("ord"), ((F.col("l_linenumber") * 10_000_000 + pk) * 1_000_000 + sk).alias("idx"), F.when(F.col("l_returnflag") == "R", 1.0).otherwise(0.0).alias("reward"), pk.alias("pk"), sk.alias("sk"), q.alias("q"), F.col("l_discount").alias("disc"), F.col("l_tax").alias("tax"),
-        canonical.alias("canonical"), tokens.alias("tokens"), F.lit(PROMPT).alias("prompt_length"), F.lit(COMPLETION).alias("completion_length"),
-        F.transform(at(1, PROMPT + COMPLETION), lambda i: (i * pk) % 1000).alias("commitments"), F.transform(at(PROMPT, PROMPT + COMPLETION - 1), lp).alias("logprobs"),
-    )
+    rows = rows.withColumns({
+        "canonical": canonical, "tokens": tokens, "prompt_length": F.lit(PROMPT), "completion_length": F.lit(COMPLETION),
+        "commitments": F.transform(at(1, PROMPT + COMPLETION), lambda i: (i * pk) % 1000), "logprobs": F.transform(at(PROMPT, PROMPT + COMPLETION - 1), lp),
+    })
     return rows.withColumns({
-        "truth": F.col("reward") + F.when(F.col("pk") % 41 == 0, 0.5).otherwise(0.0), "commitments": F.when(F.col("q") < 3, F.slice("commitments", 1, PROMPT + COMPLETION - 1)).otherwise(F.col("commitments")),
+        "commitments": F.when(F.col("q") < 3, F.slice("commitments", 1, PROMPT + COMPLETION - 1)).otherwise(F.col("commitments")),
         "signature": F.sha2(F.concat_ws(",", F.col("tokens").cast("array<string>"), F.when(F.col("pk") % 37 == 0, F.lit("x"))), 256), "positions": at(PROMPT, PROMPT + COMPLETION - 1),
-        "diffs": F.transform(at(PROMPT, PROMPT + COMPLETION - 1), lambda i: (F.col("pk") * i) % 4000 + F.when((F.col("sk") % 43 == 0) & (i == 20), 30_000).otherwise(0)),
-        "model_lp": F.transform("logprobs", lambda x: x + F.when(F.col("disc") > 0.095, 0.2).otherwise(F.col("disc") / 10)), "p_stop": F.when(F.col("tax") < 0.005, 0.005).otherwise(0.5),
-        "chosen": F.transform(at(0, COMPLETION - 1), lambda i: F.when(F.col("pk") % 23 == 0, (i % 10) / 100).otherwise(0.5 + ((i + F.col("pk")) % 50) / 100)),
-    })
+        "diffs": F.transform(at(PROMPT, PROMPT + COMPLETION - 1), lambda i: (pk * i) % 4000),
+        "gap": F.when(F.col("disc") > 0.095, 0.2).otherwise(F.col("disc") / 10), "p_stop": F.when(F.col("tax") < 0.005, 0.005).otherwise(0.5),
+        "chosen": F.when(pk % 23 == 0, F.transform(at(0, COMPLETION - 1), lambda i: (i % 10) / 100)).otherwise(F.transform(at(0, COMPLETION - 1), lambda i: 0.5 + ((i + pk) % 50) / 100)),
+    }).withColumns({
+        "diffs": F.when(sk % 43 == 0, F.transform("diffs", lambda x, k: x + F.when(k == 20 - PROMPT, 30_000).otherwise(0))).otherwise(F.col("diffs")), "model_lp": F.transform("logprobs", lambda x: x + F.col("gap")),
+    }).drop("gap")
+
+
+def rollouts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every line with its arrays."""
+    return with_arrays(lines(spark, sf_dir))
 
 
 def admitted(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,7 +71,7 @@ def admitted(spark: SparkSession, sf_dir: str) -> DataFrame:
     before = gates.window_gates(F.col("current"), F.lit("new"), F.lit(10**9))
     binding = F.sha2(F.concat_ws(",", F.col("tokens").cast("array<string>")), 256)
     return admission.admit(
-        submissions(spark, sf_dir), rollouts(spark, sf_dir), before, gates.reward_gates(F.lit(DEFAULT.sigma_steady)), admission.cheap_gates(VOCABULARY), admission.dear_gates(binding, F.array(F.lit(EOS)))
+        submissions(spark, sf_dir), lines(spark, sf_dir), before, gates.reward_gates(F.lit(DEFAULT.sigma_steady)), admission.cheap_gates(VOCABULARY), admission.dear_gates(binding, F.array(F.lit(EOS))), arrays=with_arrays
     )
 
 
