@@ -12,6 +12,8 @@ shingles do, so for containment its prefix is one token, and the rarest one is j
 
 The benchmark's shingles are broadcast only while their counted number is within ``BROADCAST_SHINGLES``; beyond it
 the same join shuffles. Documents meet their own candidates under their id, one row each; no two documents meet.
+Steps are written as tables: the benchmark's few rows then come back in few tasks, however many the session's shuffles have,
+and the driver's memory follows the tasks.
 
 Defined results: null or empty texts have no words and no hits; a null doc_id is matched by the hash of its text;
 repeated documents each give a row; items with a null id mark words but are in no list; with an empty benchmark
@@ -25,7 +27,7 @@ from pyspark.sql import functions as F
 
 from tallyforge.llm.textops import alnum_words, row_key
 from tallyforge.plans.registry import table
-from tallyforge.session import ensure_checkpoint_dir
+from tallyforge.session import discard, materialize
 
 WINDOW = 10
 SHINGLE = 3
@@ -70,9 +72,8 @@ def window_shingles(windows: DataFrame, shingle: int = SHINGLE) -> DataFrame:
 def contaminated_windows(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shingle: int = SHINGLE) -> tuple[DataFrame, DataFrame]:
     """(documents as key, doc_id, words; candidates as key, start, win, words, items)."""
     spark = docs.sparkSession
-    ensure_checkpoint_dir(spark)
-    windows = item_windows(benchmark, window).checkpoint()
-    grams = window_shingles(windows, shingle).checkpoint()
+    windows = materialize(item_windows(benchmark, window), "item-windows")
+    grams = materialize(window_shingles(windows, shingle), "item-shingles")
     sizes = sorted(r["size"] for r in grams.select("size").distinct().collect())  # at most `shingle` values
     known = grams.select("h", "size").distinct()
     if known.count() <= BROADCAST_SHINGLES:
@@ -84,8 +85,9 @@ def contaminated_windows(docs: DataFrame, benchmark: DataFrame, window: int = WI
         at = at.join(known.where(F.col("size") == size).select("h"), "h")
         found = at if found is None else found.unionAll(at)
     if found is None:
+        discard(windows, grams)
         return words, spark.createDataFrame([], "key bigint, start int, win bigint, words array<string>, items array<string>")
-    found = found.checkpoint()
+    found = materialize(found, "met-shingles")
     rarity = found.groupBy("h").agg(F.count(F.lit(1)).alias("df"))
     first = grams.join(rarity, "h").groupBy("win", "len").agg(F.min(F.struct("df", "h", "off")).alias("p"), F.count(F.lit(1)).alias("present"))
     # a window with a shingle that no document holds occurs nowhere
@@ -93,7 +95,9 @@ def contaminated_windows(docs: DataFrame, benchmark: DataFrame, window: int = WI
     first = first.where(F.col("present") == full).select("win", "len", F.col("p.h").alias("h"), F.col("p.off").alias("off"))
     hits = found.join(first, "h").select("key", (F.col("pos") - F.col("off")).alias("start"), "len", "n", "win")
     hits = hits.where((F.col("start") >= 0) & (F.col("start") + F.col("len") <= F.col("n"))).select("key", "start", "win").distinct()
-    return words, hits.join(windows, "win").select("key", "start", "win", "words", "items")
+    candidates = materialize(hits.join(windows, "win").select("key", "start", "win", "words", "items"), "item-candidates")
+    discard(windows, grams, found)
+    return words, candidates
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shingle: int = SHINGLE) -> DataFrame:
