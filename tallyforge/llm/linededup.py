@@ -13,7 +13,8 @@ a word stay.
    cut by length, by the prefix that their two sizes ask for, by the position of the shared word, and by how many words
    their prefixes (and a few words beyond) share in all: on bit maps inside the join, then on the prefixes.
 4. Round one compares each class with the earliest class under each of its prefix words only, which settles groups of
-   near copies with a few comparisons each. Round two compares what is still kept with all the others.
+   near copies with a few comparisons each. Round two compares what is still kept with all the others: each class first
+   with the one that shares most prefix words with it, and only what that leaves with the rest of its candidates.
 5. Candidates are verified on the words themselves, read from the lines again.
 
 Everything is built from SQL functions. A hot word is an ordinary skewed key of a shuffled join, which the engine splits; only
@@ -199,13 +200,24 @@ def later_matches(docs: DataFrame, classes: DataFrame) -> DataFrame:
     x, y = _rows(classes, "x"), _rows(classes, "y")
     leads = x.select("tok", "x").join(y.groupBy("tok").agg(F.min("y").alias("y")), "tok")
     first = leads.where((_class_of(F.col("x")) != _class_of(F.col("y"))) & _filters(F.col("x"), F.col("y")))
-    settled = _verified(docs, classes, first.select(_class_of(F.col("x")).alias("x"), _class_of(F.col("y")).alias("y")).distinct())
+    pair = [_class_of(F.col("x")).alias("x"), _class_of(F.col("y")).alias("y")]
+    met = materialize(first.select(*pair).distinct(), "line-met")
+    likely = _likely(classes, met)
+    sets = _word_lines(docs, classes, likely)
+    settled = _similar(likely, sets)
+    discard(met, likely, sets)
     x, y = _rows(classes.join(_bounded(settled, 8), "c", "left_anti"), "x", *MAPS), _rows(classes, "y", *MAPS)
     earlier = F.col("y") < F.shiftleft(_class_of(F.col("x")), 2 * FIELD)
     second = x.join(y, "tok").where(earlier & _filters(F.col("x"), F.col("y")) & _maps("x", "y"))
-    more = _verified(docs, classes, second.select(_class_of(F.col("x")).alias("x"), _class_of(F.col("y")).alias("y")).distinct())
-    out = materialize(settled.unionAll(more), "line-later")
-    discard(settled, more)
+    met = materialize(second.select(*pair).groupBy("x", "y").agg(F.count(F.lit(1)).alias("shared")), "line-met")
+    nearest = F.max(F.struct("shared", (-F.col("y")).alias("y")))
+    likely = _likely(classes, met.groupBy("x").agg((-nearest["y"]).alias("y")))
+    sets = _word_lines(docs, classes, met)
+    more = _similar(likely, sets)
+    others = _likely(classes, met.select("x", "y").join(_bounded(more.select(F.col("c").alias("x")), 8), "x", "left_anti"))
+    rest = _similar(others, sets)
+    out = materialize(settled.unionAll(more).unionAll(rest), "line-later")
+    discard(met, likely, sets, others, settled, more, rest)
     return out
 
 
@@ -214,27 +226,38 @@ def _bounded(df: DataFrame, width: int) -> DataFrame:
     return F.broadcast(df) if df.count() * width <= BROADCAST_BYTES else df
 
 
-def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(c): the x of each pair (x, y), x later than y, whose sets of words are similar enough."""
-    met = materialize(pairs, "line-met")
-    ids = lambda df: df.select(F.col("x").alias("c")).unionAll(df.select(F.col("y").alias("c"))).distinct()
-    known = classes.select("c", "n", "prefix").join(_bounded(ids(met), 8), "c", "left_semi")
+def _ids(pairs: DataFrame) -> DataFrame:
+    """(c): the classes of pairs (x, y)."""
+    return pairs.select(F.col("x").alias("c")).unionAll(pairs.select(F.col("y").alias("c"))).distinct()
+
+
+def _likely(classes: DataFrame, met: DataFrame) -> DataFrame:
+    """(x, y): the pairs whose prefixes share enough words."""
+    known = classes.select("c", "n", "prefix").join(_bounded(_ids(met), 8), "c", "left_semi")
     side = lambda p: known.select(F.col("c").alias(p), F.col("n").alias(f"n{p}"), F.col("prefix").alias(f"p{p}"))
     both = met.join(side("x"), "x").join(side("y"), "y")
     enough = F.size(F.array_intersect("px", "py")) >= _shared_words(F.col("nx"), F.size("px"), F.col("ny"), F.size("py"))
-    likely = materialize(both.where(enough).select("x", "y"), "line-pairs")
-    wanted = classes.join(_bounded(ids(likely), 8), "c", "left_semi").select("c", "h1", F.col("at").alias("first"))
+    return materialize(both.where(enough).select("x", "y"), "line-pairs")
+
+
+def _word_lines(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(c, line): the first line of each class of the pairs, read from the texts again."""
+    wanted = classes.join(_bounded(_ids(pairs), 8), "c", "left_semi").select("c", "h1", F.col("at").alias("first"))
     wanted = materialize(wanted, "line-wanted")
     lines = _lines(docs).select("h1", _place().alias("at"), "line")
     sets = lines.join(_bounded(wanted, 48), "h1").where(F.col("at") == F.col("first")).select("c", "line")
     sets = materialize(sets, "line-sets")
-    word_set = lambda p: sets.select(F.col("c").alias(p), F.array_distinct(_words(F.col("line"))).alias(f"w{p}"))
+    discard(wanted)
+    return sets
+
+
+def _similar(likely: DataFrame, lines: DataFrame) -> DataFrame:
+    """(c): the x of each pair (x, y), x later than y, whose sets of words are similar enough."""
+    word_set = lambda p: lines.select(F.col("c").alias(p), F.array_distinct(_words(F.col("line"))).alias(f"w{p}"))
     joined = likely.join(word_set("x"), "x").join(word_set("y"), "y")
     common = F.size(F.array_intersect("wx", "wy"))
     similar = common * DEN >= (F.size("wx") + F.size("wy") - common) * NUM
-    out = materialize(joined.where(similar).select(F.col("x").alias("c")).distinct(), "line-settled")
-    discard(met, likely, wanted, sets)
-    return out
+    return materialize(joined.where(similar).select(F.col("x").alias("c")).distinct(), "line-settled")
 
 
 def removed_lines(docs: DataFrame) -> DataFrame:
