@@ -47,13 +47,13 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """df written as a parquet table under the checkpoint folder and read again.
 
-    It cuts the lineage as checkpoint() does, and takes less room: columns are encoded and compressed, and later reads are
-    pruned. ``discard`` drops a table after its last reader; one that a returned result still reads lives as long as the
+    It cuts the lineage as checkpoint() does, and takes less room: columns are encoded and compressed (by zstd: such tables
+    lie beside the shuffles that make and read them), and later reads are pruned. ``discard`` drops a table after its last reader; one that a returned result still reads lives as long as the
     folder, whose owner clears it.
     """
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/tables/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.scratch_path = path
     release(spark)
