@@ -10,12 +10,14 @@ a word stay.
 2. Equal lines are one class (128 bits of hash). Classes are numbered in the order of their first places, so a number is
    identity and order at once.
 3. Two sets with similarity 4/5 share one of the n - need + 1 rarest words of each: these prefixes are joined. Pairs are
-   cut by length, by the prefix that their two sizes ask for, by the position of the shared word, and by how many words
-   their prefixes (and a few words beyond) share in all: on bit maps inside the join, then on the prefixes.
+   cut by length, by the prefix that their two sizes ask for, by the position of the shared word, and inside the join by
+   bit maps of all their words, which tell how many words at least the one set has that the other lacks.
 4. Round one compares each class with the earliest class under each of its prefix words only, which settles groups of
-   near copies with a few comparisons each. Round two compares what is still kept with all the others: each class first
-   with the one that shares most prefix words with it, and only what that leaves with the rest of its candidates.
-5. Candidates are verified on the words themselves, read from the lines again.
+   near copies with a few comparisons each. Round two compares what is still kept with all the others, in passes over
+   shares of the prefix words: after the first pass each class is verified with the one whose map is nearest, and what
+   that settles does not probe the other passes; after them it is done again, and only what that leaves is verified
+   with the rest of its candidates.
+5. Candidates are verified on the words themselves, read from their documents by their places.
 
 Everything is built from SQL functions. A hot word is an ordinary skewed key of a shuffled join, which the engine splits; only
 classes that round one has not settled probe it. Tables are dropped after their last reader. Small sides are broadcast
@@ -29,6 +31,8 @@ an empty table gives an empty table; extra columns pass through unless they are
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,10 +48,11 @@ NUM, DEN = 4, 5
 #: What separates words: ASCII white space.
 WORD_BREAK = r"[ \t\r\x0B\f]+"
 BLANKS = " \t\r\x0b\f"
-#: Words beyond the necessary prefix that are kept with it: they propose no pairs, they only help to cut them.
-BEYOND = 8
-#: The 64-bit words of the map of a prefix; what they cannot tell apart is left to the prefixes themselves.
-MAPS = ("map0", "map1", "map2")
+#: The 64-bit parts of the map of a line's words; what they cannot tell apart is left to the words themselves.
+MAPS = ("map0", "map1", "map2", "map3")
+#: Round two joins the prefix words in passes, each over its share of them in eighths: one pass's shuffles lie on disk at a
+#: time, and what the first pass settles is not probed by the others.
+PASSES = ((0, 1), (2, 3, 4), (5, 6, 7))
 #: Bytes of a side that may be broadcast.
 BROADCAST_BYTES = 32 << 20
 #: Bits of a packed size or position; larger ones are held as the largest, which passes every filter.
@@ -109,8 +114,8 @@ def line_classes(docs: DataFrame, ranks: DataFrame) -> DataFrame:
     """(c, h1, h2, at, k, n, prefix, MAPS) of each distinct line.
 
     c numbers them by first place, k counts places, n counts words, prefix holds the hashes of its necessary rarest
-    words, rarest first, with the rarity in the top byte, and MAPS are the words of a map with a bit for each of them and
-    of BEYOND more.
+    words, rarest first, with the rarity in the top byte, and MAPS are the 64-bit parts of a map with a bit for each of
+    its words.
     """
     hashes = F.array_distinct(F.transform(_words(F.col("line")), lambda w: F.xxhash64(w)))
     lines = _lines(docs).select("h1", "h2", _place().alias("at"), hashes.alias("hs"), ranks.scalar().alias("ranks"))
@@ -118,13 +123,10 @@ def line_classes(docs: DataFrame, ranks: DataFrame) -> DataFrame:
     key = lambda h: F.shiftleft(F.get("ranks", slot(h)).cast("bigint"), 56).bitwiseOR(h.bitwiseAND(F.lit((1 << 56) - 1)))
     sets = lines.select("h1", "h2", "at", F.sort_array(F.transform("hs", key)).alias("keys"))
     n = F.size("keys")
-    sets = sets.select("h1", "h2", "at", n.alias("n"), F.slice("keys", F.lit(1), _prefix_size(n).cast("int")).alias("rare"))
-    necessary = F.slice("rare", F.lit(1), (F.col("n") - F.ceil(F.col("n") * NUM / DEN) + 1).cast("int"))
-    place = lambda t: F.shiftright(t, 20).bitwiseAND(F.lit((1 << 20) - 1)) % (64 * len(MAPS))
-    bit = lambda t: F.call_function("shiftleft", F.lit(1).cast("bigint"), (place(t) % 64).cast("int"))
-    own = lambda k: F.filter("rare", lambda t: (place(t) >= 64 * k) & (place(t) < 64 * k + 64))
+    bit = lambda t: F.call_function("shiftleft", F.lit(1).cast("bigint"), F.shiftright(t, 20).bitwiseAND(F.lit(63)).cast("int"))
+    own = lambda k: F.filter("keys", lambda t: t.bitwiseAND(F.lit(3 << 26)) == k << 26)
     maps = {name: F.aggregate(own(k), F.lit(0).cast("bigint"), lambda a, t: a.bitwiseOR(bit(t))) for k, name in enumerate(MAPS)}
-    sets = sets.select("h1", "h2", "at", "n", necessary.alias("prefix"), *[m.alias(name) for name, m in maps.items()])
+    sets = sets.select("h1", "h2", "at", n.alias("n"), F.slice("keys", F.lit(1), _prefix_size(n)).alias("prefix"), *[m.alias(name) for name, m in maps.items()])
     classes = sets.groupBy("h1", "h2").agg(F.min("at").alias("at"), F.count(F.lit(1)).alias("k"), *[F.first(c).alias(c) for c in ("n", "prefix", *MAPS)])
     ordered = classes.repartitionByRange("at").sortWithinPartitions("at")
     written = materialize(ordered.withColumn("m", F.monotonically_increasing_id()), "line-classes")
@@ -151,7 +153,7 @@ def _rows(classes: DataFrame, name: str, *extra: str) -> DataFrame:
 
 
 def _prefix_size(n: Column) -> Column:
-    return F.least(n, n - F.ceil(n * NUM / DEN) + 1 + BEYOND)
+    return (n - F.ceil(n * NUM / DEN) + 1).cast("int")
 
 
 def _need(both: Column) -> Column:
@@ -177,22 +179,15 @@ def _filters(x: Column, y: Column) -> Column:
     return (length & prefix & position) | (F.greatest(nx, ny) == MOST)
 
 
-def _shared_words(nx: Column, px: Column, ny: Column, py: Column) -> Column:
-    """How many words the prefixes (of px and py words) of similar sets share at least.
-
-    Whichever prefix ends first in the order of words, a shared word inside it is inside the other one too; so what is
-    not shared there has to follow that prefix.
-    """
-    return _need(nx + ny) - F.greatest(nx - px, ny - py)
+def _apart(x: str, y: str) -> Column:
+    """How many words of set x, at least, are not in set y: those whose bit y's map lacks."""
+    return sum(F.bit_count(F.col(f"{x}_{b}").bitwiseAND(F.bitwise_not(F.col(f"{y}_{b}")))) for b in MAPS)
 
 
-def _maps(x: str, y: str) -> Column:
-    """Whether the bit maps of two prefixes have enough in common: a shared word is a common bit unless it meets another one's."""
-    nx, ny = _size(F.col(x)), _size(F.col(y))
-    px, py = _prefix_size(nx), _prefix_size(ny)
-    common = sum(F.bit_count(F.col(f"{x}_{b}").bitwiseAND(F.col(f"{y}_{b}"))) for b in MAPS)
-    met = px - sum(F.bit_count(f"{x}_{b}") for b in MAPS)
-    return (common + met >= _shared_words(nx, px, ny, py)) | (F.greatest(nx, ny) == MOST)
+def _maps(nx: Column, ny: Column) -> Column:
+    """Whether the maps of the sets x and y, of so many words, allow the overlap that they need."""
+    need = _need(nx + ny)
+    return ((_apart("x", "y") <= nx - need) & (_apart("y", "x") <= ny - need)) | (F.greatest(nx, ny) >= MOST)
 
 
 def later_matches(docs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -200,27 +195,52 @@ def later_matches(docs: DataFrame, classes: DataFrame) -> DataFrame:
     x, y = _rows(classes, "x"), _rows(classes, "y")
     leads = x.select("tok", "x").join(y.groupBy("tok").agg(F.min("y").alias("y")), "tok")
     first = leads.where((_class_of(F.col("x")) != _class_of(F.col("y"))) & _filters(F.col("x"), F.col("y")))
-    pair = [_class_of(F.col("x")).alias("x"), _class_of(F.col("y")).alias("y")]
-    met = materialize(first.select(*pair).distinct(), "line-met")
+    met = materialize(first.select(_class_of(F.col("x")).alias("x"), _class_of(F.col("y")).alias("y")).distinct(), "line-met")
     likely = _likely(classes, met)
-    sets = _word_lines(docs, classes, likely)
-    settled = _similar(likely, sets)
-    discard(met, likely, sets)
-    x, y = _rows(classes.join(_bounded(settled, 8), "c", "left_anti"), "x", *MAPS), _rows(classes, "y", *MAPS)
-    earlier = F.col("y") < F.shiftleft(_class_of(F.col("x")), 2 * FIELD)
-    second = x.join(y, "tok").where(earlier & _filters(F.col("x"), F.col("y")) & _maps("x", "y"))
-    met = materialize(second.select(*pair).groupBy("x", "y").agg(F.count(F.lit(1)).alias("shared")), "line-met")
-    nearest = F.max(F.struct("shared", (-F.col("y")).alias("y")))
-    likely = _likely(classes, met.groupBy("x").agg((-nearest["y"]).alias("y")))
-    sets = _word_lines(docs, classes, met)
-    more = _similar(likely, sets)
-    others = _likely(classes, met.select("x", "y").join(_bounded(more.select(F.col("c").alias("x")), 8), "x", "left_anti"))
-    rest = _similar(others, sets)
-    out = materialize(settled.unionAll(more).unionAll(rest), "line-later")
-    discard(met, likely, sets, others, settled, more, rest)
+    settled = _similar(docs, classes, likely)
+    discard(met, likely)
+    first = _met(classes, settled, PASSES[0])
+    more = _similar(docs, classes, _nearest(first))
+    settled_two = materialize(settled.unionAll(more), "line-settled")
+    discard(settled, more)
+    met = [_without(first, settled_two), *[_met(classes, settled_two, share) for share in PASSES[1:]]]
+    discard(first)
+    pairs = materialize(reduce(DataFrame.unionAll, met).groupBy("x", "y").agg(F.max("slack").alias("slack")), "line-met")
+    discard(*met)
+    more = _similar(docs, classes, _nearest(pairs))
+    left = _without(pairs, more)
+    rest = _similar(docs, classes, left)
+    out = materialize(settled_two.unionAll(more).unionAll(rest), "line-later")
+    discard(settled_two, pairs, more, left, rest)
     return out
 
 
+def _met(classes: DataFrame, settled: DataFrame, share: tuple[int, ...]) -> DataFrame:
+    """(x, y, slack): classes that are not settled, with the earlier ones that meet them in these eighths of the words and pass all filters.
+
+    slack is nine times the number of words by which the sets might differ more and still be similar, as far as maps tell.
+    """
+    mine = lambda rows: rows.where((F.col("tok") % 8).isin(*share))
+    x, y = mine(_rows(classes.join(_bounded(settled, 8), "c", "left_anti"), "x", *MAPS)), mine(_rows(classes, "y", *MAPS))
+    nx, ny = _size(F.col("x")), _size(F.col("y"))
+    earlier = F.col("y") < F.shiftleft(_class_of(F.col("x")), 2 * FIELD)
+    pairs = x.join(y, "tok").where(earlier & _filters(F.col("x"), F.col("y")) & _maps(nx, ny))
+    slack = nx + ny - (_apart("x", "y") + _apart("y", "x")) * (NUM + DEN)
+    pairs = pairs.select(_class_of(F.col("x")).alias("x"), _class_of(F.col("y")).alias("y"), slack.alias("slack"))
+    return materialize(pairs.groupBy("x", "y").agg(F.max("slack").alias("slack")), "line-pass")
+
+
+def _nearest(met: DataFrame) -> DataFrame:
+    """(x, y): each x with the y that its map is nearest to."""
+    nearest = F.max(F.struct("slack", (-F.col("y")).alias("y")))
+    return met.groupBy("x").agg((-nearest["y"]).alias("y"))
+
+
+def _without(met: DataFrame, settled: DataFrame) -> DataFrame:
+    """met without the x that are settled."""
+    return materialize(met.join(_bounded(settled.select(F.col("c").alias("x")), 8), "x", "left_anti"), "line-left")
+
+
 def _bounded(df: DataFrame, width: int) -> DataFrame:
     """df, to be broadcast if its rows of so many bytes fit the bound."""
     return F.broadcast(df) if df.count() * width <= BROADCAST_BYTES else df
@@ -232,32 +252,34 @@ def _ids(pairs: DataFrame) -> DataFrame:
 
 
 def _likely(classes: DataFrame, met: DataFrame) -> DataFrame:
-    """(x, y): the pairs whose prefixes share enough words."""
-    known = classes.select("c", "n", "prefix").join(_bounded(_ids(met), 8), "c", "left_semi")
-    side = lambda p: known.select(F.col("c").alias(p), F.col("n").alias(f"n{p}"), F.col("prefix").alias(f"p{p}"))
+    """(x, y): the pairs whose maps allow the overlap they need."""
+    known = classes.select("c", "n", *MAPS).join(_bounded(_ids(met), 8), "c", "left_semi")
+    side = lambda p: known.select(F.col("c").alias(p), F.col("n").alias(f"n{p}"), *[F.col(b).alias(f"{p}_{b}") for b in MAPS])
     both = met.join(side("x"), "x").join(side("y"), "y")
-    enough = F.size(F.array_intersect("px", "py")) >= _shared_words(F.col("nx"), F.size("px"), F.col("ny"), F.size("py"))
-    return materialize(both.where(enough).select("x", "y"), "line-pairs")
+    return materialize(both.where(_maps(F.col("nx"), F.col("ny"))).select("x", "y"), "line-pairs")
 
 
 def _word_lines(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(c, line): the first line of each class of the pairs, read from the texts again."""
-    wanted = classes.join(_bounded(_ids(pairs), 8), "c", "left_semi").select("c", "h1", F.col("at").alias("first"))
-    wanted = materialize(wanted, "line-wanted")
-    lines = _lines(docs).select("h1", _place().alias("at"), "line")
-    sets = lines.join(_bounded(wanted, 48), "h1").where(F.col("at") == F.col("first")).select("c", "line")
-    sets = materialize(sets, "line-sets")
+    """(c, line): the first line of each class of the pairs, taken from its document by its place."""
+    wanted = classes.join(_bounded(_ids(pairs), 8), "c", "left_semi")
+    no = F.conv(F.hex(F.substring("at", 17, 4)), 16, 10).cast("int")
+    wanted = materialize(wanted.select(F.substring("at", 1, 16).alias("key"), no.alias("no"), "c"), "line-wanted")
+    texts = docs.select(row_place(docs).alias("key"), "text").join(_bounded(wanted, 48), "key")
+    sets = materialize(texts.select("c", F.trim(_plain(F.get(F.split("text", "\n"), F.col("no")))).alias("line")), "line-sets")
     discard(wanted)
     return sets
 
 
-def _similar(likely: DataFrame, lines: DataFrame) -> DataFrame:
+def _similar(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
     """(c): the x of each pair (x, y), x later than y, whose sets of words are similar enough."""
+    lines = _word_lines(docs, classes, pairs)
     word_set = lambda p: lines.select(F.col("c").alias(p), F.array_distinct(_words(F.col("line"))).alias(f"w{p}"))
-    joined = likely.join(word_set("x"), "x").join(word_set("y"), "y")
+    joined = pairs.select("x", "y").join(word_set("x"), "x").join(word_set("y"), "y")
     common = F.size(F.array_intersect("wx", "wy"))
     similar = common * DEN >= (F.size("wx") + F.size("wy") - common) * NUM
-    return materialize(joined.where(similar).select(F.col("x").alias("c")).distinct(), "line-settled")
+    out = materialize(joined.where(similar).select(F.col("x").alias("c")).distinct(), "line-settled")
+    discard(lines)
+    return out
 
 
 def removed_lines(docs: DataFrame) -> DataFrame:
