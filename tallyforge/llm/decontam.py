@@ -11,7 +11,8 @@ shingles do, so for containment its prefix is one token, and the rarest one is j
 4. each candidate is verified word by word against the document, so hash collisions cannot add a hit.
 
 The benchmark's shingles are broadcast only while their counted number is within ``BROADCAST_SHINGLES``; beyond it
-the same join shuffles. Documents meet their own candidates under their id, one row each; no two documents meet.
+the same join shuffles. Documents meet their own candidates under their id, one row each; no two documents meet. Only texts
+that have candidates move for that, while their counted keys are within ``BROADCAST_KEYS``; beyond it all texts do.
 Steps are written as tables: the benchmark's few rows then come back in few tasks, however many the session's shuffles have,
 and the driver's memory follows the tasks.
 
@@ -25,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyforge.llm.textops import alnum_words, row_key
+from tallyforge.llm.textops import NON_ALNUM, alnum_words, row_key, split_words
 from tallyforge.plans.registry import table
 from tallyforge.session import discard, materialize
 
@@ -33,6 +34,8 @@ WINDOW = 10
 SHINGLE = 3
 #: Rows of (hash) that may be broadcast: 16 bytes each, 16 MB at most.
 BROADCAST_SHINGLES = 1_000_000
+#: Keys of documents with candidates that may be broadcast, 8 bytes each.
+BROADCAST_KEYS = 2_000_000
 
 
 def _shingle(words: Column, at: Column, size: int) -> Column:
@@ -100,13 +103,29 @@ def contaminated_windows(docs: DataFrame, benchmark: DataFrame, window: int = WI
     return words, candidates
 
 
+def moved_texts(docs: DataFrame, hits: DataFrame) -> DataFrame:
+    """(key, doc_id, n_words, text) of every document, for the join with its candidates; text is null where there is none.
+
+    Words are counted before the join and texts move as they are, as an array of words takes more than twice the room. A
+    text without a candidate has nothing to verify and stays where it is, while the keys of the others may be broadcast.
+    """
+    rows = docs.select(row_key(F.col("doc_id"), F.col("text")).alias("key"), "doc_id", F.size(split_words(F.col("text"), NON_ALNUM)).cast("bigint").alias("n_words"), "text")
+    met = hits.select("key").distinct()
+    if met.count() > BROADCAST_KEYS:
+        return rows
+    marked = rows.join(F.broadcast(met.withColumn("met", F.lit(True))), "key", "left")
+    return marked.select("key", "doc_id", "n_words", F.when(F.col("met"), F.col("text")).alias("text"))
+
+
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shingle: int = SHINGLE) -> DataFrame:
     """Per document: doc_id, n_words, n_hit (words inside any occurrence), n_items, items (sorted ids), contaminated."""
-    words, hits = contaminated_windows(docs, benchmark, window, shingle)
+    _, hits = contaminated_windows(docs, benchmark, window, shingle)
     lists = hits.groupBy("key").agg(F.collect_list(F.struct("start", "words", "items")).alias("hits"))
-    joined = words.join(lists.hint("shuffle_hash"), "key", "left")
-    verified = F.filter(F.coalesce("hits", F.array().cast("array<struct<start:int,words:array<string>,items:array<string>>>")), lambda x: F.slice(F.col("words"), x["start"] + 1, F.size(x["words"])) == x["words"])
-    out = joined.select("doc_id", F.size("words").cast("bigint").alias("n_words"), verified.alias("hits"))
+    joined = moved_texts(docs, hits).join(lists.hint("shuffle_hash"), "key", "left")
+    # the words of a text are made once, not for every candidate
+    verified = F.transform(F.array(alnum_words(F.col("text"))), lambda words: F.filter("hits", lambda x: F.slice(words, x["start"] + 1, F.size(x["words"])) == x["words"]))
+    none = F.array().cast("array<struct<start:int,words:array<string>,items:array<string>>>")
+    out = joined.select("doc_id", "n_words", F.when(F.col("hits").isNotNull(), F.get(verified, F.lit(0))).otherwise(none).alias("hits"))
     covered = F.array_distinct(F.flatten(F.transform("hits", lambda x: F.sequence(x["start"], x["start"] + F.size(x["words"]) - 1))))
     items = F.array_sort(F.array_distinct(F.flatten(F.transform("hits", lambda x: x["items"]))))
     out = out.select("doc_id", "n_words", F.size(covered).cast("bigint").alias("n_hit"), items.alias("items"))
