@@ -28,7 +28,6 @@ import json
 import os
 import re
 import uuid
-from array import array
 from collections import Counter
 from collections.abc import Callable, Iterator
 from functools import lru_cache
@@ -50,8 +49,11 @@ HEAD_PAIRS = 1 << 20
 #: Distinct segments that a task counts before it hands them on, and documents that are composed at once.
 FLUSH, SLICE = 400_000, 512
 MARK = "▁"
-_CUT = re.compile(r"(?<=\S) ")
+#: A space after a character that is not white space; the space stands first, as literal starts are searched for without matching.
+_CUT = re.compile(r" (?<=\S )")
 _MASK = (1 << 32) - 1
+#: Writes the marks between ids as spaces.
+_BLANK = bytes.maketrans(b",|;\n", b"    ")
 
 
 def byte_letters() -> dict[str, int]:
@@ -151,18 +153,41 @@ class Lengths:
         return n_a, n_b, len(parts), links
 
 
+def _entries(lengths: Lengths, groups: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(n_a, n_b, n_groups of each segment, its number of links, all links in order), as ``Lengths.entry`` gives them.
+
+    Both sides' tokens cover the same bytes, so between two neighbouring ends of tokens of either side lies one link.
+    """
+    if not groups:
+        return np.zeros((0, 3), np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    raw = ("\n".join(groups) + "\n").encode()
+    ids = np.fromstring(raw.translate(_BLANK), np.int64, sep=" ")
+    marks = np.frombuffer(raw, np.uint8)
+    marks = marks[(marks < 48) | (marks > 57)]  # the mark behind each id
+    turns = np.cumsum(marks != 44)  # sides take turns at every mark but a comma
+    right = np.concatenate([[0], turns[:-1]]) & 1 == 1
+    a, b, last = ids[~right], ids[right], np.flatnonzero(marks == 10)
+    size_a, size_b = np.array(lengths.a_len, np.int64)[a], np.array(lengths.b_len, np.int64)[b]
+    of_a, of_b, of_groups = (np.diff(np.cumsum(x)[last], prepend=0) for x in (~right, right, marks == 124))
+    numbers = np.stack([of_a, of_b, of_groups], axis=1)
+    if not (size_a.all() and size_b.all()):  # a token of no bytes has no end of its own
+        each = [lengths.entry(g)[3] for g in groups]
+        return numbers, np.fromiter(map(len, each), np.int64, len(each)), np.array([x for own in each for x in own], np.int64)
+    end_a, end_b = np.cumsum(size_a), np.cumsum(size_b)
+    ends = np.sort(np.concatenate([end_a, end_b]), kind="stable")
+    ends = ends[np.concatenate([[True], ends[1:] != ends[:-1]])]
+    links = a[np.searchsorted(end_a, ends)] << lengths.b_bits | b[np.searchsorted(end_b, ends)]
+    return numbers, np.diff(np.searchsorted(ends, end_b[np.cumsum(of_b) - 1], "right"), prepend=0), links
+
+
 class Entries:
     """Numbers and links of segments by index; a segment that a tokenizer does not give back has none."""
 
     def __init__(self, lengths: Lengths, groups: list[str | None]) -> None:
-        numbers, sizes, links = array("q"), array("q"), array("q")
-        for g in groups:
-            n_a, n_b, n_groups, own = lengths.entry(g) if g is not None else (0, 0, 0, ())
-            numbers.extend((n_a, n_b, n_groups))
-            sizes.append(len(own))
-            links.extend(own)
-        self.numbers, self.sizes, self.links = (np.frombuffer(x, np.int64) if x else np.zeros(0, np.int64) for x in (numbers, sizes, links))
-        self.numbers = self.numbers.reshape(-1, 3)
+        given = np.fromiter((g is not None for g in groups), bool, len(groups))
+        found = _entries(lengths, [g for g in groups if g is not None])
+        self.numbers, self.sizes = np.zeros((len(groups), 3), np.int64), np.zeros(len(groups), np.int64)
+        self.numbers[given], self.sizes[given], self.links = found
 
     def joined(self, other: "Entries") -> "Entries":
         out = object.__new__(Entries)
@@ -206,7 +231,7 @@ def _head(shipped) -> tuple[dict[str, int], list[str | None], Entries]:  # noqa:
         _pair.cache_clear()  # a worker that composes texts needs no tokenizers
         found = pa.ipc.open_stream(shipped.value["head"]).read_all()
         groups = found["groups"].to_pylist()
-        _HEADS[key] = {s.as_py(): i for i, s in enumerate(found["seg"])}, groups, Entries(shipped.value["lengths"], groups)
+        _HEADS[key] = {s: i for i, s in enumerate(found["seg"].to_pylist())}, groups, Entries(shipped.value["lengths"], groups)
     return _HEADS[key]
 
 
@@ -279,13 +304,12 @@ def _composed(shipped, cut: bool, digest: bool) -> Callable[[Iterator[pa.RecordB
                     pieces = segments(text, cut)
                     counts = Counter(pieces)
                     own = [index.get(s, -1) for s in counts]
+                    looked = iter(found or ())
+                    part_of = {s: known[i] if i >= 0 else next(looked) for s, i in zip(counts, own)}
+                    parts = [*map(part_of.__getitem__, pieces)]
                     if found:
-                        looked = dict(zip([s for s, i in zip(counts, own) if i < 0], found))
-                        parts = [looked[p] if p in looked else known[index[p]] for p in pieces]
                         new = iter(range(len(index) + len(rare), len(index) + len(rare) + len(found)))
                         own = [i if i >= 0 else next(new) for i in own]
-                    else:
-                        parts = [known[index[p]] for p in pieces]
                     if None in parts:
                         continue
                     rare += found or ()

@@ -100,3 +100,34 @@ def test_cuts_are_verified():
     pair.a_bytes[1] = b"of the"
     assert not pair.cuts()
     assert ct.segments("a b  c\n d  e ", True) == ["a", "b", " c\n d  e", ""]
+
+
+def test_links_of_many_segments_at_once():
+    """Links made over all segments together are those of each segment alone, tokens of no bytes included."""
+    import random
+
+    pick = random.Random(5)
+    for least in (1, 0):
+        lengths = ct.Lengths({i: 1 + i % 7 for i in range(40)}, {i: max(i % 5, least) for i in range(30)})
+        groups: list[str | None] = [None]
+        while len(groups) < 300:
+            a, b = [pick.randrange(40) for _ in range(pick.randrange(1, 12))], []
+            left = sum(lengths.a_len[i] for i in a)
+            while left:
+                b.append(pick.choice([i for i in range(30) if lengths.b_len[i] <= left and (b or lengths.b_len[i])]))
+                left -= lengths.b_len[b[-1]]
+            groups.append(pick.choice([None, *[ct.TokenizerPair.groups(lengths, a, b)] * 9]))
+        alone = [lengths.entry(g) if g is not None else (0, 0, 0, []) for g in groups]
+        given = [g for g in groups if g is not None]
+        numbers, sizes, links = ct._entries(lengths, given)
+        assert len(numbers) == len(sizes) == len(given)
+        found = ct.Entries(lengths, groups)
+        assert found.numbers.tolist() == [list(x[:3]) for x in alone]
+        assert found.sizes.tolist() == [len(x[3]) for x in alone]
+        assert found.links.tolist() == [link for x in alone for link in x[3]]
+    assert ct.Entries(lengths, []).links.tolist() == ct.Entries(lengths, [None]).links.tolist() == []
+
+
+def test_cuts_follow_characters_that_are_not_white_space():
+    assert ct.segments(" a  b\n c d ", True) == [" a", " b\n c", "d", ""]
+    assert ct.segments("x　 y é ", True) == ["x　 y", "é", ""]
