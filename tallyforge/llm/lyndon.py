@@ -42,11 +42,39 @@ def _groups(text: list[int]) -> tuple[list[int], list[int]]:
     above: list[int] = [*range(1, size), -1]
     prev = [-1] * n
     done = bytearray(n)
+    live = [len(m) for m in members]
     order: list[int] = []
+
+    def raised(old: int) -> int:
+        """A new group just above an old one."""
+        new, up = len(members), above[old]
+        members.append([])
+        live.append(0)
+        above.append(up)
+        below.append(old)
+        above[old] = new
+        if up >= 0:
+            below[up] = new
+        return new
+
     current = size - 1
     while current >= 0:
         own = members[current] = [i for i in members[current] if group_of[i] == current]
         order.append(current)
+        if len(own) == 1:
+            i = own[0]
+            j = i - 1
+            while j >= 0 and done[j]:
+                j = prev[j]
+            prev[i] = j
+            done[i] = 1
+            if j >= 0 and live[old := group_of[j]] > 1:
+                live[old] -= 1
+                group_of[j] = new = raised(old)
+                members[new].append(j)
+                live[new] = 1
+            current = below[current]
+            continue
         runs: dict[int, int] = {}
         for i in own:
             j = i - 1
@@ -70,15 +98,12 @@ def _groups(text: list[int]) -> tuple[list[int], list[int]]:
                 old = group_of[parent]
                 new = moved.get(old, -1)
                 if new < 0:
-                    new = moved[old] = len(members)
-                    members.append([])
-                    up = above[old]
-                    above.append(up)
-                    below.append(old)
-                    above[old] = new
-                    if up >= 0:
-                        below[up] = new
+                    if live[old] == 1:  # alone in its group, it is above what it has left behind there
+                        continue
+                    new = moved[old] = raised(old)
                 members[new].append(parent)
+                live[old] -= 1
+                live[new] += 1
                 group_of[parent] = new
         current = below[current]
     rank = [0] * len(members)

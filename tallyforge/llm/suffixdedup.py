@@ -31,7 +31,7 @@ from __future__ import annotations
 import hashlib
 from collections import Counter
 from collections.abc import Iterator
-from itertools import groupby, islice
+from itertools import chain, groupby, islice, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -89,13 +89,11 @@ class Picker:
             h *= _U(0xD6E8FEB86659FD93)
             h ^= h >> _U(29)
         keys = (h & ~_LOW) | np.arange(n, dtype=np.uint64)
-        blocks = -(-n // w)
-        grid = np.full(blocks * w, ~_U(0))
-        grid[:n] = keys
-        grid = grid.reshape(blocks, w)
-        head = np.minimum.accumulate(grid, axis=1).ravel()
-        tail = np.minimum.accumulate(grid[:, ::-1], axis=1)[:, ::-1].ravel()
-        pick = (np.minimum(tail[:m], head[w - 1 : w - 1 + m]) & _LOW).astype(np.int64)
+        low, wide = keys, 1  # the least key of each run of so many
+        while 2 * wide <= w:
+            low, wide = np.minimum(low[:-wide], low[wide:]), 2 * wide
+        low = np.minimum(low[:m], low[w - wide : w - wide + m])
+        pick = (low & _LOW).astype(np.int64)
         first = np.flatnonzero(np.concatenate(([True], pick[1:] != pick[:-1])))
         last = np.concatenate((first[1:] - 1, [m - 1]))
         place = pick[first]
@@ -146,7 +144,8 @@ def _records(docs: DataFrame, picker: Picker, bitmap: np.ndarray, places: bool)
     shared = docs.sparkSession.sparkContext.broadcast(bitmap)
     shift = 64 - (len(bitmap) * 8).bit_length() + 1
 
-    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, int, bytes, bytes]]:
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[int], list[int], list[bytes], list[bytes]]]:
+        """(key, places, grams, left sides, right sides) of each piece of a text."""
         marks = shared.value
         for batch in batches:
             for key, text in zip(batch.column("key"), batch.column("text")):
@@ -155,16 +154,29 @@ def _records(docs: DataFrame, picker: Picker, bitmap: np.ndarray, places: bool)
                 for offset, gram, place, first, last in picker.records(raw):
                     bit = (gram.view(np.uint64) >> _U(shift)).astype(np.int64)
                     hit = np.flatnonzero(marks[bit >> 3] & (128 >> (bit & 7)))
-                    for g, p, a, b in zip(gram[hit].tolist(), (place[hit] + offset).tolist(), (first[hit] + offset).tolist(), (last[hit] + offset).tolist()):
-                        yield key, a, g, data[a:p], data[p + picker.gram : b + picker.length]
+                    place, at = place[hit] + offset, (first[hit] + offset).tolist()
+                    left = [data[a:p] for a, p in zip(at, place.tolist())]
+                    right = [data[p:b] for p, b in zip((place + picker.gram).tolist(), (last[hit] + (offset + picker.length)).tolist())]
+                    yield key, at, gram[hit].tolist(), left, right
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = ((key, a, g, around(left, right)) for key, a, g, left, right in found(batches))
-        while part := list(islice(rows, FLUSH)):
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*part)], names=["key", "at", "gram", "ctx"])
+        columns: tuple[list[int], ...] = ([], [], [], [])
+
+        def handed() -> pa.RecordBatch:
+            made = pa.RecordBatch.from_arrays([*[pa.array(x, pa.int64()) for x in columns[:3]], pa.array(np.array(columns[3], np.uint64).view(np.int64))], names=["key", "at", "gram", "ctx"])
+            for x in columns:
+                x.clear()
+            return made
+
+        for key, at, grams, left, right in found(batches):
+            for column, new in zip(columns, (repeat(key, len(at)), at, grams, map(_around, left, right))):
+                column.extend(new)
+            if len(columns[0]) >= FLUSH:
+                yield handed()
+        yield handed()
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = (r[2:] for r in found(batches))
+        rows = chain.from_iterable(zip(*r[2:]) for r in found(batches))
         while counts := Counter(islice(rows, FLUSH)):
             columns = [*zip(*counts), list(counts.values())]
             kinds = (pa.int64(), pa.binary(), pa.binary(), pa.int64())
@@ -176,9 +188,14 @@ def _records(docs: DataFrame, picker: Picker, bitmap: np.ndarray, places: bool)
     return source.mapInArrow(counted, "gram bigint, left binary, right binary, n bigint")
 
 
+def _around(left: bytes, right: bytes) -> int:
+    """An unsigned 64-bit hash of the bytes on either side of a gram."""
+    return xxhash.xxh64_intdigest(left + b"|" + right, len(left))
+
+
 def around(left: bytes, right: bytes) -> int:
-    """A signed 64-bit hash of the bytes on either side of a gram."""
-    value = xxhash.xxh64_intdigest(left + b"|" + right, len(left))
+    """The same hash, signed."""
+    value = _around(left, right)
     return value - (1 << 64) if value >> 63 else value
 
 
@@ -286,6 +303,19 @@ def _by_suffixes(parts: list[tuple[bytes, bytes]], weights: list[int], need: int
     return out
 
 
+def may_repeat(gram: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Which rows of a batch, in order of grams, are more than the only record of their gram, counted once.
+
+    The first and the last row may have others of their gram in the batches beside.
+    """
+    out = n > 1
+    same = gram[1:] == gram[:-1]
+    out[1:] |= same
+    out[:-1] |= same
+    out[:1] = out[-1:] = True
+    return out
+
+
 def _united(starts: list[int], length: int) -> list[int]:
     """The maximal spans of bytes (begin, end in turn) that runs of window starts (first, last in turn) cover."""
     out: list[int] = []
@@ -307,6 +337,7 @@ def removal_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> Da
 
     def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for batch in batches:
+            batch = batch.filter(pa.array(may_repeat(batch.column("gram").to_numpy(), batch.column("n").to_numpy())))
             yield from zip(*(batch.column(c).to_pylist() for c in ("gram", "left", "right", "n")))
 
     def resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
